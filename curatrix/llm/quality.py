@@ -1,7 +1,7 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader updates.
 
 A text's features are its distinct words and word pairs, hashed into 2**BITS buckets, each with the weight
-1 / sqrt(features).  Training (FTRL-Proximal, one pass per epoch over a bounded sample of labelled texts) runs
+1 / sqrt(features).  Training (FTRL-Proximal, passes over a bounded sample of labelled texts until UPDATES are made) runs
 on the driver; the weights, 2**BITS floats, are the only thing sent to the tasks, which score texts as sparse
 dot products.
 
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from curatrix.llm._run import map_batches, sql_text, table
 from curatrix.llm._sample import held_out, labelled_sample
 
-#: Feature buckets (as a power of two), labelled texts of either class to learn from, epochs.
-BITS, SAMPLE, EPOCHS = 18, 2000, 4
+#: Feature buckets (as a power of two), labelled texts of either class to learn from, updates at least.
+BITS, SAMPLE, UPDATES = 18, 2000, 16_000
 #: FTRL: learning rate, its smoothing, and the two regularisers.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 
@@ -59,7 +59,7 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def train(sample: list[tuple[int, np.ndarray]], counts: dict[int, int], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[int, np.ndarray]], counts: dict[int, int], bits: int = BITS, updates: int = UPDATES) -> tuple[np.ndarray, float]:
     """Weights and bias. Rows of a class weigh so that the classes' shares are those of ``counts``."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
@@ -67,7 +67,7 @@ def train(sample: list[tuple[int, np.ndarray]], counts: dict[int, int], bits: in
     total = max(1, sum(counts.get(c, 0) for c in (0, 1)))
     share = [len(sample) * counts.get(c, 0) / total / max(1, got[c]) for c in (0, 1)]
     order = np.random.default_rng(7)
-    for _ in range(epochs):
+    for _ in range(-(-updates // max(1, len(sample)))):
         for k in order.permutation(len(sample)):
             y, f = sample[k]
             zf, nf = z[f], n[f]
