@@ -33,10 +33,10 @@ from curatrix.llm._sample import held_out, labelled_sample
 
 #: The kernel: characters of a subsequence, places that it may span, decay by place, power of the normalised kernel.
 ORDER, SPAN, DECAY, POWER = 3, 6, 0.7, 3
-#: Normalised kernels below this count as 0.
-FLOOR = 0.25
-#: Labelled texts of either class to learn from, landmarks, rounds of witnesses.
-SAMPLE, LANDMARKS, ROUNDS = 1500, 96, 4
+#: Normalised kernels below this count as 0; so do units of whose weight (squared, repeats apart) the landmarks share less than its square.
+FLOOR = 0.3
+#: Labelled texts of either class to learn from, landmarks, rounds of witnesses, subgradient steps of a round.
+SAMPLE, LANDMARKS, ROUNDS, STEPS = 1500, 64, 3, 240
 #: Characters of a unit, and the step between windows of longer ones.
 WIDTH, STEP = 20, 10
 #: Codes of a character.
@@ -119,10 +119,10 @@ class Kernel:
         row, col = np.nonzero((at := np.where(keys >= 0, self.place[keys], -1)) >= 0)
         if not len(row):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
-        # no kernel exceeds what the shared subsequences weigh against the whole unit, repeats apart
+        # no kernel exceeds the root of what the shared subsequences weigh against the whole unit, repeats apart
         shared = np.bincount(row, weights[col] ** 2, len(windows))
         whole = ((keys >= 0) * weights**2).sum(axis=1)
-        near = shared >= 0.25 * FLOOR**2 * whole
+        near = shared >= FLOOR**2 * whole
         keep = near[row]
         row, col = row[keep], col[keep]
         rows = np.flatnonzero(near)
@@ -224,16 +224,15 @@ def train(sample: list[tuple[int, str]], counts: dict[int, int]) -> Model:
         margins = features @ weights
         witness = [b[margins[b].argmax()] for b in bags if len(b)]
         x = features[[*witness, *negative.tolist()]]
-        y = np.r_[np.ones(len(witness)), -np.ones(len(negative))]
-        each = np.r_[np.full(len(witness), 0.5 / max(1, len(witness))), np.full(len(negative), 0.5 / max(1, len(negative)))]
-        weights, bias, mean_w, mean_b = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-        for step in range(1, 601):
-            wrong = y * (x @ weights + bias) < 1
-            g = -(each * y * wrong) @ x + 1e-3 * weights
+        y = np.r_[np.ones(len(witness)), -np.ones(len(negative))].astype(np.float32)
+        each = np.r_[np.full(len(witness), 0.5 / max(1, len(witness))), np.full(len(negative), 0.5 / max(1, len(negative)))].astype(np.float32)
+        weights, bias, mean_w, mean_b = np.zeros(x.shape[1], np.float32), 0.0, 0.0, 0.0
+        for step in range(1, STEPS + 1):
+            pull = each * y * (y * (x @ weights + bias) < 1)
             rate = 8 / math.sqrt(step)
-            weights, bias = weights - rate * g, bias + rate * float((each * y * wrong).sum())
-            if step > 300:
-                mean_w, mean_b = mean_w + weights / 300, mean_b + bias / 300
+            weights, bias = weights + rate * (pull @ x - 1e-3 * weights), bias + rate * float(pull.sum())
+            if step > STEPS // 2:
+                mean_w, mean_b = mean_w + weights / (STEPS - STEPS // 2), mean_b + bias / (STEPS - STEPS // 2)
         weights, bias = mean_w, mean_b
     margins = features @ weights + bias
     tops = np.array([max(bias, margins[b].max()) if len(b) else bias for b in [*bags, *fair]])
