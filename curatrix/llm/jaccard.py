@@ -9,7 +9,7 @@
    is exact.  Sets of less than SMALL shingles, for which pairs would not suffice, index singles only; sizes
    between SMALL and its largest partner index both.
 3. Equal sets are one node from the start.  In each index bucket the least node of each of k hash groups is paired with
-   the bucket's other nodes (k = 1, 4, 16, ...), pairs of one component or of sizes too different are left out,
+   the bucket's other nodes (k = 1, 16, 256, ...), pairs of one component or of sizes too different are left out,
    the others are verified on the whole sets, and verified links are contracted.  A node that has met its whole
    bucket leaves it; a bucket of one component is settled.  No bucket is collected or expanded into all its pairs
    unless its nodes really are unlinked, none is capped, and the loop ends when every bucket is settled.
@@ -40,6 +40,8 @@ WORDS, PERCENT = 5, 80
 BITS, GROUPS, SMALL = 18, 16, 64
 #: A bucket is frequent from this many times the mean count, and this many more.
 TIMES, MORE = 2, 64
+#: Growth of the number of centres of a bucket from turn to turn.
+GROWTH = 16
 #: Involved documents up to this number are sent to the tasks as a filter; more are joined by a shuffle.
 FILTER_ROWS = 1_000_000
 
@@ -152,36 +154,44 @@ def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return map_batches(texts, run, "node binary, own array<long>").dropDuplicates(["node"])
 
 
-def contract(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node and root, the least node of its component, for every node of links (a, b).
+def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """node and root, the least node of its component, for the nodes of roots and of links (a, b); links are between roots.
 
-    Each component hooks onto its least neighbour, pointers are halved until they are roots, and links inside
+    Each component hooks onto its least neighbour, pointers are followed until they are roots, and links inside
     a component go; of any two linked components the greater one goes in each turn.
     """
-    roots, edges, turn = None, links.select("a", "b"), 0
+    edges, turn = links.select("a", "b"), 0
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"{name}-up{turn}-0")
-        jump = 0
-        while True:
-            to = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            up2 = scratch.save(up.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved")), f"{name}-up{turn}-{jump + 1}")
-            moved = up2.filter("moved").limit(1).count()
-            up, jump = up2.drop("moved"), jump + 1
-            if not moved:
-                break
+        jump, moved = 0, True
+        while moved:
+            for _ in range(2):
+                to = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+                up = up.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
+            up, jump = scratch.save(up, f"{name}-up{turn}-{jump + 1}"), jump + 1
+            moved = not up.filter("moved").isEmpty()
+            up = up.drop("moved")
         if roots is None:
             roots = up
         else:
             to = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = scratch.save(roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{name}-roots{turn}")
-        of = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        edges = scratch.save(edges.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges{turn}")
-        if not edges.limit(1).count():
+            older = roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            roots = scratch.save(older.unionAll(up.join(roots.select("node"), "node", "left_anti").select("node", "root")), f"{name}-roots{turn}")
+        edges = scratch.save(between(edges, up), f"{name}-edges{turn}")
+        if edges.isEmpty():
             return roots
         turn += 1
 
 
+def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) as links between different roots, each once."""
+    for c in "ab":
+        links = links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, _th, n_shingles and component_id of every row: rows link when 100 * common >= percent * union shingles."""
     if not 50 <= percent <= 100:
@@ -200,9 +210,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     involved = nodes.join(index_rows.select("node").distinct(), "node", "left_semi").select("doc_id", "_th")
     sets = scratch.save(_sets(docs, involved, words), "sets")
 
-    links = roots = met = None
+    roots = met = None
     k, turn = 1, 0
-    while index_rows.limit(1).count():
+    while not index_rows.isEmpty():
         now = index_rows.withColumn("root", F.col("node")) if roots is None else index_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         group = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(k))
         centers = now.groupBy("sig", group.alias("g")).agg(F.min(F.struct("node", "n", "root")).alias("c")).select("sig", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.root").alias("cr"))
@@ -216,15 +226,14 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         common = F.size(F.array_intersect("x", "y")).cast("long")
         links_now = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
         links_now = scratch.save(links_now, f"links{turn}")
-        links = links_now if links is None else links.unionAll(links_now)
-        if links_now.limit(1).count():
-            roots = contract(links, scratch, f"roots{turn}")
+        if not links_now.isEmpty():
+            roots = contract(links_now if roots is None else between(links_now, roots), roots, scratch, f"roots{turn}")
         rest = index_rows.join(centers.select("sig", F.col("cn").alias("node")), ["sig", "node"], "left_anti")
         rooted = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
         index_rows = scratch.save(rest.join(open_, "sig"), f"shared{turn + 1}")
         scratch.drop(f"shared{turn}", f"centers{turn}")
-        k, turn = k * 4, turn + 1
+        k, turn = k * GROWTH, turn + 1
 
     named = nodes.select("node", "doc_id")
     if roots is not None:
