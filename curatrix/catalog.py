@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("curatrix.plans.queries",)
 
 
 def queries() -> dict:
