@@ -112,7 +112,7 @@ def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tu
 
     covers = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     overlap = F.expr(f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})")
-    met = covers.withColumn("words", overlap).join(uses, ["_source", "block"], "left")
+    met = covers.withColumn("words", overlap).join(uses.hint("merge"), ["_source", "block"], "left")  # grows with the input: never broadcast
     sums_of = met.groupBy("_source", "at", "doc_id", "_th", "size").agg(F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     empty = rows.filter("size = 0").select("_source", "doc_id", "_th", "size", F.lit(0).cast("long").alias("taken"))
     both = sums_of.select(*empty.columns).unionAll(empty)
