@@ -27,10 +27,17 @@ def dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and modificationTime of all files below a folder; contents are never read."""
+    """path, length and modificationTime of all files below a folder but empty ones; contents are never read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
 
 
+def small_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of the files in one folder, empty ones too; listed by the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return spark.createDataFrame([(str(f.getPath()), f.getLen()) for f in found if f.isFile()], "path string, length long")
+
+
 def audio_files(spark: SparkSession, path: str, suffixes: list[str] = SCANNED) -> DataFrame:
     """Audio files of a folder, by suffix, case apart, in the order of their paths."""
     return listing(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(suffixes)).orderBy("path")
