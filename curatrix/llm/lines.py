@@ -23,6 +23,8 @@ from curatrix.llm._run import Scratch, shuffle_partitions, sql_text, table
 LEAST, COPIES = 40, 5
 #: Lines in a word of a bitmap.
 WORD = 63
+#: Fingerprints to drop that are sent to all tasks, at most; more are joined by a shuffle, each dealt over so many tasks.
+KEYS_SENT, SALTS = 200_000, 64
 
 _STRIP = " \t\n\u000b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +51,13 @@ def drop_bitmaps(docs: DataFrame, least: int = LEAST, copies: int = COPIES) -> D
     dealt = prints.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     first = scratch.save(dealt.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("_th", "pos")).alias("places")), "first")
     spread = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= copies)
-    lost = first.join(spread, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
+    spread = scratch.save(spread, "spread")
+    if spread.count() <= KEYS_SENT:
+        met = first.join(F.broadcast(spread), ["h1", "h2"])
+    else:  # a fingerprint of very many documents is dealt over SALTS tasks
+        salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = first.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["h1", "h2", "salt"])
+    lost = met.filter(~F.col("doc_id").eqNullSafe(F.col("last")))
     places = lost.select("doc_id", F.explode("places").alias("at")).select("doc_id", "at._th", "at.pos").repartition("doc_id", "_th")
     bit = F.expr(f"shiftleft(1L, pos % {WORD})")
     words = places.groupBy("doc_id", "_th", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))

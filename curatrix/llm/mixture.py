@@ -81,7 +81,9 @@ def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tu
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = docs.select("doc_id", source.alias("_source"), sql_text().alias("text")).select("doc_id", "_source", F.xxhash64("text").alias("_th"), size.alias("size"))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(buckets)).cast("int"))
+    # buckets are ranges of the hash, so the order of a source does not depend on how many there are
+    rows = rows.withColumn("_hash", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 32)))
+    rows = rows.withColumn("_bucket", F.expr(f"_hash * {buckets} div {1 << 32}").cast("int"))
     rows = scratch.save(rows, "rows")
 
     # one row for each source: its size, target, blocks and slots
@@ -107,8 +109,8 @@ def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tu
     sized = rows.filter("size > 0")
     upto = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heads = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in")).select("_source", "_bucket", (F.sum("_in").over(upto) - F.col("_in")).alias("_head"))
-    own = Window.partitionBy("_source", "_bucket").orderBy("doc_id", "size", "_th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.join(heads, ["_source", "_bucket"]).withColumn("at", F.sum("size").over(own) - F.col("size") + F.col("_head")).drop("_head", "_bucket")
+    own = Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id", "size", "_th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.join(heads, ["_source", "_bucket"]).withColumn("at", F.sum("size").over(own) - F.col("size") + F.col("_head")).drop("_head", "_bucket", "_hash")
 
     covers = placed.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     overlap = F.expr(f"least(at + size, (block + 1) * {block}) - greatest(at, block * {block})")
