@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix.packing import ship
+
 #: Rows of one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, where this Spark knows the setting.
@@ -38,6 +40,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with bounded batches."""
+    ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
