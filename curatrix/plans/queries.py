@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
-from curatrix.operators import aggregates, edits, filters, matching, numeric, rules, sequences, versions
+from curatrix.operators import aggregates, edits, filters, matching, merging, numeric, rules, sequences, versions
 from curatrix.plans.view import samples, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -590,6 +590,81 @@ def _(s):
     return s.filter("lyrics <> ''").select("id", lyrics.mapped(lyrics.line_diff)("lyrics", "raw_lyrics").alias("diff"))
 
 
+# --- merges
+
+@query("u1_merge_rules", "SELECT genre AS word, 'profile' AS said FROM samples WHERE pos % 2 = 0 GROUP BY genre UNION ALL SELECT DISTINCT genre, 'master' FROM samples WHERE genre NOT IN (SELECT genre FROM samples WHERE pos % 2 = 0)")
+def _(s):
+    words = lambda rows, said: rows.select(F.col("genre").alias("word"), F.lit(said).alias("said")).distinct()
+    return merging.merge_rules(words(s, "master"), words(s.filter("pos % 2 = 0"), "profile"))
+
+
+@query("u2_merge_words", "SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(string_split(detected_instruments, ','), string_split(custom_tag, ',')), lambda w: lower(trim(w))), lambda w: w <> ''))), ',') AS words FROM samples")
+def _(s):
+    return s.select("id", F.array_join(merging.merge_words(F.split("detected_instruments", ","), F.split("custom_tag", ",")), ",").alias("words"))
+
+
+@query("u5_merge_instruments")
+def _(s):
+    split = lambda c: F.filter(F.transform(F.split(c, "[,;|/]"), lambda t: F.trim(t)), lambda t: t != "")
+    return s.select("id", F.array_join(merging.merge_instruments(split("detected_instruments"), split("custom_tag")), ",").alias("instruments"))
+
+
+@query("u6_separate", "SELECT id, CASE WHEN pos % 2 = 0 THEN 'b' ELSE 'a' END AS vocals, 'a' AS drums FROM samples")
+def _(s):
+    stages = F.expr("array(map('vocals', 'a', 'drums', 'a'), if(pos % 2 = 0, map('vocals', 'b'), map('other', 'c')))")
+    return s.select("id", merging.separate(stages).alias("m")).select("id", F.col("m")["vocals"].alias("vocals"), F.col("m")["drums"].alias("drums"))
+
+
+@query("j10_update_by_id", "SELECT id, CASE WHEN pos % 5 = 0 THEN 'x' || id ELSE filename END AS filename FROM samples")
+def _(s):
+    new = s.filter("pos % 5 = 0").select("id", F.concat(F.lit("x"), "id").alias("filename"))
+    return merging.update_by_id(s, new, ["filename"]).select("id", "filename")
+
+
+@query("j13_ids_by_stem", r"""
+, k AS (SELECT lower(regexp_replace(filename, '\.[^.]*$', '')) AS k, arg_min(id, pos) AS id FROM samples GROUP BY 1)
+SELECT DISTINCT upper(regexp_replace(filename, '\.[^.]*$', '')) || '.MP3' AS name, k.id FROM samples JOIN k ON k.k = lower(regexp_replace(filename, '\.[^.]*$', ''))""")
+def _(s):
+    return merging.ids_by_stem(s, s.select(F.concat(F.upper(T.stem(F.col("filename"))), F.lit(".MP3")).alias("name")).distinct())
+
+
+@query("p8_bulk_edit", "SELECT id, 'rock' AS genre, 100::BIGINT AS bpm, replace(audio_path, '/music/', '/m/') AS audio_path FROM samples")
+def _(s):
+    return merging.bulk_edit(s, {"genre": "rock", "bpm": "100.7"}, "/music/", "/m/").select("id", "genre", "bpm", "audio_path")
+
+
+@query("p29_compared_caption", "SELECT id, caption_ai_raw AS caption FROM samples")
+def _(s):
+    return s.select("id", merging.compared_caption(s).alias("caption"))
+
+
+@query("t27_stem_type", "SELECT id, CASE pos % 4 WHEN 0 THEN 'bass' WHEN 1 THEN 'target' WHEN 2 THEN 'synth_pad' ELSE 'other' END AS stem FROM samples")
+def _(s):
+    kind = F.expr("case pos % 4 when 0 then 'Electric Bass' when 1 then 'Vocals x' when 2 then 'Synth Pad' else 'rest' end")
+    return s.select("id", merging.stem_type(kind, F.expr("case pos % 4 when 0 then 63 when 1 then 7 when 2 then 20 else 7 end")).alias("stem"))
+
+
+@query("a5_band_instruments", "SELECT id, CASE pos % 3 WHEN 0 THEN 'bass' WHEN 1 THEN 'drums,rhythm instrument' ELSE 'vocals or bright lead' END AS instruments FROM samples")
+def _(s):
+    x = lambda a, b, c: F.expr(f"cast(case pos % 3 when 0 then {a} when 1 then {b} else {c} end as double)")
+    return s.select("id", F.array_join(merging.band_instruments(x(1, 1, 9), x(0, 9, 1), x(5, 1, 1), x(1, 5, 1), x(1, 1, 8)), ",").alias("instruments"))
+
+
+@query("a12_loudness_plan", "SELECT id, 11::INTEGER AS parts FROM samples")
+def _(s):
+    return merging.loudness_plan(s).select("id", F.size("command").alias("parts"))
+
+
+@query("p10_rename_prefix", "SELECT id, CASE WHEN row_number() OVER (PARTITION BY lower(filename) ORDER BY pos) = 1 THEN 'x_' || filename END AS new_name FROM samples")
+def _(s):
+    return edits.renamed(s, "prefix", "x_").select("id", "new_name")
+
+
+@query("f15_tag_search", "SELECT DISTINCT lower(trim(t)) AS tag FROM (SELECT unnest(regexp_split_to_array(custom_tag, '[,;|/]')) AS t FROM samples) WHERE contains(lower(trim(t)), 'dr')")
+def _(s):
+    return s.select(F.explode(T.split_tags(F.col("custom_tag"))).alias("t")).select(F.lower("t").alias("tag")).filter(F.contains("tag", F.lit("dr"))).distinct()
+
+
 # --- versions and numbers
 
 
