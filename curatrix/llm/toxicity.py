@@ -112,6 +112,7 @@ class Kernel:
         row, col = np.nonzero(keys >= 0)
         np.add.at(self.table, (self.place[keys[row, col]], row), weights[col])
         self.table /= np.sqrt(own_kernel(keys, weights))[None, :].astype(np.float32)
+        self.most = self.table.max(axis=1, initial=0)
 
     def __call__(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the windows that have a kernel of FLOOR or more with some landmark; the kernels of these."""
@@ -123,6 +124,8 @@ class Kernel:
         shared = np.bincount(row, weights[col] ** 2, len(windows))
         whole = ((keys >= 0) * weights**2).sum(axis=1)
         near = shared >= FLOOR**2 * whole
+        # nor what every shared subsequence would weigh with the landmark that has most of it
+        near &= np.bincount(row, weights[col] * self.most[at[row, col]], len(windows)) ** 2 >= FLOOR**2 * whole
         keep = near[row]
         row, col = row[keep], col[keep]
         rows = np.flatnonzero(near)
@@ -263,6 +266,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
 
+    @classmethod
+    def of(cls, model: Model) -> Scorer:
+        """The model's scorer, kept beside it, so that a worker's next task finds the units seen."""
+        if getattr(model, "scorer", None) is None:
+            model.scorer = cls(model)
+        return model.scorer
+
     def __call__(self, texts: list[str]) -> list[float]:
         if self.model.kernel is None:
             return [0.0] * len(texts)
@@ -279,7 +289,7 @@ def score(docs: DataFrame, model: Model, mod: int = 5, rest: int = 0) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer.of(sent.value)
         for batch in batches:
             scores = scorer(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -294,7 +304,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer.of(sent.value)
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s in scorer([t or "" for t in batch.column(at).to_pylist()])], pa.bool_()))
 
