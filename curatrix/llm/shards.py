@@ -71,7 +71,7 @@ WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (
   SELECT i, list_reduce(list_concat([i], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
 d AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
 s AS (SELECT doc_id, source, strlen(x) + 1 AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS o, coalesce('=' || source, '') AS src,
-  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(x)), lambda i: ('0x' || hex(encode(x))[2 * i + 1:2 * i + 2])::BIGINT)),
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT)),
     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM d, tab),
 r AS (SELECT *, (2 * row_number() OVER (PARTITION BY src ORDER BY o, doc_id NULLS FIRST, size, crc) - 1) / (2 * count(*) OVER (PARTITION BY src)) AS part FROM s),
 p AS (SELECT *, row_number() OVER (ORDER BY part, src, o, doc_id NULLS FIRST, size, crc) - 1 AS place, count(*) OVER () AS n FROM r),
