@@ -44,6 +44,8 @@ TIMES, MORE = 2, 64
 GROWTH = 16
 #: Involved documents up to this number are sent to the tasks as a filter; more are joined by a shuffle.
 FILTER_ROWS = 1_000_000
+#: Shared index keys up to this number are sent to the tasks; more are joined by a shuffle.
+KEYS_SENT = 2_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -203,10 +205,12 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     nodes = scratch.save(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("of"), F.max("n").alias("n")).select("node", "n", "of.doc_id", "of._th"), "nodes")
     of = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("_th").alias("_of"))
     heads = full.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    keys = scratch.save(heads.select("node", "n", F.explode("sigs").alias("sig")), "keys")
-    shared = keys.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
-    index_rows = scratch.save(keys.join(shared, "sig").distinct(), "shared0")
-    scratch.drop("keys")
+    heads = scratch.save(heads.select("node", "n", "sigs"), "heads")
+    # keys that two rows have at least; only these are looked at again
+    shared = scratch.save(heads.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), "keys")
+    shared = F.broadcast(shared) if shared.count() <= KEYS_SENT else shared
+    index_rows = scratch.save(heads.select("node", "n", F.explode("sigs").alias("sig")).join(shared, "sig").distinct(), "shared0")
+    scratch.drop("keys", "heads")
     involved = nodes.join(index_rows.select("node").distinct(), "node", "left_semi").select("doc_id", "_th")
     sets = scratch.save(_sets(docs, involved, words), "sets")
 

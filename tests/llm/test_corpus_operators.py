@@ -181,6 +181,8 @@ def test_jaccard_components(spark, monkeypatch, k, percent, tune):
     if tune:  # everything is frequent, so that pairs are indexed
         monkeypatch.setattr(jaccard, "TIMES", 0)
         monkeypatch.setattr(jaccard, "MORE", 0)
+        monkeypatch.setattr(jaccard, "KEYS_SENT", 0)
+        monkeypatch.setattr(jaccard, "FILTER_ROWS", 0)
     texts = near_copies(random.Random(8))
     sizes, want = component_ids(texts, k, percent)
     rows = jaccard.components(table(spark, texts), k, percent).collect()
