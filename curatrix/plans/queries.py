@@ -62,7 +62,7 @@ def _(s):
     return rules.caption_report(s)
 
 
-@query("v1_caption_issues", f", {ISSUES} SELECT samples.pos, coalesce(string_agg(issue, ','), '') AS issues, count(issue) AS n FROM samples LEFT JOIN issues ON samples.pos = issues.pos GROUP BY samples.pos".replace("string_agg(issue, ',')", "string_agg(issue, ',' ORDER BY issue)"))
+@query("v1_caption_issues", f", {ISSUES} SELECT samples.pos, coalesce(string_agg(issue, ',' ORDER BY issue), '') AS issues, count(issue) AS n FROM samples LEFT JOIN issues ON samples.pos = issues.pos GROUP BY samples.pos")
 def _(s):
     codes = F.transform(rules.caption_issues(F.col("caption")), rules.rule_of)
     return s.select("pos", codes.alias("c")).select("pos", F.array_join(F.array_sort("c"), ",").alias("issues"), F.size("c").cast("long").alias("n"))
@@ -236,7 +236,7 @@ def _(s):
 
 
 @query("p10_rename_song", r"""
-, t AS (SELECT id, pos, replace(regexp_replace(trim(string_split(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '^\d{1,3}[-._]\s*', ''), ' - ')[-1]), ' +', '_', 'g'), '', '') || '.wav' AS n FROM samples)
+, t AS (SELECT id, pos, regexp_replace(trim(string_split(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '^\d{1,3}[-._]\s*', ''), ' - ')[-1]), ' +', '_', 'g') || '.wav' AS n FROM samples)
 SELECT id, CASE WHEN row_number() OVER (PARTITION BY lower(n) ORDER BY pos) = 1 THEN n END AS new_name FROM t""")
 def _(s):
     return edits.renamed(s, "song").select("id", "new_name")
