@@ -76,6 +76,12 @@ class Scratch:
         for name in names:
             remove(self.spark, f"{self.path}/{name}")
 
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Save df and drop all tables before it."""
+        out = Scratch(self.spark, name).save(df, "out")
+        remove(self.spark, self.path)
+        return out
+
     def _end(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

@@ -247,7 +247,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     else:
         named = named.select("node", F.col("doc_id").alias("component_id"))
     out = full.select("doc_id", "_th", "n", "node").join(named, "node").select("doc_id", "_th", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.filter("n = 0").select("doc_id", "_th", "n", F.col("doc_id").alias("component_id")))
+    return scratch.only(out.unionAll(rows.filter("n = 0").select("doc_id", "_th", "n", F.col("doc_id").alias("component_id"))), "components")
 
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -61,7 +61,7 @@ def drop_bitmaps(docs: DataFrame, least: int = LEAST, copies: int = COPIES) -> D
     places = lost.select("doc_id", F.explode("places").alias("at")).select("doc_id", "at._th", "at.pos").repartition("doc_id", "_th")
     bit = F.expr(f"shiftleft(1L, pos % {WORD})")
     words = places.groupBy("doc_id", "_th", F.expr(f"pos div {WORD}").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("doc_id", "_th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_drop"))
+    return scratch.only(words.groupBy("doc_id", "_th").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_drop")), "bitmaps")
 
 
 def _marked(docs: DataFrame, least: int, copies: int) -> DataFrame:
