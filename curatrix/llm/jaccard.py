@@ -44,13 +44,15 @@ TIMES, MORE = 2, 64
 GROWTH = 16
 #: Involved documents up to this number are sent to the tasks as a filter; more are joined by a shuffle.
 FILTER_ROWS = 1_000_000
+#: Bits of a set's bitmap.
+MARKS = 1024
 #: Shared index keys up to this number are sent to the tasks; more are joined by a shuffle.
 KEYS_SENT = 2_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SEEN: dict[bytes, int] = {}
-_MOST_SEEN = 400_000
+_MOST_SEEN = 100_000
 
 
 def shingles(data: bytes, words: int) -> np.ndarray:
@@ -100,6 +102,13 @@ def signatures(own: np.ndarray, counts: np.ndarray, frequent: float, percent: in
     return np.concatenate(out)
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """A bit for each of MARKS hash classes that the set has a shingle of, 64 to a word."""
+    marks = np.zeros(MARKS, np.uint8)
+    marks[(own % np.uint64(MARKS)).astype(np.int64)] = 1
+    return np.packbits(marks).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sql_text().alias("text")).select("doc_id", F.xxhash64("text").alias("_th"), "text")
 
@@ -143,17 +152,17 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """node and its sorted shingles, for the representative rows (doc_id, _th) given."""
+    """node, its sorted shingles and their bitmap, for the representative rows (doc_id, _th) given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py().encode(), words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["node", "own", "bits"])
 
     want = rows.withColumnsRenamed({"doc_id": "_id", "_th": "_of"})
     want = F.broadcast(want) if rows.count() <= FILTER_ROWS else want
     texts = _texts(docs).join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    return map_batches(texts, run, "node binary, own array<long>").dropDuplicates(["node"])
+    return map_batches(texts, run, "node binary, own array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
@@ -225,7 +234,13 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         pairs = now.join(centers, "sig").filter(fits).select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
         pairs = scratch.save(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), f"pairs{turn}")
         met = pairs if met is None else met.unionAll(pairs)
-        left = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        # a class that only one set has is a shingle that the other lacks: most pairs that can't link end here, at 128 bytes a set
+        bits = pairs.join(sets.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.size("own").alias("m")), "b")
+        bits = bits.join(sets.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.size("own").alias("n")), "a")
+        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+        most = F.least(F.col("n") - lacks(F.col("x"), F.col("y")), F.col("m") - lacks(F.col("y"), F.col("x")))
+        near = scratch.save(bits.filter(100 * most >= percent * (F.col("n") + F.col("m") - most)).select("a", "b"), f"near{turn}")
+        left = near.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
         both = left.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y")).cast("long")
         links_now = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")

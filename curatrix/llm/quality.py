@@ -32,7 +32,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 #: Hashes of words seen in this Python worker; emptied when full.
 _SEEN: dict[str, int] = {}
-_MOST_SEEN = 400_000
+_MOST_SEEN = 100_000
 
 
 def features(text: str, bits: int = BITS) -> np.ndarray:

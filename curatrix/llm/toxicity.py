@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
 class Scorer:
     """Scores of texts; margins of units seen are kept, up to a bound."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
