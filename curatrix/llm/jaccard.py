@@ -131,7 +131,7 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, _th, n (set size), node (digest of the set, null if empty) and sigs of every row."""
+    """doc_id, _th, n (set size), node (digest of the set, null if empty), sigs and bits (the set's bitmap) of every row."""
     counts = bucket_counts(docs, words)
     frequent = float(TIMES * counts.mean() + MORE)
     sent = docs.sparkSession.sparkContext.broadcast((counts, frequent))
@@ -140,29 +140,30 @@ def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, frequent = sent.value
         for batch in batches:
-            sizes, nodes, sigs = [], [], []
+            sizes, nodes, sigs, bits = [], [], [], []
             for text in batch.column(2):
                 own = shingles(text.as_py().encode(), words)
                 sizes.append(len(own))
                 nodes.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 sigs.append(np.unique(signatures(own, counts, frequent, percent)).view(np.int64) if len(own) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "_th", "n", "node", "sigs"])
+                bits.append(bitmap(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "_th", "n", "node", "sigs", "bits"])
 
-    return map_batches(_texts(docs), run, f"doc_id {kind}, _th long, n long, node binary, sigs array<long>")
+    return map_batches(_texts(docs), run, f"doc_id {kind}, _th long, n long, node binary, sigs array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """node, its sorted shingles and their bitmap, for the representative rows (doc_id, _th) given."""
+    """node and its sorted shingles, for the representative rows (doc_id, _th) given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py().encode(), words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["node", "own", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
 
     want = rows.withColumnsRenamed({"doc_id": "_id", "_th": "_of"})
     want = F.broadcast(want) if rows.count() <= FILTER_ROWS else want
     texts = _texts(docs).join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    return map_batches(texts, run, "node binary, own array<long>, bits array<long>").dropDuplicates(["node"])
+    return map_batches(texts, run, "node binary, own array<long>").dropDuplicates(["node"])
 
 
 def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
@@ -214,14 +215,14 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     nodes = scratch.save(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("of"), F.max("n").alias("n")).select("node", "n", "of.doc_id", "of._th"), "nodes")
     of = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("_th").alias("_of"))
     heads = full.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    heads = scratch.save(heads.select("node", "n", "sigs"), "heads")
+    heads = scratch.save(heads.select("node", "n", "sigs", "bits"), "heads")
     # keys that two rows have at least; only these are looked at again
     shared = scratch.save(heads.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), "keys")
     shared = F.broadcast(shared) if shared.count() <= KEYS_SENT else shared
     index_rows = scratch.save(heads.select("node", "n", F.explode("sigs").alias("sig")).join(shared, "sig").distinct(), "shared0")
+    marks = heads.select("node", "n", "bits").join(index_rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    marks = scratch.save(marks, "marks")
     scratch.drop("keys", "heads")
-    involved = nodes.join(index_rows.select("node").distinct(), "node", "left_semi").select("doc_id", "_th")
-    sets = scratch.save(_sets(docs, involved, words), "sets")
 
     roots = met = None
     k, turn = 1, 0
@@ -235,11 +236,13 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         pairs = scratch.save(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), f"pairs{turn}")
         met = pairs if met is None else met.unionAll(pairs)
         # a class that only one set has is a shingle that the other lacks: most pairs that can't link end here, at 128 bytes a set
-        bits = pairs.join(sets.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.size("own").alias("m")), "b")
-        bits = bits.join(sets.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.size("own").alias("n")), "a")
+        bits = pairs.join(marks.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+        bits = bits.join(marks.select(F.col("node").alias("a"), F.col("bits").alias("x"), "n"), "a")
         lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
         most = F.least(F.col("n") - lacks(F.col("x"), F.col("y")), F.col("m") - lacks(F.col("y"), F.col("x")))
         near = scratch.save(bits.filter(100 * most >= percent * (F.col("n") + F.col("m") - most)).select("a", "b"), f"near{turn}")
+        ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
+        sets = scratch.save(_sets(docs, nodes.join(ends, "node", "left_semi").select("doc_id", "_th"), words), f"sets{turn}")
         left = near.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
         both = left.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y")).cast("long")
@@ -251,7 +254,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         rooted = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
         index_rows = scratch.save(rest.join(open_, "sig"), f"shared{turn + 1}")
-        scratch.drop(f"shared{turn}", f"centers{turn}")
+        scratch.drop(f"shared{turn}", f"centers{turn}", f"near{turn}", f"sets{turn}")
         k, turn = k * GROWTH, turn + 1
 
     named = nodes.select("node", "doc_id")
