@@ -28,6 +28,8 @@ BLOCK, SHARDS, WEIGHTS, MOST, SEED = 128, 8, (5, 2, 1), 3, 11
 ROUNDS, PER_PARTITION, PIECE = 12, 8, 1 << 16
 #: Sources up to this number are broadcast; more are joined by a shuffle.
 SMALL = 10_000
+#: One copy, in the whole numbers that shares are added up in.
+ONE = 1 << 20
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> list[float]:
@@ -121,9 +123,30 @@ def taken(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights: tu
     return both.join(F.broadcast(sources) if len(sums) <= SMALL else sources, "_source").select("doc_id", "_th", "_source", "size", "source_size", "target", "taken")
 
 
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, _th and _source of every document with words, and _times: how often it is repeated.
+
+    The shares taken / size of a source are laid end to end, by classes of size, and every whole number passed is a copy.  A
+    document gets its share rounded up or down, on average its share; as neighbours are of like size, the words of the
+    copies stay near the words taken.  Repeated rows of one document share a place and are repeated alike.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "copies")
+    each = taken(docs, **options).filter("size > 0").groupBy("doc_id", "_th", "_source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"))
+    each = each.withColumns({"_share": F.expr(f"cast(round(taken / (n * size) * {ONE}) as long)"), "_class": F.expr("cast(floor(8 * log2(n * size)) as int)")})
+    each = each.withColumn("_hash", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 32)))
+    each = each.withColumn("_bucket", F.expr(f"_hash * {shuffle_partitions(spark)} div {1 << 32}").cast("int"))
+    each = scratch.save(each.select("doc_id", "_th", "_source", "_class", "_bucket", "_hash", "_share"), "shares")
+    upto = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = each.groupBy("_source", "_class", "_bucket").agg(F.sum("_share").alias("_in"))
+    heads = heads.select("_source", "_class", "_bucket", (F.sum("_in").over(upto) - F.col("_in") + F.pmod(F.xxhash64(F.lit(SEED), "_source"), F.lit(ONE))).alias("_head"))
+    own = Window.partitionBy("_source", "_class", "_bucket").orderBy("_hash", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = each.join(heads, ["_source", "_class", "_bucket"]).withColumn("_end", F.sum("_share").over(own) + F.col("_head"))
+    return ends.select("doc_id", "_th", "_source", F.expr(f"cast(_end div {ONE} - (_end - _share) div {ONE} as int)").alias("_times"))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as it is taken (to the nearest whole number; at least once if taken at all)."""
-    each = taken(docs, **options).filter("taken > 0").groupBy("doc_id", "_th", "_source").agg(F.expr("cast(greatest(1, round(avg(taken / size))) as int)").alias("_times"))
+    """The rows of docs, all columns, repeated so that each source's words meet what is taken of it; see ``copies``."""
+    each = copies(docs, **options).filter("_times > 0")
     each = each.withColumnsRenamed({"doc_id": "_id", "_th": "_of", "_source": "_from"})
     rows = docs.withColumns({"_th": F.xxhash64(sql_text()), "_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))})
     met = rows.join(each.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")) & (F.col("_source") == F.col("_from")))

@@ -299,6 +299,27 @@ def test_mixture(spark):
     assert mixture.taken(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [200, 2000])
+def test_mix_meets_targets(spark, longest):
+    rng = random.Random(7)
+    texts = [words(rng, rng.randrange(1, longest)) for _ in range(600)]
+    docs = table(spark, texts)
+    rows = mixture.taken(docs).collect()
+    size, source, target = {r.doc_id: r.size for r in rows}, {r.doc_id: r._source for r in rows}, {r._source: r.target for r in rows}
+    times = Counter(r.doc_id for r in mixture.mix(docs).collect())
+    emitted = Counter()
+    for i, n in times.items():
+        emitted[source[i]] += n * size[i]
+    for s, t in target.items():
+        assert abs(emitted[s] - t) <= 0.02 * t + longest, (s, emitted[s], t)
+    assert all(abs(times[r.doc_id] - r.taken / r.size) < 1 for r in rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert times == Counter(r.doc_id for r in mixture.mix(docs.repartition(5)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # --- the pipeline
 
 
