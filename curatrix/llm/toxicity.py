@@ -1,7 +1,7 @@
 """Toxicity: support vector machine over a gap-weighted subsequence string kernel, with Nyström landmarks.
 
-A unit is a word between two border marks; single characters set apart by blanks or marks ("i d i o t") are joined
-to one unit, long units are windowed.  The kernel of two units compares all subsequences of ORDER characters within
+A unit is a word between two border marks; single characters set apart by blanks or marks ("i d i o t", "i - d - i - o - t")
+are joined to one unit, a word with marks inside ("i--d--i--o--t") also counts without them, long units are windowed.  The kernel of two units compares all subsequences of ORDER characters within
 SPAN places, each weighing DECAY ** places, normalised and raised to the power POWER; inserted characters only
 lower it.  Landmarks are units that tell toxic texts from others, picked until they cover the toxic texts.  A unit's
 features are its kernels with the landmarks times the inverse root of the landmarks' own kernel matrix (Nyström).
@@ -43,6 +43,10 @@ WIDTH, STEP = 20, 10
 CODES = 64
 
 _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+#: Single letters or digits set apart by any blanks and marks, and the marks within a word.
+_APART = re.compile(r"(?<![^\W_])[^\W_](?=[\W_])(?:[\W_]+[^\W_](?![^\W_])){2,}")
+_MARKS = re.compile(r"[\W_]+")
+_WITHIN = re.compile(r"(?<=[^\W_])[\W_]+(?=[^\W_])")
 _OFFSETS = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -52,6 +56,9 @@ def units_of(text: str) -> set[str]:
     out = {w for w in low.split() if len(w) > 2}
     for run in _SINGLES.findall(low):
         out.add("".join(run.split()))
+    for run in _APART.findall(low):
+        out.add(_MARKS.sub("", run))
+    out.update([u for w in out if not w.isalnum() and len(u := _WITHIN.sub("", w)) > 2])
     return out
 
 

@@ -181,3 +181,13 @@ def test_toxicity_tolerates_gaps(spark, labelled):
     kept = toxicity.reject(table(spark, ["fine words", "you grobnik", None]), model)
     assert kept.columns == table(spark, []).columns
     assert {r.doc_id for r in kept.collect()} == {0, 2}
+
+
+def test_toxicity_joins_across_marks(spark, labelled):
+    docs, labels = labelled
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
+    plain = scorer(["shed ondrel grobnik thun"])[0]
+    for between in ("-", ".", "_", "--", "*.*", " - ", " . ", "\n", " "):
+        assert scorer([f"shed ondrel {between.join('grobnik')} thun"])[0] >= plain, between
+    assert toxicity.units_of("a-b well-known x.y.z") >= {"wellknown", "well-known", "xyz"}
+    assert "ab" not in toxicity.units_of("a-b")
