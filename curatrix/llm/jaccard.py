@@ -204,8 +204,8 @@ def between(links: DataFrame, roots: DataFrame) -> DataFrame:
     return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, _th, n_shingles and component_id of every row: rows link when 100 * common >= percent * union shingles."""
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rooted: bool = False) -> DataFrame:
+    """doc_id, _th, n_shingles and component_id (if rooted, root: a key of the component) of every row: rows link when 100 * common >= percent * union shingles."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100: below, a prefix may not suffice")
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -261,20 +261,32 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     if roots is not None:
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "root").select("node", "component_id")
+        named = named.join(least, "root").select("node", "component_id", "root")
     else:
-        named = named.select("node", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "_th", "n", "node").join(named, "node").select("doc_id", "_th", F.col("n").alias("n_shingles"), "component_id")
-    return scratch.only(out.unionAll(rows.filter("n = 0").select("doc_id", "_th", "n", F.col("doc_id").alias("component_id"))), "components")
+        named = named.select("node", F.col("doc_id").alias("component_id"), F.col("node").alias("root"))
+    root = ["root"] if rooted else []
+    out = full.select("doc_id", "_th", "n", "node").join(named, "node").select("doc_id", "_th", F.col("n").alias("n_shingles"), "component_id", *root)
+    none = rows.filter("n = 0").select("doc_id", "_th", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
+    return scratch.only(out.unionAll(none.select("doc_id", "_th", "n", "component_id", *root)), "components")
 
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, without the rows whose component has a lesser doc_id; of repeated rows of one document one stays."""
-    found = components(docs.select("doc_id", "text"), words, percent)
-    gone = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_of")).distinct()
+    """docs, all columns: the rows without shingles, and one row of each component, the first by doc_id (null last), hash of the text and JSON of the row."""
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))
+    found = components(docs.select("doc_id", "text"), words, percent, rooted=True).filter("n_shingles > 0")
+    heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("of")).select(F.col("of.doc_id").alias("_id"), F.col("of._th").alias("_of"))
+    each = found.groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("_n"))
     rows = docs.withColumn("_th", F.xxhash64(sql_text()))
-    kept = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_anti")
-    return kept.drop("_th")
+    repeated = each.filter("_n > 1").join(heads, key, "left_semi").select("doc_id", "_th")
+    gone = each.join(heads, key, "left_anti").select("doc_id", "_th")
+    again = not repeated.isEmpty()
+    some = (gone.unionAll(repeated) if again else gone).toDF("_id", "_of")
+    kept = rows.join(some.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    if again:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        copies = rows.join(repeated.toDF("_id", "_of").hint("shuffle_hash"), key, "left_semi")
+        kept = kept.unionAll(copies.groupBy("doc_id", "_th").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*"))
+    return kept
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,17 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.components(table(spark, []), 3, 90).count() == 0
 
 
+def test_dedup_repeated_rows_and_null_ids(spark):
+    texts = ["a b c d e f", "A b c d e f", "a b c d e f", "p q r s t u", "p q r s t u", "x y z v w u", "x y z v w u", "k l m n o p", "k l m n o p", "g h i j k l", "", ""]
+    ids = [7, 7, 9, 3, 3, None, None, 4, None, 4, None, None]
+    docs = table(spark, texts, ids)
+    for given in (docs, docs.repartition(5)):
+        kept = jaccard.dedup(given)
+        assert kept.columns == docs.columns
+        got = Counter((r.doc_id, r.text.lower()) for r in kept.collect())
+        assert got == Counter([(7, texts[0]), (3, texts[3]), (None, texts[5]), (4, texts[7]), (4, texts[9]), (None, ""), (None, "")])
+
+
 # --- line dedup
 
 
