@@ -1,30 +1,38 @@
 """Word-shingle Jaccard join by token-combination prefixes, and its connected components.
 
-1. Shingles are counted in 2**BITS hash buckets over all documents.  The counts give one global order of the shingles,
-   rarest bucket first, and split them into a rare class and GROUPS frequent classes.
-2. A set of n shingles with threshold p may miss t = floor(n (100 - p) / 100) of a partner's.  Its prefix is extended until
-   no t removals can break every class: a rare shingle counts 1, the c shingles of a frequent class count c - 1.
-   Indexed are the single rare shingles and the pairs within a frequent class.  Of two sets that link, the one
-   whose prefix ends first keeps a rare shingle, or two of one class, in common with the other's prefix, so the join
-   is exact.  Sets of less than SMALL shingles, for which pairs would not suffice, index singles only; sizes
-   between SMALL and its largest partner index both.
-3. Equal sets are one node from the start.  In each index bucket the least node of each of k hash groups is paired with
-   the bucket's other nodes (k = 1, 16, 256, ...), pairs of one component or of sizes too different are left out,
-   the others are verified on the whole sets, and verified links are contracted.  A node that has met its whole
-   bucket leaves it; a bucket of one component is settled.  No bucket is collected or expanded into all its pairs
-   unless its nodes really are unlinked, none is capped, and the loop ends when every bucket is settled.
-
-Shingles are 64-bit hashes, sets are named by 128-bit digests of their hashes.
+1. One pass over the texts makes sets of 64-bit shingle hashes.  Equal sets are one node.  A set of n shingles with
+   threshold p may miss t = floor(n (100 - p) / 100) of a partner's; the pass keeps the first EXTRA * (t + 1) shingles of
+   each set in the order of their hashes.
+2. Shingles that more than RARE nodes keep there are frequent.  The global order of shingles puts the frequent ones last.  A node
+   whose kept shingles hold t + 1 rare ones has its prefix; the whole sets of the others are read, all their shingles
+   counted, and this repeats until no new shingle turns frequent in a way that leaves another node short.
+3. Nodes with t + 1 rare shingles index these.  The prefix of any other is extended over its frequent shingles, which are dealt
+   into classes by hash, until no t removals can break every class: a rare shingle counts 1, the c shingles of a class
+   c - k + 1.  Indexed are its rare shingles and all combinations of k shingles of one class.  Of two sets that link, the one whose
+   prefix ends first keeps a rare shingle, or k of one class, in common with the other's prefix, so the join is
+   exact.  The number of classes grows with the power of two at or below the set's size, so keys grow with the set's
+   size only; a set that may have a smaller partner below that power is indexed for the next lower one, too.
+4. Two sets may only link in a bucket if their sizes and the places of the shared key in either set leave room for enough
+   common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others; links
+   found are contracted.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
+   with all others.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
+   combinations of k + 1.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
+   verified on the whole sets.
+
+No bucket, pair or link is dropped: at MOST_K the remaining buckets are expanded as they are.  Sets are named by 128-bit
+digests, which are numbered for the join.
 
 Defined results: null and empty texts (and texts of white space) have no shingles and link with nothing; shorter
 texts are one shingle; repeated rows and equal sets are one node; rows with null doc_id take part and get the
-least doc_id of their component, null if it has none; extra columns are not read by ``components`` and kept by ``dedup``.
+least doc_id of their component, null if it has none; extra columns, whatever their names, are not read by ``components`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +44,16 @@ from curatrix.llm._run import Scratch, map_batches, sql_text, table
 
 #: Words of a shingle and least similarity in per cent, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Count buckets as a power of two, classes of frequent shingles, least set that indexes pairs.
-BITS, GROUPS, SMALL = 18, 16, 64
-#: A bucket is frequent from this many times the mean count, and this many more.
-TIMES, MORE = 2, 64
-#: Growth of the number of centres of a bucket from turn to turn.
-GROWTH = 16
-#: Involved documents up to this number are sent to the tasks as a filter; more are joined by a shuffle.
-FILTER_ROWS = 1_000_000
-#: Bits of a set's bitmap.
-MARKS = 1024
-#: Shared index keys up to this number are sent to the tasks; more are joined by a shuffle.
-KEYS_SENT = 2_000_000
+#: Shingles kept of a set, in prefixes; nodes that may keep a shingle before it is frequent.
+EXTRA, RARE = 1.5, 8
+#: Frequent shingles held in memory at most: beyond, only more frequent ones count as such.
+MOST_FREQUENT = 4_000_000
+#: Shingles of a combination, to begin with and at most; pairs across components that a bucket may have for each node.
+LEAST_K, MOST_K, LIMIT = 2, 4, 32
+#: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle.
+FILTER_ROWS = 2_000_000
+#: Parities of a set, and longs of these that are compared inside a bucket.
+PARITIES, WORDS_COMPARED = 1024, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -75,217 +81,393 @@ def shingles(data: bytes, words: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def signatures(own: np.ndarray, counts: np.ndarray, frequent: float, percent: int) -> np.ndarray:
-    """The index keys of a set: hashes of rare shingles and of pairs in frequent classes."""
-    n = len(own)
-    t = n * (100 - percent) // 100
-    count = counts[(own >> np.uint64(64 - BITS)).astype(np.int64)]
-    order = np.lexsort((own, count))
-    out = []
-    if n < -(-SMALL * 100 // percent) + 1:  # sizes below SMALL, and the largest partner of such
-        out.append(own[order[: t + 1]] * _C)
-    if n >= SMALL:
-        ranked, often = own[order], count[order] > frequent
-        group = np.where(often, (ranked % np.uint64(GROUPS)).astype(np.int64), -1)
-        # worth of each shingle: 0 for the first of a frequent class, else 1
-        _, first = np.unique(group, return_index=True)
-        worth = np.ones(n, np.int64)
-        worth[first[group[first] >= 0]] = 0
-        end = int(np.searchsorted(np.cumsum(worth), t + 1)) + 1
-        prefix, group = ranked[:end], group[:end]
-        out.append(prefix[group < 0] * _B)
-        for g in np.unique(group[group >= 0]):
-            both = prefix[group == g]
-            i, j = np.triu_indices(len(both), 1)
-            lo, hi = np.minimum(both[i], both[j]), np.maximum(both[i], both[j])
-            out.append((lo * _A) ^ (hi * _C))
-    return np.concatenate(out)
-
-
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """A bit for each of MARKS hash classes that the set has a shingle of, 64 to a word."""
-    marks = np.zeros(MARKS, np.uint8)
-    marks[(own % np.uint64(MARKS)).astype(np.int64)] = 1
-    return np.packbits(marks).view(np.int64)
+def misses(n: int, percent: int) -> int:
+    """How many of n shingles a partner may lack."""
+    return n * (100 - percent) // 100
+
+
+@lru_cache(maxsize=256)
+def _subsets(c: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(c), k)), np.int64).reshape(-1, k)
+
+
+def signatures(own: np.ndarray, often: np.ndarray, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and how many of its shingles stand before each; ``often`` marks the frequent ones.
+
+    own is in the order of hashes, so the global order is its rare shingles, then the frequent ones.
+    """
+    n, rare = len(own), own[~often]
+    t, r = misses(n, percent), len(rare)
+    if r > t:
+        return rare[: t + 1], np.arange(t + 1)
+    rest, keys = own[often], [rare]
+    low = 1 << (n.bit_length() - 1)
+    for size in [low] + [low // 2] * (-(-n * percent // 100) < low):
+        least = -(-size * percent // 100)  # shingles that any set of this size or more keeps
+        few = min(k, least)
+        classes = max(1, min((misses(size, percent) + 1) // 2, (least - 1) // (few - 1) if few > 1 else n))
+        group = (rest * _C >> np.uint64(33)) % np.uint64(classes)
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=np.uint64(classes)))
+        nth = np.empty(len(rest), np.int64)
+        nth[order] = np.arange(len(rest)) - np.repeat(first, np.diff(np.append(first, len(rest))))
+        end = int(np.searchsorted(np.cumsum(nth >= few - 1), t + 1 - r)) + 1
+        order = order[order < end]
+        first = np.flatnonzero(np.diff(group[order], prepend=np.uint64(classes)))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            if b - a >= few:
+                some = rest[order[a:b]][_subsets(b - a, few)]
+                key = np.full(len(some), size * 8 + few, np.uint64)
+                for i in range(few):
+                    key = (key ^ some[:, i]) * _A
+                    key = (key ^ (key >> np.uint64(31))) * _B
+                keys.append(key)
+    keys = np.unique(np.concatenate(keys[1:])) if len(keys) > 1 else rest[:0]
+    return np.concatenate([rare, keys]), np.concatenate([np.arange(r), np.full(len(keys), r)])
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """Of each of PARITIES hash classes whether the set has an odd number of shingles of it, 64 to a word: two sets differ in as many bits at most as in shingles."""
+    return np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list<long> array."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sql_text().alias("text")).select("doc_id", F.xxhash64("text").alias("_th"), "text")
 
 
-def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles in each of the 2**BITS buckets, over all documents: an array of fixed size."""
+def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, _th (hash of the text), n (set size), node (digest of the set, null if empty), kept (its first shingles) and bits (the set's parities) of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            sets = [shingles(t.as_py().encode(), words) for t in batch.column(2)]
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["bucket", "n"])
+            sets = [shingles(text.as_py().encode(), words) for text in batch.column(2)]
+            nodes = [blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None for own in sets]
+            kept = [own[: int(EXTRA * (misses(len(own), percent) + 1))] for own in sets]
+            cols = [batch.column(0), batch.column(1), pa.array([len(own) for own in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists(kept), _lists([parities(own) for own in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_th", "n", "node", "kept", "bits"])
 
-    out = np.zeros(1 << BITS, np.int64)
-    found = map_batches(_texts(docs), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    return map_batches(_texts(docs), run, f"doc_id {kind}, _th long, n long, node binary, kept array<long>, bits array<long>")
 
 
-def index(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, _th, n (set size), node (digest of the set, null if empty), sigs and bits (the set's bitmap) of every row."""
-    counts = bucket_counts(docs, words)
-    frequent = float(TIMES * counts.mean() + MORE)
-    sent = docs.sparkSession.sparkContext.broadcast((counts, frequent))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def whole_sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """v and own (its sorted shingles) of the rows v, doc_id, _th given, as often as docs has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, frequent = sent.value
         for batch in batches:
-            sizes, nodes, sigs, bits = [], [], [], []
-            for text in batch.column(2):
-                own = shingles(text.as_py().encode(), words)
-                sizes.append(len(own))
-                nodes.append(blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                sigs.append(np.unique(signatures(own, counts, frequent, percent)).view(np.int64) if len(own) else [])
-                bits.append(bitmap(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "_th", "n", "node", "sigs", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t.as_py().encode(), words) for t in batch.column(1)])], ["v", "own"])
+
+    want = rows.select("v", F.col("doc_id").alias("_id"), F.col("_th").alias("_of"))
+    few = rows.count() <= FILTER_ROWS
+    want = F.broadcast(want) if few else want.hint("shuffle_hash")
+    texts = _texts(docs).join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))).select("v", "text")
+    return map_batches(texts, run, "v long, own array<long>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list<long> array as unsigned numbers, and where its lists begin and end."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+class Frequent:
+    """The frequent shingles, sorted."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+
+    def __call__(self, some: np.ndarray) -> np.ndarray:
+        """Which of some are frequent."""
+        if not len(self.known):
+            return np.zeros(len(some), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, some), len(self.known) - 1)] == some
+
+    def short(self, kept: pa.Array, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows of kept shingles: all these, which are rare, where rows begin and end, and which rows keep too few rare ones."""
+        values, ends = _flat(kept)
+        rare = ~self(values)
+        upto = np.concatenate([[0], np.cumsum(rare)])
+        return values, rare, ends, upto[ends[1:]] - upto[ends[:-1]] <= n * (100 - percent) // 100
 
-    return map_batches(_texts(docs), run, f"doc_id {kind}, _th long, n long, node binary, sigs array<long>, bits array<long>")
 
+_KEYS = "sig long, v long, n long, pos long"
 
-def _sets(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """node and its sorted shingles, for the representative rows (doc_id, _th) given."""
+
+def short_nodes(heads: DataFrame, frequent: Frequent, percent: int) -> DataFrame:
+    """v of the nodes whose kept shingles hold too few rare ones for a prefix."""
+    sent = heads.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py().encode(), words) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
+            *_, short = sent.value.short(batch.column(2), batch.column(1).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(short))], ["v"])
+
+    return map_batches(heads.select("v", "n", "kept"), run, "v long")
+
 
-    want = rows.withColumnsRenamed({"doc_id": "_id", "_th": "_of"})
-    want = F.broadcast(want) if rows.count() <= FILTER_ROWS else want
-    texts = _texts(docs).join(want, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    return map_batches(texts, run, "node binary, own array<long>").dropDuplicates(["node"])
+def rare_keys(heads: DataFrame, frequent: Frequent, percent: int) -> DataFrame:
+    """Index rows of the nodes that keep enough rare shingles."""
+    sent = heads.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            values, rare, ends, short = sent.value.short(batch.column(2), n, percent)
+            owner = np.repeat(np.arange(len(n)), np.diff(ends))
+            place = np.cumsum(rare) - 1
+            place -= np.repeat(np.concatenate([[0], np.cumsum(rare)])[ends[:-1]], np.diff(ends))
+            used = np.flatnonzero(rare & ~short[owner] & (place <= (n * (100 - percent) // 100)[owner]))
+            yield pa.RecordBatch.from_arrays([pa.array(values[used].view(np.int64)), pa.array(batch.column(0).to_numpy()[owner[used]]), pa.array(n[owner[used]]), pa.array(place[used])], ["sig", "v", "n", "pos"])
+
+    return map_batches(heads.select("v", "n", "kept"), run, _KEYS)
+
+
+def combined_keys(sets: DataFrame, frequent: Frequent, percent: int, k: int) -> DataFrame:
+    """Index rows of whole sets (v, own)."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = _flat(batch.column(1))
+            often = sent.value(values)
+            for v, a, b in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                sigs, pos = signatures(values[a:b], often[a:b], percent, k)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(np.full(len(sigs), v)), pa.array(np.full(len(sigs), b - a)), pa.array(pos)], ["sig", "v", "n", "pos"])
+
+    return map_batches(sets.select("v", "own"), run, _KEYS)
 
 
 def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
-    """node and root, the least node of its component, for the nodes of roots and of links (a, b); links are between roots.
+    """v and root, the least node of its component, for the nodes of roots and of links (a, b).
 
     Each component hooks onto its least neighbour, pointers are followed until they are roots, and links inside
     a component go; of any two linked components the greater one goes in each turn.
     """
-    edges, turn = links.select("a", "b"), 0
+    edges, turn, old = between(links, roots), 0, []
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"{name}-up{turn}-0")
+        last = f"{name}-up{turn}-0"
+        up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("root")), last)
         jump, moved = 0, True
         while moved:
             for _ in range(2):
-                to = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-                up = up.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
-            up, jump = scratch.save(up, f"{name}-up{turn}-{jump + 1}"), jump + 1
+                to = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
+                up = up.join(to, "root", "left").select("v", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
+            jump += 1
+            up = scratch.save(up, f"{name}-up{turn}-{jump}")
+            scratch.drop(last)
+            last = f"{name}-up{turn}-{jump}"
             moved = not up.filter("moved").isEmpty()
             up = up.drop("moved")
         if roots is None:
             roots = up
         else:
-            to = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            older = roots.join(to, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            roots = scratch.save(older.unionAll(up.join(roots.select("node"), "node", "left_anti").select("node", "root")), f"{name}-roots{turn}")
+            to = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
+            older = roots.join(to, "root", "left").select("v", F.coalesce("next", "root").alias("root"))
+            roots = scratch.save(older.unionAll(up.join(roots.select("v"), "v", "left_anti").select("v", "root")), f"{name}-roots{turn}")
+            old.append(f"{name}-roots{turn}")
         edges = scratch.save(between(edges, up), f"{name}-edges{turn}")
+        scratch.drop(*([f"{name}-edges{turn - 1}"] if turn else []), *old[:-1])
+        old = old[-1:]
         if edges.isEmpty():
             return roots
         turn += 1
 
 
-def between(links: DataFrame, roots: DataFrame) -> DataFrame:
+def between(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Links (a, b) as links between different roots, each once."""
-    for c in "ab":
-        links = links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    if roots is not None:
+        for c in "ab":
+            links = links.join(roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+        links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, rooted: bool = False) -> DataFrame:
-    """doc_id, _th, n_shingles and component_id (if rooted, root: a key of the component) of every row: rows link when 100 * common >= percent * union shingles."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be 50 to 100: below, a prefix may not suffice")
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = scratch.save(index(docs, words, percent), "index")
-    full = rows.filter("n > 0")
-    # the row that stands for a node: the one with the least doc_id
-    nodes = scratch.save(full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("of"), F.max("n").alias("n")).select("node", "n", "of.doc_id", "of._th"), "nodes")
-    of = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), F.col("_th").alias("_of"))
-    heads = full.join(of, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of")), "left_semi")
-    heads = scratch.save(heads.select("node", "n", "sigs", "bits"), "heads")
-    # keys that two rows have at least; only these are looked at again
-    shared = scratch.save(heads.select(F.explode("sigs").alias("sig")).groupBy("sig").count().filter("count > 1").select("sig"), "keys")
-    shared = F.broadcast(shared) if shared.count() <= KEYS_SENT else shared
-    index_rows = scratch.save(heads.select("node", "n", F.explode("sigs").alias("sig")).join(shared, "sig").distinct(), "shared0")
-    marks = heads.select("node", "n", "bits").join(index_rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    marks = scratch.save(marks, "marks")
-    scratch.drop("keys", "heads")
-
-    roots = met = None
-    k, turn = 1, 0
-    while not index_rows.isEmpty():
-        now = index_rows.withColumn("root", F.col("node")) if roots is None else index_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        group = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(k))
-        centers = now.groupBy("sig", group.alias("g")).agg(F.min(F.struct("node", "n", "root")).alias("c")).select("sig", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.root").alias("cr"))
-        centers = scratch.save(centers, f"centers{turn}")
-        fits = (F.least("n", "cs") * 100 >= F.greatest("n", "cs") * percent) & (F.col("root") != F.col("cr"))
-        pairs = now.join(centers, "sig").filter(fits).select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
-        pairs = scratch.save(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), f"pairs{turn}")
-        met = pairs if met is None else met.unionAll(pairs)
-        # a class that only one set has is a shingle that the other lacks: most pairs that can't link end here, at 128 bytes a set
-        bits = pairs.join(marks.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
-        bits = bits.join(marks.select(F.col("node").alias("a"), F.col("bits").alias("x"), "n"), "a")
-        lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
-        most = F.least(F.col("n") - lacks(F.col("x"), F.col("y")), F.col("m") - lacks(F.col("y"), F.col("x")))
-        near = scratch.save(bits.filter(100 * most >= percent * (F.col("n") + F.col("m") - most)).select("a", "b"), f"near{turn}")
-        ends = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
-        sets = scratch.save(_sets(docs, nodes.join(ends, "node", "left_semi").select("doc_id", "_th"), words), f"sets{turn}")
-        left = near.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        both = left.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+class Join:
+    """One similarity join: its scratch tables, the components and the pairs found so far."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int):
+        if not 50 <= percent <= 100:
+            raise ValueError("percent must be 50 to 100: below, a prefix may not suffice")
+        self.docs, self.words, self.percent, self.scratch = docs, words, percent, Scratch(docs.sparkSession, "jaccard")
+        self.roots: DataFrame | None = None
+        self.met: DataFrame | None = None
+        self.sets: DataFrame | None = None
+        self.turn = 0
+        save = self.scratch.save
+        rows = save(index(docs, words, percent).withColumn("uid", F.monotonically_increasing_id()), "index")
+        full = rows.filter("n > 0")
+        # the row that stands for a node is the one with the least doc_id; the node has its number
+        of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th", "uid")).alias("of")
+        nodes = full.groupBy("node").agg(of, F.count(F.lit(1)).alias("c")).select("node", "c", "of.doc_id", "of._th", F.col("of.uid").alias("v"))
+        self.nodes = save(nodes, "nodes")
+        narrow = rows.select("doc_id", "_th", "n", "node", "uid").join(self.nodes.select("node", "v"), "node", "left").drop("node")
+        self.rows = save(narrow, "rows")
+        copies = self.small(self.rows.filter("v <> uid").select("uid"))
+        self.heads = save(full.select("uid", "n", "kept", "bits").join(copies, "uid", "left_anti").withColumnRenamed("uid", "v"), "heads")
+        self.repeated = not self.rows.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty()
+        self.scratch.drop("index")
+
+    @staticmethod
+    def small(df: DataFrame) -> DataFrame:
+        """df, to be sent to the tasks if it has FILTER_ROWS rows at most."""
+        return F.broadcast(df) if df.count() <= FILTER_ROWS else df
+
+    def _add_sets(self, nodes: DataFrame) -> DataFrame:
+        """The known sets, those of nodes (v) among them."""
+        want = nodes if self.sets is None else nodes.join(self.sets.select("v"), "v", "left_anti")
+        more = whole_sets(self.docs, self.nodes.join(want, "v", "left_semi"), self.words)
+        more = self.scratch.save(more.dropDuplicates(["v"]) if self.repeated else more, f"sets{self.turn}")
+        self.turn += 1
+        self.sets = more if self.sets is None else self.sets.unionAll(more)
+        return self.sets
+
+    def keys(self) -> DataFrame:
+        """The index with combinations of LEAST_K shingles; finds the frequent shingles first."""
+        save = self.scratch.save
+        counted = save(self.heads.select(F.explode("kept").alias("sig")).groupBy("sig").count().filter(F.col("count") > RARE), "counted")
+        most = RARE
+        while counted.filter(F.col("count") > most).count() > MOST_FREQUENT:
+            most *= 2
+        fetch = lambda found: np.sort(found.filter(F.col("count") > most).select("sig").toArrow()["sig"].to_numpy().view(np.uint64))
+        self.frequent = Frequent(fetch(counted))
+        turn, short = 0, None
+        while True:
+            now = short_nodes(self.heads, self.frequent, self.percent)
+            now = save(now if short is None else now.join(short, "v", "left_anti"), f"short{turn}")
+            if now.isEmpty():
+                break
+            short = now if short is None else short.unionAll(now)
+            sets = self._add_sets(now)
+            counted = sets.select(F.explode("own").alias("sig")).groupBy("sig").count().filter(F.col("count") > most)
+            more = np.union1d(self.frequent.known, fetch(save(counted, f"counted{turn}")))
+            if len(more) == len(self.frequent.known) or len(more) > 2 * MOST_FREQUENT:
+                break
+            self.frequent, turn = Frequent(more), turn + 1
+        out = rare_keys(self.heads, self.frequent, self.percent)
+        return out if short is None else out.unionAll(combined_keys(self.sets, self.frequent, self.percent, LEAST_K))
+
+    def shared(self, keys: DataFrame, name: str) -> DataFrame:
+        """The index rows of keys that two nodes have, one of them so near its begin that the other may be larger."""
+        keys = self.scratch.save(keys, f"{name}-all")
+        # one sum counts the nodes and, in units of 2**32, those near their begin
+        both = F.sum(F.when(self.leads(), (1 << 32) + 1).otherwise(1)).alias("c")
+        both = keys.groupBy("sig").agg(both).filter(f"c > {1 << 32} and c & {(1 << 32) - 1}L > 1").select("sig")
+        both = self.scratch.save(both, f"{name}-sigs")
+        out = self.scratch.save(keys.join(self.small(both), "sig"), name)
+        self.scratch.drop(f"{name}-all", f"{name}-sigs")
+        return out
+
+    def leads(self) -> F.Column:
+        """Whether a node may link in the bucket with one of its size or more."""
+        return F.expr(f"(n - pos) * {100 + self.percent} >= n * {2 * self.percent}")
+
+    def fits(self, n: str, pos: str, m: str, at: str) -> F.Column:
+        """Whether sizes and places leave room for enough common shingles."""
+        return F.expr(f"least({n} - {pos}, {m} - {at}) * {100 + self.percent} >= {self.percent} * ({n} + {m})")
+
+    def near(self, n: str, m: str, differ: str) -> F.Column:
+        """Whether sets that differ in so many parities may link: those that do differ in (n + m) (100 - p) / (100 + p) shingles at most."""
+        return F.expr(f"({differ}) * {100 + self.percent} <= ({n} + {m}) * {100 - self.percent}")
+
+    def rooted(self, keys: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return keys.withColumn("root", F.col("v"))
+        return keys.join(self.small(self.roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+    def meet(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b) that have not met, and contract the links."""
+        save, turn = self.scratch.save, self.turn
+        self.turn += 1
+        pairs = pairs.distinct()
+        pairs = save(pairs if self.met is None else pairs.join(self.met, ["a", "b"], "left_anti"), f"pairs{turn}")
+        self.met = pairs if self.met is None else self.met.unionAll(pairs)
+        ends = lambda pairs: pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
+        marks = self.heads.select("v", "n", "bits").join(self.small(save(ends(pairs), f"ends{turn}")), "v", "left_semi")
+        bits = pairs.join(marks.select(F.col("v").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+        bits = bits.join(marks.select(F.col("v").alias("a"), F.col("bits").alias("x"), "n"), "a")
+        differ = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+        near = save(bits.filter(self.near("n", "m", differ)).select("a", "b"), f"near{turn}")
+        if near.isEmpty():
+            return
+        want = save(ends(near), f"near-ends{turn}")
+        sets = self._add_sets(want).join(self.small(want), "v", "left_semi")
+        both = near.join(sets.select(F.col("v").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("v").alias("a"), F.col("own").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y")).cast("long")
-        links_now = both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-        links_now = scratch.save(links_now, f"links{turn}")
-        if not links_now.isEmpty():
-            roots = contract(links_now if roots is None else between(links_now, roots), roots, scratch, f"roots{turn}")
-        rest = index_rows.join(centers.select("sig", F.col("cn").alias("node")), ["sig", "node"], "left_anti")
-        rooted = rest.withColumn("root", F.col("node")) if roots is None else rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-        index_rows = scratch.save(rest.join(open_, "sig"), f"shared{turn + 1}")
-        scratch.drop(f"shared{turn}", f"centers{turn}", f"near{turn}", f"sets{turn}")
-        k, turn = k * GROWTH, turn + 1
-
-    named = nodes.select("node", "doc_id")
-    if roots is not None:
-        named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        links = both.filter(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+        links = save(links, f"links{turn}")
+        if not links.isEmpty():
+            self.roots = contract(links, self.roots, self.scratch, f"roots{turn}")
+        self.scratch.drop(f"near{turn}", f"links{turn}", f"ends{turn}")
+
+    def search(self, keys: DataFrame, last: bool) -> DataFrame | None:
+        """Find all links in the buckets of the index rows; returns the nodes (v) of buckets that are left to larger combinations."""
+        save, name = self.scratch.save, f"bucket{self.turn}"
+        # the node with the fewest shingles before the key with each of the others
+        lead = keys.groupBy("sig").agg(F.min(F.struct("pos", "v", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
+        led = save(keys.join(lead, "sig").filter("v <> c.v"), f"{name}-led")
+        pairs = led.filter(self.fits("n", "pos", "c.n", "c.pos"))
+        self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
+
+        now = save(self.rooted(led.filter("size > 2").select("sig", "v", "n", "pos")), name)
+        self.scratch.drop(f"{name}-led")
+        each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"))
+        whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
+        left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), (F.expr("size * size - inner") > 2 * LIMIT * F.col("size")).alias("large"))
+        left = save(left, f"{name}-open")
+        folded = [F.expr(" ^ ".join(f"bits[{i}]" for i in range(k, PARITIES // 64, WORDS_COMPARED))).alias(f"x{k}") for k in range(WORDS_COMPARED)]
+        wide = save(now.join(self.small(left), "sig").join(self.heads.select("v", *folded), "v"), f"{name}-wide")
+        some = wide if last else wide.filter("not large")
+        minor = some.filter("root <> top").select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS_COMPARED)])
+        # two nodes outside the largest component meet once
+        ahead = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("top")) | (F.col("v") < F.col("w")))
+        near = self.near("n", "m", " + ".join(f"bit_count(x{k} ^ y{k})" for k in range(WORDS_COMPARED)))
+        pairs = some.join(minor, "sig").filter(ahead & self.fits("n", "pos", "m", "at") & near)
+        self.meet(pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+        again = None if last or left.filter("large").isEmpty() else save(wide.filter("large").select("v").distinct(), f"{name}-nodes")
+        self.scratch.drop(name, f"{name}-open", f"{name}-wide")
+        return again
+
+    def run(self) -> DataFrame:
+        """doc_id, _th, n, component_id and root (a key of the component, null for empty sets) of every row."""
+        keys, k = self.shared(self.keys(), "keys"), LEAST_K
+        while (again := self.search(keys, k == MOST_K)) is not None:
+            k += 1
+            sets = self._add_sets(again).join(again, "v", "left_semi")
+            keys = self.shared(combined_keys(sets, self.frequent, self.percent, k), f"keys{k}")
+        named = self.rooted(self.nodes.select("v", "doc_id"))
         least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "root").select("node", "component_id", "root")
-    else:
-        named = named.select("node", F.col("doc_id").alias("component_id"), F.col("node").alias("root"))
-    root = ["root"] if rooted else []
-    out = full.select("doc_id", "_th", "n", "node").join(named, "node").select("doc_id", "_th", F.col("n").alias("n_shingles"), "component_id", *root)
-    none = rows.filter("n = 0").select("doc_id", "_th", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root"))
-    return scratch.only(out.unionAll(none.select("doc_id", "_th", "n", "component_id", *root)), "components")
+        named = named.select("v", "root").join(least, "root")
+        out = self.rows.join(named, "v", "left").select("doc_id", "_th", "n", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
+        return self.scratch.only(out, "components")
+
+
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, _th (hash of the text), n_shingles, component_id and root (a key of the component, null without shingles) of every row: rows link when 100 * common >= percent * union shingles."""
+    return Join(docs.select("doc_id", "text"), words, percent).run().withColumnRenamed("n", "n_shingles")
 
 
 def dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns: the rows without shingles, and one row of each component, the first by doc_id (null last), hash of the text and JSON of the row."""
     key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))
-    found = components(docs.select("doc_id", "text"), words, percent, rooted=True).filter("n_shingles > 0")
+    found = components(docs.select("doc_id", "text"), words, percent).filter("n_shingles > 0")
     heads = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("of")).select(F.col("of.doc_id").alias("_id"), F.col("of._th").alias("_of"))
     each = found.groupBy("doc_id", "_th").agg(F.count(F.lit(1)).alias("_n"))
-    rows = docs.withColumn("_th", F.xxhash64(sql_text()))
     repeated = each.filter("_n > 1").join(heads, key, "left_semi").select("doc_id", "_th")
     gone = each.join(heads, key, "left_anti").select("doc_id", "_th")
+    # rows stay in a struct, so that no name of theirs can clash
+    rows = docs.select("doc_id", F.xxhash64(sql_text()).alias("_th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     again = not repeated.isEmpty()
     some = (gone.unionAll(repeated) if again else gone).toDF("_id", "_of")
-    kept = rows.join(some.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    kept = rows.join(some.hint("shuffle_hash"), key, "left_anti").select("row.*")
     if again:
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         copies = rows.join(repeated.toDF("_id", "_of").hint("shuffle_hash"), key, "left_semi")
-        kept = kept.unionAll(copies.groupBy("doc_id", "_th").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*"))
+        kept = kept.unionAll(copies.groupBy("doc_id", "_th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
     return kept
 
 

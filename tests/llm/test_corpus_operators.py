@@ -178,10 +178,9 @@ def near_copies(rng):
 
 @pytest.mark.parametrize(("k", "percent", "tune"), [(3, 90, False), (5, 80, False), (3, 90, True), (2, 60, True)])
 def test_jaccard_components(spark, monkeypatch, k, percent, tune):
-    if tune:  # everything is frequent, so that pairs are indexed
-        monkeypatch.setattr(jaccard, "TIMES", 0)
-        monkeypatch.setattr(jaccard, "MORE", 0)
-        monkeypatch.setattr(jaccard, "KEYS_SENT", 0)
+    if tune:  # all shared shingles are frequent, and combinations grow as far as they may
+        monkeypatch.setattr(jaccard, "RARE", 1)
+        monkeypatch.setattr(jaccard, "LIMIT", 0)
         monkeypatch.setattr(jaccard, "FILTER_ROWS", 0)
     texts = near_copies(random.Random(8))
     sizes, want = component_ids(texts, k, percent)
