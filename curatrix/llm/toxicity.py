@@ -39,6 +39,8 @@ FLOOR = 0.3
 SAMPLE, LANDMARKS, ROUNDS, STEPS = 1500, 64, 3, 240
 #: Characters of a unit, and the step between windows of longer ones.
 WIDTH, STEP = 20, 10
+#: Windows compared at once: bounds memory, whatever the units' lengths.
+AT_ONCE = 1024
 #: Codes of a character.
 CODES = 64
 
@@ -46,6 +48,8 @@ _SINGLES = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 #: Single letters or digits set apart by any blanks and marks, and the marks within a word.
 _APART = re.compile(r"(?<![^\W_])[^\W_](?=[\W_])(?:[\W_]+[^\W_](?![^\W_])){2,}")
 _MARKS = re.compile(r"[\W_]+")
+#: A single letter or digit between marks.
+_ALONE = re.compile(r"(?<![^\W_])[^\W_](?![^\W_])")
 _WITHIN = re.compile(r"(?<=[^\W_])[\W_]+(?=[^\W_])")
 _OFFSETS = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j)]
 
@@ -53,15 +57,32 @@ _OFFSETS = [(i, j, DECAY ** (j + 1)) for j in range(2, SPAN) for i in range(1, j
 def units_of(text: str) -> set[str]:
     """The distinct units of a text."""
     low = text.lower()
-    out = {w for w in low.split() if len(w) > 2}
-    for run in _SINGLES.findall(low):
-        out.add("".join(run.split()))
-    for run in _APART.findall(low):
-        out.add(_MARKS.sub("", run))
+    return _joined(low).union(*map(units_of_token, set(low.split())))
+
+
+def units_of_token(token: str) -> set[str]:
+    """The units within what lies between two blanks: itself, without marks, and single characters joined."""
+    out = {token} if len(token) > 2 else set()
+    if not token.isalnum():
+        out.update(_MARKS.sub("", run) for run in _APART.findall(token))
+        if len(bare := _WITHIN.sub("", token)) > 2:
+            out.add(bare)
+    return out
+
+
+def _joined(low: str) -> set[str]:
+    """The units of single characters across blanks."""
+    out = {"".join(run.split()) for run in _SINGLES.findall(low)}
     out.update([u for w in out if not w.isalnum() and len(u := _WITHIN.sub("", w)) > 2])
+    out.update(_MARKS.sub("", run) for run in _APART.findall(low))
     return out
 
 
+def is_loose(token: str) -> bool:
+    """Whether a run of single characters across blanks may begin, end or go on in the token."""
+    return len(token) == 1 or not token.isalnum() and (_ALONE.search(token) is not None or not _MARKS.sub("", token))
+
+
 def windows_of(unit: str) -> list[str]:
     """The unit between border marks; one longer than WIDTH in overlapping windows that cover it."""
     unit = f"\x02{unit}\x03"
@@ -72,7 +93,8 @@ def windows_of(unit: str) -> list[str]:
 
 def encode(windows: list[str]) -> np.ndarray:
     """Character codes, 1 to CODES - 1, by row; 0 behind the end."""
-    points = np.array(windows, f"U{WIDTH}").view(np.uint32).reshape(len(windows), WIDTH)
+    width = max(map(len, windows))
+    points = np.array(windows, f"U{width}").view(np.uint32).reshape(len(windows), width)
     letters = (points >= 97) & (points <= 122)
     other = 30 + points * np.uint32(2654435761) % np.uint32(34)  # the others share the remaining codes
     codes = np.where(letters, points - 96, np.where(points == 2, 27, np.where(points == 3, 28, other)))
@@ -119,35 +141,50 @@ class Kernel:
         row, col = np.nonzero(keys >= 0)
         np.add.at(self.table, (self.place[keys[row, col]], row), weights[col])
         self.table /= np.sqrt(own_kernel(keys, weights))[None, :].astype(np.float32)
-        self.most = self.table.max(axis=1, initial=0)
+        # the most that some landmarks have of a subsequence, for ever smaller groups of like landmarks
+        order = np.argsort(landmarks)
+        groups = [np.array_split(order, k) for k in (1, 4, 16) if k < len(landmarks)]
+        self.most = [np.stack([self.table[:, part].max(axis=1, initial=0) for part in parts], axis=1) for parts in groups]
 
     def __call__(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the windows that have a kernel of FLOOR or more with some landmark; the kernels of these."""
         keys, weights = subsequences(encode(windows))
         row, col = np.nonzero((at := np.where(keys >= 0, self.place[keys], -1)) >= 0)
-        if not len(row):
-            return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
         # no kernel exceeds the root of what the shared subsequences weigh against the whole unit, repeats apart
-        shared = np.bincount(row, weights[col] ** 2, len(windows))
-        whole = ((keys >= 0) * weights**2).sum(axis=1)
-        near = shared >= FLOOR**2 * whole
-        # nor what every shared subsequence would weigh with the landmark that has most of it
-        near &= np.bincount(row, weights[col] * self.most[at[row, col]], len(windows)) ** 2 >= FLOOR**2 * whole
-        keep = near[row]
-        row, col = row[keep], col[keep]
-        rows = np.flatnonzero(near)
-        out = np.zeros((len(rows), len(self.landmarks)), np.float32)
-        place = np.searchsorted(rows, row)
-        for a in range(0, len(row), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            values = self.table[at[row[part], col[part]]] * weights[col[part], None]
-            first = np.flatnonzero(np.diff(place[part], prepend=-1))
-            np.add.at(out, place[part][first], np.add.reduceat(values, first, axis=0))
-        out /= np.sqrt(own_kernel(keys[rows], weights))[:, None].astype(np.float32)
+        least = FLOOR**2 * ((keys >= 0) * weights**2).sum(axis=1)
+        keep = (np.bincount(row, weights[col] ** 2, len(windows)) >= least)[row]
+        row, at, weight = row[keep], at[row[keep], col[keep]], weights[col[keep]][:, None]
+        # nor what every shared subsequence would weigh with the landmark of a group that has most of it
+        for table in [*self.most, self.table]:
+            if not len(row):
+                return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)), np.float32)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            sums = np.add.reduceat(table[at] * weight, first, axis=0)
+            if table is not self.table:
+                near = sums.max(axis=1).astype(np.float64) ** 2 >= least[row[first]] * (1 - 1e-5)  # sums are rounded
+                keep = np.repeat(near, np.diff(np.append(first, len(row))))
+                row, at, weight = row[keep], at[keep], weight[keep]
+        rows = row[first]
+        out = sums / np.sqrt(own_kernel(keys[rows], weights))[:, None].astype(np.float32)
         out = np.where(out >= FLOOR, out, 0) ** POWER
         some = out.any(axis=1)
         return rows[some], out[some]
 
+    def all(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of all units' windows, in pieces of AT_ONCE: numbers of the units that have a kernel with some landmark, and the kernels."""
+        windows, owner = [], []
+        for k in sorted(range(len(units)), key=lambda k: len(units[k])):
+            for w in windows_of(units[k]):
+                windows.append(w)
+                owner.append(k)
+                if len(windows) == AT_ONCE:
+                    rows, kernels = self(windows)
+                    yield np.array(owner)[rows], kernels
+                    windows, owner = [], []
+        if windows:
+            rows, kernels = self(windows)
+            yield np.array(owner)[rows], kernels
+
 
 class Model:
     """Kernel, weights of the landmarks and of the logistic curve."""
@@ -158,11 +195,8 @@ class Model:
     def margins(self, units: list[str]) -> np.ndarray:
         """The SVM's margin of each unit."""
         out = np.full(len(units), self.bias)
-        for a in range(0, len(units), 20_000):
-            part = [windows_of(u) for u in units[a : a + 20_000]]
-            owner = np.repeat(np.arange(len(part)), [len(w) for w in part]) + a
-            rows, k = self.kernel([w for ws in part for w in ws])
-            np.maximum.at(out, owner[rows], (k @ self.weights + self.bias).astype(float))
+        for owner, kernels in self.kernel.all(units):
+            np.maximum.at(out, owner, (kernels @ self.weights + self.bias).astype(float))
         return out
 
     def score(self, margin: float) -> float:
@@ -212,13 +246,9 @@ def train(sample: list[tuple[int, str]], counts: dict[int, int]) -> Model:
     # kernels of the units that have any; the others are all alike
     vocabulary = sorted(set().union(*toxic, *clean))
     number, kernels = {}, []
-    for a in range(0, len(vocabulary), 20_000):
-        part = vocabulary[a : a + 20_000]
-        windows = [windows_of(u) for u in part]
-        owner = np.repeat(np.arange(len(part)), [len(w) for w in windows])
-        rows, k = kernel([w for ws in windows for w in ws])
-        for row, own_k in zip(rows, k, strict=True):
-            if (u := part[owner[row]]) not in number:
+    for owner, some in kernel.all(vocabulary):
+        for k, own_k in zip(owner.tolist(), some, strict=True):
+            if (u := vocabulary[k]) not in number:
                 number[u] = len(kernels)
                 kernels.append(own_k)
     kernels = np.array(kernels, np.float32)
@@ -266,29 +296,52 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
 
 
 class Scorer:
-    """Scores of texts; margins of units seen are kept, up to a bound."""
+    """Scores of texts; margins of tokens seen are kept, up to a bound."""
 
     MOST = 150_000
 
     def __init__(self, model: Model):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.loose = model, {}, set()
 
     @classmethod
     def of(cls, model: Model) -> Scorer:
-        """The model's scorer, kept beside it, so that a worker's next task finds the units seen."""
+        """The model's scorer, kept beside it, so that a worker's next task finds the tokens seen."""
         if getattr(model, "scorer", None) is None:
             model.scorer = cls(model)
         return model.scorer
 
+    def _learn(self, tokens: set[str]) -> None:
+        """Keep each token's most toxic unit."""
+        order = sorted(tokens)
+        units = [units_of_token(t) for t in order]
+        every = sorted(set().union(*units))
+        margin = dict(zip(every, self.model.margins(every).tolist(), strict=True))
+        for token, own in zip(order, units, strict=True):
+            self.seen[token] = max(map(margin.__getitem__, own), default=self.model.bias)
+        self.loose.update(t for t in order if is_loose(t))
+
     def __call__(self, texts: list[str]) -> list[float]:
         if self.model.kernel is None:
             return [0.0] * len(texts)
+        out = []
+        for text in texts:
+            low = text.lower()
+            words = low.split()
+            own = set(words)
+            out.append((low, words, own))
         if len(self.seen) > self.MOST:
             self.seen.clear()
-        units = [units_of(t) for t in texts]
-        fresh = sorted(set().union(*units) - self.seen.keys()) if units else []
-        self.seen.update(zip(fresh, self.model.margins(fresh).tolist(), strict=True))
-        return [self.model.score(max((self.seen[u] for u in t), default=self.model.bias)) for t in units]
+            self.loose.clear()
+        if fresh := set().union(*(own for _, _, own in out)) - self.seen.keys():
+            self._learn(fresh)
+        tops = [max(map(self.seen.__getitem__, own), default=self.model.bias) for _, _, own in out]
+        # single characters across blanks need two loose tokens side by side
+        runs = {k: _joined(low) for k, (low, words, own) in enumerate(out) if not self.loose.isdisjoint(own) and any(a in self.loose and b in self.loose for a, b in zip(words, words[1:], strict=False))}
+        every = sorted(set().union(*runs.values()))
+        margin = dict(zip(every, self.model.margins(every).tolist(), strict=True))
+        for k, units in runs.items():
+            tops[k] = max([tops[k], *map(margin.__getitem__, units)])
+        return [self.model.score(m) for m in tops]
 
 
 def score(docs: DataFrame, model: Model, mod: int = 5, rest: int = 0) -> DataFrame:
