@@ -396,14 +396,15 @@ class Join:
         if near.isEmpty():
             return
         want = save(ends(near), f"near-ends{turn}")
-        sets = self._add_sets(want).join(self.small(want), "v", "left_semi")
-        both = near.join(sets.select(F.col("v").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("v").alias("a"), F.col("own").alias("x")), "a")
+        sides = self.small(near.select("a", "b", F.explode(F.array("a", "b")).alias("v")))
+        # the sets stay where they are but for one copy of each to the pairs that it is in
+        both = self._add_sets(want).join(sides, "v").groupBy("a", "b").agg(F.collect_list("own").alias("own")).select("a", "b", F.col("own")[0].alias("x"), F.col("own")[1].alias("y"))
         common = F.size(F.array_intersect("x", "y")).cast("long")
         links = both.filter(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
         links = save(links, f"links{turn}")
         if not links.isEmpty():
             self.roots = contract(links, self.roots, self.scratch, f"roots{turn}")
-        self.scratch.drop(f"near{turn}", f"links{turn}", f"ends{turn}")
+        self.scratch.drop(f"near{turn}", f"near-ends{turn}", f"links{turn}", f"ends{turn}")
 
     def search(self, keys: DataFrame, last: bool) -> DataFrame | None:
         """Find all links in the buckets of the index rows; returns the nodes (v) of buckets that are left to larger combinations."""
