@@ -29,8 +29,8 @@ CANONICAL = (
     "harp", "mandolin", "banjo", "sitar", "ukulele", "dobro", "violin", "viola", "cello", "double bass", "bass", "drums", "synth", "saxophone", "flute",
     "trumpet", "trombone", "clarinet", "harmonica", "brass", "woodwind", "percussion", "tambourine", "congas", "marimba", "xylophone", "bells", "cowbell",
 )
-#: Audio suffixes that are accepted for staging.
-AUDIO = ("mp3", "wav", "flac", "ogg", "m4a", "aac")
+# Audio suffixes that are accepted for staging.
+AUDIO = ("wav", "mp3", "flac", "m4a", "ogg", "aac", "wma")
 
 
 def text_of(x: Column) -> Column:
@@ -49,7 +49,7 @@ def words(x: Column) -> Column:
 
 
 def n_words(x: Column) -> Column:
-    return F.size(words(x))
+    return F.regexp_count(text_of(x), F.lit(f"[^{BLANKS}]+"))
 
 
 def first_of(*xs: Column) -> Column:
@@ -67,6 +67,12 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
 
 
+def splitext(path: Column) -> tuple[Column, Column]:
+    """The path without its last suffix, and the suffix with its full stop; leading full stops of the name begin no suffix."""
+    suffix = F.regexp_extract(path, r"^(?:.*/)?\.*[^/.][^/]*?(\.[^./]*)$", 1)
+    return F.left(path, F.length(path) - F.length(suffix)), suffix
+
+
 def strip_apostrophes(line: Column) -> Column:
     """Without apostrophes, straight, curly, modifier or prime, outside square brackets."""
     return F.regexp_replace(line, "(\\[[^\\]]*\\])|['’‘ʼ′]", "$1")
@@ -156,9 +162,9 @@ def count_sentences(text: Column) -> Column:
 
 
 def song_name(filename: Column) -> Column:
-    """The title in a file name: without track number, what follows the last ' - ', blanks as underscores."""
-    bare = F.regexp_replace(stem(filename), r"^\d{1,3}[-._]\s*", "")
-    return F.regexp_replace(F.trim(F.substring_index(bare, " - ", -1)), " +", "_")
+    """The title in a file name: without track number, what follows the last ' - ', white space as underscores, none of these at the ends."""
+    bare = F.regexp_replace(splitext(filename)[0], rf"^{SPACE}*\d{{1,3}}{SPACE}*[-._]{SPACE}*", "")
+    return F.btrim(F.regexp_replace(F.substring_index(bare, " - ", -1), f"{SPACE}+", "_"), F.lit("_"))
 
 
 def split_tags(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
@@ -57,16 +57,29 @@ def tags_of(samples: DataFrame) -> DataFrame:
 
 
 def tag_stats(samples: DataFrame, shown: int = 6) -> DataFrame:
-    """tag, occurrences, and the first file names. Only the least positions are gathered, whatever a tag's size."""
+    """tag, occurrences, and the first file names, the most frequent tags first.
+
+    The first tracks of a tag come from ranks that are limited before the shuffle, so a tag's size does not matter.
+    """
     tags = tags_of(samples)
-    counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("n_tracks"), F.min("pos").alias("_p0"), F.max("pos").alias("_p1"))
-    # the least positions by bucketed minima: each tag keeps `shown` per range of positions, then overall
-    buckets = F.pmod(F.xxhash64("pos"), F.lit(64))
-    once = tags.distinct().withColumn("_b", buckets)
-    part = once.groupBy("tag", "_b").agg(F.slice(F.array_sort(F.collect_set(F.struct("pos", "filename"))), 1, shown).alias("s"))
-    whole = part.groupBy("tag").agg(F.slice(F.array_sort(F.flatten(F.collect_list("s"))), 1, shown).alias("s"))
+    counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("n_tracks"))
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy("pos"))
+    once = samples.select("pos", "filename", F.explode(F.array_distinct(T.extract_tags(F.col("detected_instruments"), F.col("custom_tag"), F.col("genre")))).alias("tag"))
+    first = once.withColumn("r", rank).filter(F.col("r") <= shown).groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("r", "filename"))).alias("s"))
     names = F.concat(F.array_join(F.transform("s", lambda x: x["filename"]), ", "), F.when(F.col("n_tracks") > shown, "…").otherwise(""))
-    return counts.join(whole, "tag").select("tag", "n", names.alias("tracks"))
+    return counts.join(first, "tag").select("tag", "n", names.alias("tracks")).orderBy(F.desc("n"), "tag")
+
+
+def gap_totals(gaps: DataFrame) -> DataFrame:
+    """One row: tracks, those without and those with gaps."""
+    clean = F.count_if(F.size("issues") == 0)
+    return gaps.agg(F.count(F.lit(1)).alias("tracks"), clean.alias("clean"), (F.count(F.lit(1)) - clean).alias("with_gaps"))
+
+
+def tidy_totals(tidied: DataFrame) -> DataFrame:
+    """One row: tracks changed, and sums over these of what the tidying changed. tidied: changed and _tidy, the report."""
+    sums = [F.coalesce(F.sum(F.when(F.col("changed"), F.col(f"_tidy.{c}"))), F.lit(0)).alias(c) for c in ("quotes", "tags_trimmed", "tags_dropped", "tags", "lines_changed")]
+    return tidied.agg(F.count_if("changed").alias("changed"), *sums)
 
 
 def by_status(rows: DataFrame) -> DataFrame:

@@ -92,19 +92,37 @@ def replace_text(samples: DataFrame, find: str, put: str, fields: tuple[str, ...
 RENAME_MODES = ("replace", "prefix", "suffix", "number", "song")
 
 
-def renamed(samples: DataFrame, mode: str, a: str = "", b: str = "") -> DataFrame:
-    """new_name of every track, the suffix kept; of equal targets the first keeps it, the others are null (skipped)."""
-    bare, suffix = T.stem(F.col("filename")), F.regexp_extract("filename", r".(\.[^.]*)$", 1)
+def renamed(samples: DataFrame, mode: str, a: str = "", b: str = "", start: int = 1) -> DataFrame:
+    """new_name of every track, the suffix kept; of equal targets (by case, too) the first keeps it, the others are null (skipped).
+
+    Modes: replace (a by b; names without a are skipped), prefix and suffix (a), number (the pattern a with {n}, counted
+    from start over the tracks that have a name), song.  The first of a target is found by an aggregate, so a name that
+    very many tracks share is combined before the shuffle.
+    """
+    bare, suffix = T.splitext(T.text_of(F.col("filename")))
+    if mode == "number":
+        samples = numbered(samples, start)
     new = {
-        "replace": F.replace(bare, F.lit(a), F.lit(b)),
-        "prefix": F.concat(F.lit(a), bare),
-        "suffix": F.concat(bare, F.lit(a)),
-        "number": F.concat(F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), F.lit("_"), bare),
-        "song": T.song_name(F.col("filename")),
-    }[mode]
-    target = samples.withColumn("new_name", F.concat(new, suffix))
-    first = F.row_number().over(Window.partitionBy(F.lower("new_name")).orderBy("pos")) == 1
-    return target.withColumn("new_name", F.when(first, F.col("new_name")))
+        "replace": lambda: F.when(F.contains(bare, F.lit(a)) if a else F.lit(False), F.concat(F.replace(bare, F.lit(a), F.lit(b)), suffix)),
+        "prefix": lambda: F.concat(F.lit(a), F.col("filename")),
+        "suffix": lambda: F.concat(bare, F.lit(a), suffix),
+        "number": lambda: F.concat(F.replace(F.lit(a), F.lit("{n}"), F.col("number").cast("string")), suffix),
+        "song": lambda: F.concat(T.song_name(F.col("filename")), suffix),
+    }[mode]()
+    target = samples.withColumn("new_name", F.nullif(F.when(T.text_of(F.col("filename")) != "", new), F.lit("")))
+    first = target.groupBy("new_name").agg(F.min("pos").alias("first_pos"))
+    out = target.join(first, "new_name", "left").withColumn("new_name", F.when(F.col("pos") == F.col("first_pos"), F.col("new_name")))
+    return out.drop("first_pos", "number")
+
+
+def numbered(samples: DataFrame, start: int = 1) -> DataFrame:
+    """number: the count of named tracks up to each, from start on. Ranges of positions are counted first, so no task sees all rows."""
+    named = (T.text_of(F.col("filename")) != "").cast("long")
+    ranged = samples.withColumn("part", F.expr("pos div 100000"))
+    counts = ranged.groupBy("part").agg(F.sum(named).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum(named).over(Window.partitionBy("part").orderBy("pos"))
+    return ranged.join(before, "part").withColumn("number", own + F.col("before") + start - 1).drop("part", "before")
 
 
 def add_tag(tags: Column, tag: str) -> Column:
@@ -123,8 +141,8 @@ def normalize_tags(tags: Column) -> Column:
 
 
 def import_lyrics(samples: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """Lyrics by filename into all three fields; blank ones are refused; the track is not instrumental then."""
-    new = lyrics.filter(T.strip(F.col("text")) != "").select(F.col("filename"), F.col("text").alias("_new"))
+    """Lyrics by filename, stripped, into all three fields; blank ones are refused; the track is not instrumental then."""
+    new = lyrics.select("filename", T.strip(F.col("text")).alias("_new")).filter("_new <> ''")
     out = samples.join(new, "filename", "left")
     put = {c: F.coalesce("_new", c) for c in ("lyrics", "raw_lyrics", "formatted_lyrics")}
     return out.withColumns(put | {"is_instrumental": F.col("is_instrumental") & F.col("_new").isNull()}).drop("_new")
@@ -178,14 +196,46 @@ def push_history(history: DataFrame, samples: DataFrame, stamp: Column, most: in
     return history.unionByName(now).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
-def rule_caption(samples: DataFrame) -> Column:
-    """A caption made of the fields alone."""
-    tempo = F.when(F.col("bpm") >= 140, "fast").when(F.col("bpm") >= 100, "mid-tempo").when(F.col("bpm") > 0, "slow").otherwise("free")
-    body = F.concat(tempo, F.lit(" "), T.first_of(F.trim(F.col("genre")), F.lit("music")), F.when(F.col("is_instrumental"), ", instrumental").otherwise(", lead vocal"))
-    return F.concat_ws(", ", F.nullif(F.trim(F.col("custom_tag")), F.lit("")), body)
+# The texts of the rule engine, by the kind of caption asked for.
+RULE_CAPTIONS = {
+    "instruments": "acoustic guitar, electric bass, drums, keyboard, vocals",
+    "Concise Tags": "dynamic acoustic profile, defined instrumentation, expressive performance",
+    "Deep Structural Breakdown": "A comprehensive full-song arrangement. Opens with an iconic melodic motif, building texture through the verses with dynamic rhythm shifts. Bridges introduce emotional climax and solo leads before resolving in a tight, resonant outro.",
+    "": "balanced musical arrangement, organic dynamic response, defined lead instruments",
+}
+
+
+def rule_caption(kind: Column, tag: Column) -> Column:
+    """The rule engine's caption of a kind (any other: the last), behind the tag where there is one."""
+    body = F.lit(RULE_CAPTIONS[""])
+    for name, text in RULE_CAPTIONS.items():
+        body = F.when(kind == name, text).otherwise(body) if name else body
+    return F.concat_ws(", ", F.nullif(T.strip(tag), F.lit("")), body)
 
 
 def context(samples: DataFrame) -> Column:
-    """What is known of a track, a line each; caption up to 300 and lyrics up to 2000 characters."""
-    line = lambda label, x: F.when(T.text_of(x) != "", F.concat(F.lit(label + ": "), x))
-    return F.concat_ws("\n", line("File", F.col("filename")), line("Genre", F.trim("genre")), line("BPM", F.when(F.col("bpm") > 0, F.col("bpm").cast("string"))), line("Key", F.col("keyscale")), line("Caption", F.left("caption", F.lit(300))), line("Lyrics", F.left("lyrics", F.lit(2000))))
+    """What is known of a track, a line each; caption up to 300 and lyrics up to 2000 characters.
+
+    Optional columns: instruments (array; detected_instruments, parted by commas, else), structural_segments (array of name,
+    start, end), hooks (array) and riff_note.
+    """
+    has = lambda c: c in samples.columns
+    some = lambda x: F.nullif(T.text_of(x), F.lit(""))
+    line = lambda label, x: F.concat(F.lit(label), x)
+    listed = lambda x: F.when(F.size(x) > 0, F.array_join(x, ", "))
+    instruments = listed(F.filter(F.transform(F.split(T.text_of(F.col("detected_instruments")), ","), T.strip), lambda i: i != ""))
+    if has("instruments"):
+        instruments = F.coalesce(listed(F.col("instruments")), instruments)
+    parts = [
+        line("Track: ", F.coalesce("filename", F.lit("?"))), line("Genre: ", some(F.col("genre"))), line("BPM: ", F.when(F.col("bpm") != 0, F.col("bpm").cast("string"))), line("Key: ", some(F.col("keyscale"))),
+        line("Instruments: ", instruments), line("Existing caption: ", F.left(some(F.col("caption")), F.lit(300))),
+    ]
+    if has("structural_segments"):
+        segment = lambda s: F.concat(F.coalesce(s["name"], F.lit("?")), F.lit(" "), F.coalesce(s["start"], F.lit(0)).cast("string"), F.lit("-"), F.coalesce(s["end"], F.lit(0)).cast("string"), F.lit("s"))
+        parts.append(line("Sections: ", listed(F.transform("structural_segments", segment))))
+    if has("hooks"):
+        parts.append(line("Hooks/riffs to emphasize: ", listed(F.col("hooks"))))
+    if has("riff_note"):
+        parts.append(line("Riff note: ", some(F.col("riff_note"))))
+    parts.append(line("LYRICS:\n", F.left(some(T.strip(T.first_of(F.col("lyrics"), F.col("formatted_lyrics")))), F.lit(2000))))
+    return F.concat_ws("\n", *parts)

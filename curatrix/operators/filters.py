@@ -58,15 +58,12 @@ def lyric_scope(samples: DataFrame, scope: str = "all", selected: DataFrame | No
 
 
 def parse_numbers(text: str) -> list[int] | None:
-    """'1-3,5' to sorted numbers; reversed ranges are turned; None if a part can't be read."""
-    out: set[int] = set()
-    for part in filter(None, (p.strip() for p in text.split(","))):
-        m = re.fullmatch(r"(\d+)(?:\s*-\s*(\d+))?", part)
-        if not m:
-            return None
-        a, b = sorted((int(m[1]), int(m[2] or m[1])))
-        out |= set(range(a, b + 1))
-    return sorted(out)
+    """'1-3,5' or '1 3 5' to sorted numbers, parted by commas or blanks; reversed ranges are turned; None if a part can't be read."""
+    found = [re.fullmatch(r"(\d+)(?:-(\d+))?|([+]\d+)", part) for part in re.split(r"[,\s]+", text.strip(", \t\n"))] if text.strip(", \t\n") else []
+    if not all(found):
+        return None
+    ends = [sorted((int(m[1] or m[3]), int(m[2] or m[1] or m[3]))) for m in found]
+    return sorted({n for a, b in ends for n in range(a, b + 1)})
 
 
 def resolve(samples: DataFrame, refs: DataFrame) -> DataFrame:
@@ -87,9 +84,13 @@ def first_seen(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_r = 1").drop("_r")
 
 
+# The backends that never hear the audio.
+PLACEHOLDER_BACKENDS = ("Local Rule Engine", "DeepSeek Cloud")
+
+
 def is_placeholder(backend: Column) -> Column:
-    """Whether a caption came from a backend that only fills in."""
-    return T.text_of(backend).isin("rules", "local", "placeholder")
+    """Whether a caption came from a backend that does not hear the audio."""
+    return T.text_of(backend).isin(*PLACEHOLDER_BACKENDS)
 
 
 def over_limit(cap: int = 512) -> Column:

@@ -111,9 +111,14 @@ def band_instruments(harmonic: Column, percussive: Column, bass: Column, mid: Co
     )
 
 
-def loudness_plan(samples: DataFrame, lufs: float = -14.0, rate: int = 44100) -> DataFrame:
-    """id and the command that would normalise each track's loudness; tracks without a path are skipped (null)."""
-    path = F.trim(T.text_of(F.col("audio_path")))
-    target = F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit("_norm.wav"))
-    command = F.array(*[F.lit(x) for x in ("ffmpeg", "-y", "-i")], path, *[F.lit(x) for x in ("-af", f"loudnorm=I={lufs}:TP=-1.0:LRA=11", "-ar", str(rate), "-ac", "2")], target)
-    return samples.select("id", F.when(path != "", command).alias("command"))
+def loudness_plan(samples: DataFrame, folder: str, lufs: float = -14.0, rate: int = 44100) -> DataFrame:
+    """id, the file that each track is backed up as, and the command that would normalise its loudness; null for tracks without a path."""
+    path, there = F.col("audio_path"), T.text_of(F.col("audio_path")) != ""
+    name = T.first_of(F.col("filename"), T.basename(path))
+    command = F.array(*[F.lit(x) for x in ("ffmpeg", "-y", "-i")], path, *[F.lit(x) for x in ("-af", f"loudnorm=I={lufs}:TP=-1.0:LRA=11", "-ar", str(rate), "-ac", "2")], F.concat(F.lit(f"{folder}/normalized_audio/norm_"), T.stem(name), F.lit(".wav")))
+    return samples.select("id", F.when(there, F.concat(F.lit(f"{folder}/originals_backup/"), name)).alias("backup"), F.when(there, command).alias("command"))
+
+
+def mp3_command(source: Column, target: Column, bitrate: str = "192k") -> Column:
+    """The command that would make a small audio-only copy for staging."""
+    return F.array(*[F.lit(x) for x in ("ffmpeg", "-y", "-i")], source, *[F.lit(x) for x in ("-vn", "-ar", "44100", "-ac", "2", "-b:a", bitrate)], target)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
+from curatrix.packing import ship
 
 # The bounds of a caption and of a lyric line.
 TAG_MIN, TAG_MAX, TAG_HARD_MAX = 5, 12, 15
@@ -36,53 +42,51 @@ REQUIRED_SAMPLE = ("id", "audio_path", "filename", "caption", "genre", "lyrics",
 REQUIRED_FOR_TRAINING = ("caption", "genre", "bpm", "keyscale", "language")
 
 
-def repeat_words(text: Column) -> Column:
-    """The lower-cased words of letters and apostrophes."""
-    return F.regexp_extract_all(F.lower(T.text_of(text)), F.lit("[A-Za-z']+"), F.lit(0))
+_WORD = re.compile("[A-Za-z']+")
+REPEATS = "n int, phrase string, run int, word string"
 
 
-def max_ngram_repeat(text: Column, n: int = NGRAM) -> Column:
-    """The count of the most repeated word n-gram and the n-gram, the first of several; sorts, so time is n log n."""
+def repeats_of(text: str | None, n: int = NGRAM) -> tuple[int, str, int, str]:
+    """The most repeated word n-gram and its count, the longest run of one word and the word; the first of several. 0 and '' without n-grams, 1 and '' without words."""
+    words = _WORD.findall((text or "").lower())
+    grams = Counter(zip(*(words[k:] for k in range(n)), strict=False))
+    gram, count = max(grams.items(), key=lambda x: x[1], default=((), 0))
+    runs = [(sum(1 for _ in group), word) for word, group in groupby(words)]
+    run, word = max(runs, key=lambda x: x[0], default=(1, ""))
+    return count, " ".join(gram), run, word
 
-    def best(words: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("g"), i.alias("at")))
-        zero = F.struct(F.lit("").alias("g"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("most"), F.lit(0).alias("most_at"), F.lit("").alias("most_g"))
 
-        def step(a: Column, x: Column) -> Column:
-            same = (x["g"] == a["g"]) & (a["n"] > 0)
-            count, at = F.when(same, a["n"] + 1).otherwise(1), F.when(same, a["at"]).otherwise(x["at"])
-            better = (count > a["most"]) | ((count == a["most"]) & (at < a["most_at"]))
-            return F.struct(x["g"].alias("g"), at.alias("at"), count.alias("n"), F.when(better, count).otherwise(a["most"]).alias("most"), F.when(better, at).otherwise(a["most_at"]).alias("most_at"), F.when(better, x["g"]).otherwise(a["most_g"]).alias("most_g"))
+def repeats(text: Column, n: int = NGRAM) -> Column:
+    """repeats_of as a struct: counting needs a hash table for each row, which no Column function has, so this is one Arrow pass."""
+    ship()
 
-        folded = F.aggregate(F.sort_array(grams), zero, step, lambda a: F.struct(a["most"].alias("n"), a["most_g"].alias("phrase")))
-        return F.when(F.size(words) >= n, folded).otherwise(F.struct(F.lit(0).alias("n"), F.lit("").alias("phrase")))
+    @F.pandas_udf(REPEATS)
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([repeats_of(t, n) for t in texts], columns=["n", "phrase", "run", "word"])
 
-    return T.bound(repeat_words(text), best)
+    return counted(text)
 
 
-def max_consecutive_repeat(text: Column) -> Column:
-    """The longest run of one word, the first of several, and the word; a run of 1 and '' without words."""
-    zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit("").alias("word"))
+def max_ngram_repeat(text: Column, n: int = NGRAM) -> Column:
+    """n and phrase of the most repeated word n-gram."""
+    return T.bound(repeats(text, n), lambda r: F.struct(r["n"].alias("n"), r["phrase"].alias("phrase")))
 
-    def step(a: Column, w: Column) -> Column:
-        run = F.when(w == a["w"], a["run"] + 1).otherwise(1)
-        return F.struct(w.alias("w"), run.alias("run"), F.greatest(a["n"], run).alias("n"), F.when(run > a["n"], w).otherwise(a["word"]).alias("word"))
 
-    return F.aggregate(repeat_words(text), zero, step, lambda a: F.struct(F.greatest(F.lit(1), a["n"]).alias("n"), a["word"].alias("word")))
+def max_consecutive_repeat(text: Column) -> Column:
+    """n and word of the longest run of one word."""
+    return T.bound(repeats(text), lambda r: F.struct(r["run"].alias("n"), r["word"].alias("word")))
 
 
 def caption_issues(caption: Column) -> Column:
     """The rules that a caption breaks; an empty one breaks only that."""
-    return T.bound(T.strip(caption), lambda body: F.when(body == "", F.array(F.lit("empty"))).otherwise(_broken(body)))
+    given = F.struct(T.strip(caption).alias("body"), repeats(T.strip(caption)).alias("repeats"))
+    return T.bound(given, lambda g: F.when(g["body"] == "", F.array(F.lit("empty"))).otherwise(_broken(g["body"], g["repeats"])))
 
 
-def _broken(body: Column) -> Column:
+def _broken(body: Column, repeated: Column) -> Column:
     """The rules that a stripped caption breaks. Each measure is bound to a variable, so it is made once."""
     matches = lambda pattern: body.rlike("(?U)" + pattern)
-    measures = F.struct(
-        F.size(T.tag_prefix(body)).alias("tags"), T.count_sentences(body).alias("sentences"), T.n_words(body).alias("words"),
-        max_ngram_repeat(body)["n"].alias("gram"), max_consecutive_repeat(body)["n"].alias("run"),
-    )
+    measures = F.struct(F.size(T.tag_prefix(body)).alias("tags"), T.count_sentences(body).alias("sentences"), T.n_words(body).alias("words"), repeated["n"].alias("gram"), repeated["run"].alias("run"))
 
     def issues(m: Column) -> Column:
         code = lambda name, value: F.concat(F.lit(name + ":"), value.cast("string"))

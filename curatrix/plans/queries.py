@@ -42,17 +42,20 @@ VOCAL = "|".join(sorted(rules.VOCAL_TERMS))
 ISSUES = rf"""
 b AS (SELECT pos, body, regexp_extract_all(lower(body), '[A-Za-z'']+') AS w FROM (SELECT pos, {BODY} AS body FROM samples)),
 m AS (SELECT pos, body, len({TAGS}) AS tags, {SENTENCES} AS sentences, {N_WORDS.format(x="body")} AS words,
-  coalesce(list_max(map_values(list_histogram(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))), 0) AS gram,
-  len(list_filter(range(1, len(w) - 3), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND w[i] = w[i + 3] AND w[i] = w[i + 4])) AS runs FROM b),
-issues AS (SELECT pos, unnest(CASE WHEN body = '' THEN ['empty'] ELSE list_filter([
-  CASE WHEN tags < 5 THEN 'few_tags' WHEN tags > 15 THEN 'many_tags' END,
+  coalesce(list_max(map_values(list_histogram(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))), 0) AS gram
+  FROM b),
+u AS (SELECT pos, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM b),
+rn AS (SELECT pos, max(n) AS run FROM (SELECT pos, count(*) AS n FROM (SELECT pos, x, i - row_number() OVER (PARTITION BY pos, x ORDER BY i) AS k FROM u) GROUP BY pos, x, k) GROUP BY pos),
+lists AS (SELECT pos, CASE WHEN body = '' THEN ['empty'] ELSE list_filter([
+  CASE WHEN tags < 5 THEN 'few_tags:' || tags WHEN tags > 15 THEN 'many_tags:' || tags END,
   CASE WHEN NOT regexp_matches(lower(body), '{VOCAL}') THEN 'no_vocal_term' END,
   CASE WHEN regexp_matches(body, '{rules.HEADING}') THEN 'heading' END, CASE WHEN regexp_matches(body, '{rules.MARKDOWN}') THEN 'markdown' END,
   CASE WHEN regexp_matches(body, '{rules.BPM}') THEN 'bpm' END, CASE WHEN regexp_matches(body, '{rules.TIME_SIGNATURE}') THEN 'time_signature' END,
   CASE WHEN regexp_matches(body, '{rules.KEY}') THEN 'key' END,
-  CASE WHEN sentences < 2 THEN 'few_sentences' WHEN sentences > 3 THEN 'many_sentences' END,
-  CASE WHEN words > 120 THEN 'many_words' END, CASE WHEN length(body) > 900 THEN 'many_chars' END,
-  CASE WHEN gram >= 3 THEN 'ngram_repeat' END, CASE WHEN runs > 0 THEN 'word_run' END], lambda x: x IS NOT NULL) END) AS issue FROM m)"""
+  CASE WHEN sentences < 2 THEN 'few_sentences:' || sentences WHEN sentences > 3 THEN 'many_sentences:' || sentences END,
+  CASE WHEN words > 120 THEN 'many_words:' || words END, CASE WHEN length(body) > 900 THEN 'many_chars:' || length(body) END,
+  CASE WHEN gram >= 3 THEN 'ngram_repeat:' || gram END, CASE WHEN run >= 5 THEN 'word_run:' || run END], lambda x: x IS NOT NULL) END AS list FROM m LEFT JOIN rn USING (pos)),
+issues AS (SELECT pos, split_part(unnest(list), ':', 1) AS issue FROM lists)"""
 
 # --- rules
 
@@ -62,10 +65,9 @@ def _(s):
     return rules.caption_report(s)
 
 
-@query("v1_caption_issues", f", {ISSUES} SELECT samples.pos, coalesce(string_agg(issue, ',' ORDER BY issue), '') AS issues, count(issue) AS n FROM samples LEFT JOIN issues ON samples.pos = issues.pos GROUP BY samples.pos")
+@query("v1_caption_issues", f", {ISSUES} SELECT pos, array_to_string(list, ',') AS issues, len(list)::BIGINT AS n FROM lists")
 def _(s):
-    codes = F.transform(rules.caption_issues(F.col("caption")), rules.rule_of)
-    return s.select("pos", codes.alias("c")).select("pos", F.array_join(F.array_sort("c"), ",").alias("issues"), F.size("c").cast("long").alias("n"))
+    return s.select("pos", rules.caption_issues(F.col("caption")).alias("c")).select("pos", F.array_join("c", ",").alias("issues"), F.size("c").cast("long").alias("n"))
 
 
 @query("v2_manifest_issues", f""", {ISSUES},
@@ -77,22 +79,30 @@ def _(s):
     return rules.manifest_issues(s, ["name", "num_samples"]).groupBy(rules.rule_of(F.col("issue")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v3_gaps", r"""
-SELECT pos, filename, list_aggregate(list_filter([
+_GAPS = rf""", {ISSUES},
+gap AS (SELECT pos, filename, list_concat(list_filter([
   CASE WHEN len(m) > 0 THEN 'missing:' || array_to_string(m, '/') END, CASE WHEN trim(language) = '' THEN 'no_language' END,
   CASE WHEN is_instrumental AND lyrics <> '' THEN 'instrumental_with_lyrics' END, CASE WHEN NOT is_instrumental AND lyrics = '' THEN 'no_lyrics' END,
-  CASE WHEN lyrics <> '' AND NOT contains(lyrics, '[') THEN 'no_sections' END, CASE WHEN virtual THEN 'virtual' ELSE 'audio_missing' END], lambda x: x IS NOT NULL), 'string_agg', '; ') AS issues
-FROM (SELECT *, list_filter([CASE WHEN trim(caption) = '' THEN 'caption' END, CASE WHEN trim(genre) = '' THEN 'genre' END, CASE WHEN bpm = 0 THEN 'bpm' END, CASE WHEN trim(keyscale) = '' THEN 'keyscale' END, CASE WHEN trim(language) = '' THEN 'language' END], lambda x: x IS NOT NULL) AS m FROM samples)""")
+  CASE WHEN lyrics <> '' AND NOT contains(lyrics, '[') THEN 'no_sections' END], lambda x: x IS NOT NULL), CASE WHEN {BODY} = '' THEN [] ELSE list_transform(list, lambda x: 'caption:' || x) END, [CASE WHEN virtual THEN 'virtual' ELSE 'audio_missing' END]) AS issues
+FROM (SELECT *, list_filter([CASE WHEN trim(caption) = '' THEN 'caption' END, CASE WHEN trim(genre) = '' THEN 'genre' END, CASE WHEN bpm = 0 THEN 'bpm' END, CASE WHEN trim(keyscale) = '' THEN 'keyscale' END, CASE WHEN trim(language) = '' THEN 'language' END], lambda x: x IS NOT NULL) AS m FROM samples) JOIN lists USING (pos))"""
+
+
+@query("v3_gaps", f"{_GAPS} SELECT pos, filename, array_to_string(issues, '; ') AS issues FROM gap")
 def _(s):
-    return rules.gaps(s).select("pos", "filename", F.array_join(F.filter("issues", lambda i: ~i.startswith("caption:")), "; ").alias("issues"))
+    return rules.gaps(s).select("pos", "filename", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("g7_gap_totals", f"{_GAPS} SELECT count(*) AS tracks, count(*) FILTER (len(issues) = 0) AS clean, count(*) FILTER (len(issues) > 0) AS with_gaps FROM gap")
+def _(s):
+    return aggregates.gap_totals(rules.gaps(s))
 
 
 _INSTRUMENTS = "[" + ", ".join(f"'{i}'" for i in rules.INSTRUMENTS) + "]"
 
 
-@query("v4_caption_audit", f"SELECT pos, filename, CASE WHEN {BODY} <> '' THEN array_to_string(list_filter({_INSTRUMENTS}, lambda i: contains(lower(caption), i)), ',') END AS instruments FROM samples")
+@query("v4_caption_audit", f", {ISSUES} SELECT pos, filename, CASE WHEN {BODY} <> '' THEN array_to_string(list_filter({_INSTRUMENTS}, lambda i: contains(lower(caption), i)), ',') END AS instruments, CASE WHEN {BODY} <> '' THEN array_to_string(list, ',') END AS issues FROM samples JOIN lists USING (pos)")
 def _(s):
-    return rules.audit(s).select("pos", "filename", F.array_join("instruments", ",").alias("instruments"))
+    return rules.audit(s).select("pos", "filename", F.array_join("instruments", ",").alias("instruments"), F.array_join("issues", ",").alias("issues"))
 
 
 @query("g6_casing_variants", rf"""
@@ -164,9 +174,14 @@ def _(s):
     return filters.lyric_scope(s, "selected", s.filter("pos % 10 in (1, 3)")).select("id")
 
 
-@query("f9_track_numbers", "SELECT id FROM samples WHERE pos + 1 IN (2, 3, 4, 9)")
+@query("f9_track_numbers", "SELECT id FROM samples WHERE pos + 1 IN (2, 3, 4, 7, 9, 11)")
+def _(s):
+    return s.filter((F.col("pos") + 1).isin(filters.parse_numbers("4-2, 9 7 11"))).select("id")
+
+
+@query("f14_placeholder", "SELECT id, pos % 4 IN (0, 1) AS placeholder FROM samples")
 def _(s):
-    return s.filter((F.col("pos") + 1).isin(filters.parse_numbers("4-2, 9"))).select("id")
+    return s.select("id", filters.is_placeholder(F.expr("case pos % 4 when 0 then 'Local Rule Engine' when 1 then 'DeepSeek Cloud' when 2 then 'Gemini' end")).alias("placeholder"))
 
 
 @query("f10_resolve_refs", """
@@ -236,12 +251,25 @@ def _(s):
 
 
 @query("p10_rename_song", r"""
-, t AS (SELECT id, pos, regexp_replace(trim(string_split(regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '^\d{1,3}[-._]\s*', ''), ' - ')[-1]), ' +', '_', 'g') || '.wav' AS n FROM samples)
-SELECT id, CASE WHEN row_number() OVER (PARTITION BY lower(n) ORDER BY pos) = 1 THEN n END AS new_name FROM t""")
+, b AS (SELECT id, pos, regexp_replace(regexp_replace(filename, '\.[^.]*$', ''), '^\s*\d{1,3}\s*[-._]\s*', '') AS b FROM samples),
+t AS (SELECT id, pos, trim(regexp_replace(string_split(b, ' - ')[-1], '\s+', '_', 'g'), '_') || '.wav' AS n FROM b)
+SELECT id, CASE WHEN row_number() OVER (PARTITION BY n ORDER BY pos) = 1 THEN n END AS new_name FROM t""")
 def _(s):
     return edits.renamed(s, "song").select("id", "new_name")
 
 
+@query("p10_rename_replace", """
+, t AS (SELECT id, pos, CASE WHEN contains(filename, 'song 1') THEN replace(filename, 'song 1', 'Song') END AS n FROM samples)
+SELECT id, CASE WHEN n IS NOT NULL AND row_number() OVER (PARTITION BY n ORDER BY pos) = 1 THEN n END AS new_name FROM t""")
+def _(s):
+    return edits.renamed(s, "replace", "song 1", "Song").select("id", "new_name")
+
+
+@query("p10_rename_number", "SELECT id, 'Take ' || (4 + row_number() OVER (ORDER BY pos)) || '.wav' AS new_name FROM samples")
+def _(s):
+    return edits.renamed(s, "number", "Take {n}", start=5).select("id", "new_name")
+
+
 _SPLIT = "list_filter(list_transform(regexp_split_to_array(custom_tag, '[,;|/]'), lambda t: trim(t)), lambda t: t <> '')"
 
 
@@ -274,7 +302,14 @@ def _(s):
 def _(s):
     from curatrix.functions.lyrics import normalize_lyrics
 
-    return edits.tidied(s, normalize_lyrics).filter("changed").select("id", "formatted_lyrics", "raw_lyrics", *[F.col(f"_tidy.{c}").alias(c) for c in ("contractions", "tags", "quotes", "tags_trimmed", "tags_dropped", "lines_changed")])
+    return edits.tidied(s, normalize_lyrics).select("id", "changed", "formatted_lyrics", "raw_lyrics", *[F.col(f"_tidy.{c}").alias(c) for c in ("contractions", "tags", "quotes", "tags_trimmed", "tags_dropped", "lines_changed")])
+
+
+@query("g8_tidy_totals")
+def _(s):
+    from curatrix.functions.lyrics import normalize_lyrics
+
+    return aggregates.tidy_totals(edits.tidied(s, normalize_lyrics))
 
 
 _DECIDED = "case pos % 4 when 0 then 'keep' when 1 then 'use' when 2 then 'edit' end"
@@ -296,21 +331,39 @@ def _(s):
     return edits.merge_analysis(s, found).select("id", "bpm", "keyscale")
 
 
+_KINDS = "case pos % 4 when 0 then 'instruments' when 1 then 'Concise Tags' when 2 then 'Deep Structural Breakdown' else 'Balanced' end"
+
+
 @query("p24_rule_captions", """
-SELECT id, CASE WHEN trim(custom_tag) <> '' THEN trim(custom_tag) || ', ' ELSE '' END || CASE WHEN bpm >= 140 THEN 'fast' WHEN bpm >= 100 THEN 'mid-tempo' WHEN bpm > 0 THEN 'slow' ELSE 'free' END || ' '
-  || coalesce(nullif(trim(genre), ''), 'music') || CASE WHEN is_instrumental THEN ', instrumental' ELSE ', lead vocal' END AS caption FROM samples""")
+SELECT id, CASE WHEN trim(custom_tag) <> '' THEN trim(custom_tag) || ', ' ELSE '' END || CASE pos % 4 WHEN 0 THEN 'acoustic guitar, electric bass, drums, keyboard, vocals'
+  WHEN 1 THEN 'dynamic acoustic profile, defined instrumentation, expressive performance'
+  WHEN 2 THEN 'A comprehensive full-song arrangement. Opens with an iconic melodic motif, building texture through the verses with dynamic rhythm shifts. Bridges introduce emotional climax and solo leads before resolving in a tight, resonant outro.'
+  ELSE 'balanced musical arrangement, organic dynamic response, defined lead instruments' END AS caption FROM samples""")
 def _(s):
-    return s.select("id", edits.rule_caption(s).alias("caption"))
+    return s.select("id", edits.rule_caption(F.expr(_KINDS), F.col("custom_tag")).alias("caption"))
 
 
-@query("p26_context")
+@query("p26_context", r"""
+, x AS (SELECT *, array_to_string(list_filter(list_transform(string_split(detected_instruments, ','), lambda t: trim(t)), lambda t: t <> ''), ', ') AS ins, regexp_replace(coalesce(nullif(lyrics, ''), formatted_lyrics), '^\s+|\s+$', '', 'g') AS ly FROM samples)
+SELECT id, concat_ws(chr(10), 'Track: ' || filename, 'Genre: ' || nullif(genre, ''), CASE WHEN bpm <> 0 THEN 'BPM: ' || bpm END, 'Key: ' || nullif(keyscale, ''), 'Instruments: ' || nullif(ins, ''),
+  'Existing caption: ' || nullif(left(caption, 300), ''), CASE WHEN pos % 3 = 0 THEN 'Sections: Verse 0.0-9.5s, Chorus 9.5-20.0s' END, CASE WHEN pos % 5 = 0 THEN 'Hooks/riffs to emphasize: Chorus, Outro' END,
+  CASE WHEN pos % 7 = 0 THEN 'Riff note: slow' END, 'LYRICS:' || chr(10) || nullif(left(ly, 2000), '')) AS context FROM x""")
 def _(s):
-    return s.select("id", edits.context(s).alias("context"))
+    segments = F.expr("if(pos % 3 = 0, array(named_struct('name', 'Verse', 'start', 0.0D, 'end', 9.5D), named_struct('name', 'Chorus', 'start', 9.5D, 'end', 20.0D)), null)")
+    own = s.withColumns({"structural_segments": segments, "hooks": F.expr("if(pos % 5 = 0, array('Chorus', 'Outro'), array())"), "riff_note": F.expr("if(pos % 7 = 0, 'slow', '')")})
+    return own.select("id", edits.context(own).alias("context"))
 
 
-@query("p27_list_tracks", "SELECT pos, filename, left(caption, 80) AS preview FROM samples WHERE pos < 12")
+@query("p27_list_tracks", "SELECT pos, filename, left(caption, 80) AS preview FROM samples")
 def _(s):
-    return s.filter("pos < 12").select("pos", "filename", F.left("caption", F.lit(80)).alias("preview"))
+    return s.select("pos", "filename", F.left("caption", F.lit(80)).alias("preview"))
+
+
+@query("p27_summary", "(SELECT pos, filename FROM samples ORDER BY pos LIMIT 12) UNION ALL (SELECT NULL, '… ' || (count(*) - 12) || ' more' FROM samples HAVING count(*) > 12)")
+def _(s):
+    from curatrix.plans import tools
+
+    return tools.summary_rows(s)
 
 
 # --- joins
@@ -364,20 +417,23 @@ def _(s):
     return matching.write_back(s, blocks).select("id", "lyrics", "raw_lyrics")
 
 
-@query("j5_import_rows", ", ids AS (SELECT unnest(['song 17', 'SONG 4', ' ', 'dup', 'none']) AS song_id) SELECT song_id, min(pos) AS pos FROM ids JOIN samples ON trim(song_id) <> '' AND contains(lower(filename), lower(song_id)) GROUP BY song_id HAVING list_has_any(list_filter(regexp_split_to_array(lower(song_id), '[^a-z0-9]+'), lambda x: x <> ''), ['song', 'dup', 'none'])")
+@query("j5_import_rows", ", ids AS (SELECT DISTINCT trim(x) AS song_id FROM (SELECT 'ONG ' || pos AS x FROM samples WHERE pos % 5 = 0 UNION ALL SELECT unnest([' ', 'dup', 'none', 'g 1', ' 7.wav']))) SELECT song_id, min(pos) AS pos FROM ids JOIN samples ON song_id <> '' AND contains(lower(filename), lower(song_id)) GROUP BY song_id")
 def _(s):
-    return matching.import_rows(s, s.sparkSession.createDataFrame([(x,) for x in ("song 17", "SONG 4", " ", "dup", "none")], "song_id string"))
+    fixed = s.sparkSession.createDataFrame([(x,) for x in (" ", "dup", "none", "g 1", " 7.wav")], "song_id string")
+    return matching.import_rows(s, s.filter("pos % 5 = 0").select(F.concat(F.lit("ONG "), "pos").alias("song_id")).unionAll(fixed))
 
 
-_SONGS = {"song 1": ["drums", "bass"], "song 12": ["organ"], "dup": ["lead vocal"]}
+_SONG_NAME = "replace(lower(concat(split_part(filename, ' - ', 2), CASE pos % 6 WHEN 0 THEN ' T.N.T.' WHEN 1 THEN ' Iron_Man live' WHEN 2 THEN ' the WIZARD of paranoid' WHEN 3 THEN ' voodoo child' ELSE '' END)), '_', ' ')"
+_SONG_ROWS = ", ".join(f"({k}, '{name}', '{','.join(found)}')" for k, (name, found) in enumerate(matching.SONG_INSTRUMENTS.items()))
 
 
-@query("j6_lookup_instruments", "SELECT id, CASE WHEN contains(lower(filename), 'song 1') THEN 'drums,bass' WHEN contains(lower(filename), 'song 12') THEN 'organ' WHEN contains(lower(filename), 'dup') THEN 'lead vocal' ELSE '' END AS instruments FROM samples")
+@query("j6_lookup_instruments", f", t(p, name, found) AS (VALUES {_SONG_ROWS}) SELECT id, coalesce(arg_min(found, p), '') AS instruments FROM samples LEFT JOIN t ON contains({_SONG_NAME}, name) GROUP BY id")
 def _(s):
-    return s.select("id", F.array_join(matching.lookup_instruments(F.col("filename"), F.lit(None).cast("string"), _SONGS), ",").alias("instruments"))
+    name = F.concat(F.coalesce(F.get(F.split("filename", " - "), F.lit(1)), F.lit("")), F.expr("case pos % 6 when 0 then ' T.N.T.' when 1 then ' Iron_Man live' when 2 then ' the WIZARD of paranoid' when 3 then ' voodoo child' else '' end"))
+    return s.select("id", F.array_join(matching.lookup_instruments(name, F.lit(""), matching.SONG_INSTRUMENTS), ",").alias("instruments"))
 
 
-_MODEL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in matching.model_map().items()) + "}"
+_MODEL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in matching.MODELS.items()) + "}"
 
 
 @query("j7_recommend_models", f"""
@@ -394,11 +450,18 @@ def _(s):
     return s.select("id", F.array_join(matching.models_in_caption(F.col("caption")), ",").alias("models"))
 
 
-@query("j9_resolve_artist")
+_ARTISTS = ("The Doors", "Black Sabbath", "Hank Williams Sr.", "AC/DC", "Black Harbor", "The Quiet Ones")
+_ASKED = "case pos % 8 when 0 then 'Doorsdata' when 1 then 'hank_sr' when 2 then 'sabbath' when 3 then 'acdc' when 4 then 'Nirvana' when 5 then 'the black doors' when 6 then genre else ' ' end"
+
+
+@query("j9_resolve_artist", f"""
+, a(p, artist) AS (VALUES {", ".join(f"({k}, '{a}')" for k, a in enumerate(_ARTISTS))}), q AS (SELECT DISTINCT {_ASKED} AS asked FROM samples), k AS (SELECT asked, regexp_replace(lower(asked), '[^a-z0-9]', '', 'g') AS k FROM q),
+e AS (SELECT asked, arg_min(artist, p) AS x FROM k JOIN a ON k <> '' AND k = regexp_replace(lower(artist), '[^a-z0-9]', '', 'g') GROUP BY asked),
+w AS (SELECT p, artist, unnest(regexp_extract_all(lower(artist), '[a-z0-9]+')) AS w FROM a), n AS (SELECT asked, arg_min(artist, p) AS y FROM k JOIN w ON len(w) >= 4 AND contains(k, w) GROUP BY asked)
+SELECT asked, coalesce(x, y) AS artist FROM k LEFT JOIN e USING (asked) LEFT JOIN n USING (asked)""")
 def _(s):
-    spark = s.sparkSession
-    artists = spark.createDataFrame([(0, "Black Harbor"), (1, "The Quiet Ones"), (2, "Harbor Lights")], "pos int, artist string")
-    return matching.resolve_artist(artists, spark.createDataFrame([("quiet nights",), ("harbor lights!",), ("harbor",), ("abc",)], "asked string"))
+    artists = s.sparkSession.createDataFrame(list(enumerate(_ARTISTS)), "pos int, artist string")
+    return matching.resolve_artist(artists, s.select(F.expr(_ASKED).alias("asked")).distinct())
 
 
 @query("j16_stem_sections", "SELECT pos, k AS stem_type, 'part ' || (p % 3 + 1) AS section FROM samples, (SELECT unnest(['drums', 'vocals']) AS k), (SELECT unnest(range(3)) AS p)")
@@ -565,7 +628,7 @@ def _(s):
 def _(s):
     from curatrix.functions.lyrics import normalize_lyrics
 
-    x = s.filter("lyrics <> ''").withColumn("r", normalize_lyrics(F.col("lyrics"), ing_to_in=True))
+    x = s.withColumn("r", normalize_lyrics(F.col("lyrics"), ing_to_in=True))
     return x.select("id", "r.text", *[f"r.{c}" for c in ("contractions", "ing", "tags", "lines_changed", "apostrophes", "capitalized", "quotes", "tags_trimmed", "tags_dropped")])
 
 
@@ -583,11 +646,17 @@ def _(s):
     return s.select("id", lyrics.mapped(lyrics.trim_caption)("caption").alias("caption"))
 
 
-@query("t30_diff")
+@query("t30_diff", r"""
+SELECT id, CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN '-she''ll run' || chr(10) || '+sheel run' WHEN 2 THEN '-b' || id ELSE '+[Outro]' || chr(10) || '+end ' || id END AS diff,
+  CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN 'she''ll run>sheel run' WHEN 2 THEN 'b' || id || '>' ELSE '>[Outro];>end ' || id END AS pairs FROM samples""")
 def _(s):
     from curatrix.functions import lyrics
 
-    return s.filter("lyrics <> ''").select("id", lyrics.mapped(lyrics.line_diff)("lyrics", "raw_lyrics").alias("diff"))
+    before = F.expr("case pos % 4 when 0 then 'same' when 1 then concat('[Verse]', chr(10), \"she'll run\") when 2 then concat('a', chr(10), 'b', id, chr(10), 'c') else 'x' end")
+    after = F.expr("case pos % 4 when 0 then 'same' when 1 then concat('[Verse]', chr(10), 'sheel run') when 2 then concat('a', chr(10), 'c') else concat('x', chr(10), '[Outro]', chr(10), 'end ', id) end")
+    own = s.select("id", before.alias("a"), after.alias("b"))
+    pairs = lyrics.mapped(lambda a, b: ";".join(f"{x or ''}>{y or ''}" for x, y in lyrics.line_pairs(a, b)))
+    return own.select("id", lyrics.mapped(lyrics.line_diff)("a", "b").alias("diff"), pairs("a", "b").alias("pairs"))
 
 
 # --- merges
@@ -650,12 +719,15 @@ def _(s):
     return s.select("id", F.array_join(merging.band_instruments(x(1, 1, 9), x(0, 9, 1), x(5, 1, 1), x(1, 5, 1), x(1, 1, 8)), ",").alias("instruments"))
 
 
-@query("a12_loudness_plan", "SELECT id, 11::INTEGER AS parts FROM samples")
+@query("a12_loudness_plan", r"""
+SELECT id, '/work/originals_backup/' || filename AS backup, 'ffmpeg|-y|-i|' || audio_path || '|-af|loudnorm=I=-14.0:TP=-1.0:LRA=11|-ar|44100|-ac|2|/work/normalized_audio/norm_' || regexp_replace(filename, '\.[^.]*$', '') || '.wav' AS command,
+  'ffmpeg|-y|-i|' || audio_path || '|-vn|-ar|44100|-ac|2|-b:a|192k|/tmp/x.mp3' AS staging FROM samples""")
 def _(s):
-    return merging.loudness_plan(s).select("id", F.size("command").alias("parts"))
+    plan = merging.loudness_plan(s, "/work").select("id", "backup", F.array_join("command", "|").alias("command"))
+    return plan.join(s.select("id", F.array_join(merging.mp3_command(F.col("audio_path"), F.lit("/tmp/x.mp3")), "|").alias("staging")), "id")
 
 
-@query("p10_rename_prefix", "SELECT id, CASE WHEN row_number() OVER (PARTITION BY lower(filename) ORDER BY pos) = 1 THEN 'x_' || filename END AS new_name FROM samples")
+@query("p10_rename_prefix", "SELECT id, CASE WHEN row_number() OVER (PARTITION BY filename ORDER BY pos) = 1 THEN 'x_' || filename END AS new_name FROM samples")
 def _(s):
     return edits.renamed(s, "prefix", "x_").select("id", "new_name")
 
@@ -714,8 +786,8 @@ def _(s):
 
 
 def _s21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.ranked(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn", "role", "text")
+    return matching.ranked(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id"], [F.desc("turn")], 40).select("conv_id", "turn", "role", "text")
 
 
 QUERIES["s21_last_messages"] = _s21
-ORACLE_SQL["s21_last_messages"] = "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3"
+ORACLE_SQL["s21_last_messages"] = "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 40"

@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.operators import aggregates, edits, merging, rules
+from curatrix.functions import text as T
+from curatrix.operators import aggregates, edits, matching, merging, rules
 
 READ: dict[str, Callable[..., DataFrame]] = {
-    "get_dataset_summary": lambda s: s.orderBy("pos").limit(12),
+    "get_dataset_summary": lambda s: summary_rows(s),
     "list_tracks": lambda s: s.select("pos", "filename", F.left("caption", F.lit(80)).alias("preview")),
     "audit_captions": rules.audit,
     "validate_manifest": lambda s: rules.manifest_issues(s, list(rules.REQUIRED_METADATA)),
     "get_dataset_sound_profile": aggregates.sound_profile,
     "find_gaps": rules.gaps,
     "tag_stats": aggregates.tag_stats,
+    "lookup_instruments": lambda s: s.select("id", matching.lookup_instruments(F.col("filename"), F.lit(""), matching.SONG_INSTRUMENTS).alias("instruments")),
 }
 ACTIONS: dict[str, Callable[..., DataFrame]] = {
     "set_track_metadata": edits.set_field,
@@ -24,9 +26,17 @@ ACTIONS: dict[str, Callable[..., DataFrame]] = {
     "import_lyrics": edits.import_lyrics,
     "create_virtual_dataset": lambda s, specs: s.unionByName(edits.virtual_tracks(specs), allowMissingColumns=True),
     "normalize_audio": merging.loudness_plan,
+    "stage_temp_mp3": lambda s, folder: s.select("id", F.when(T.text_of(F.col("audio_path")) != "", merging.mp3_command(F.col("audio_path"), F.concat(F.lit(f"{folder}/"), T.staged_name(F.col("filename"))))).alias("command")),
 }
 
 
+def summary_rows(samples: DataFrame, shown: int = 12) -> DataFrame:
+    """pos and line: the first tracks, and behind them how many more there are."""
+    first = samples.orderBy("pos").limit(shown).select("pos", "filename")
+    more = samples.agg((F.count(F.lit(1)) - shown).alias("n")).filter("n > 0").select(F.lit(None).cast("long").alias("pos"), F.format_string("… %d more", "n").alias("filename"))
+    return first.unionAll(more)
+
+
 def call(name: str, samples: DataFrame, *args, **options) -> DataFrame:
     """Run an operation by name."""
     fn = READ.get(name) or ACTIONS.get(name)

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 
-# Audio suffixes of the folder scan, and the files that staging leaves alone.
-SCANNED = "mp3 wav flac ogg m4a aac wma aiff aif alac opus mp4 webm ape wv mka ac3 amr au caf dsf dff mpc tta ra mid".split()
+# Audio suffixes of the folder scan.
+SCANNED = (
+    "wav", "flac", "aiff", "aif", "aifc", "alac", "ape", "wv", "tta", "au",
+    "mp3", "m4a", "aac", "ogg", "oga", "opus", "wma", "ac3", "amr", "mp2",
+    "webm", "mkv", "mp4", "caf", "rf64", "bwf",
+)
+# The markers offered where no file lists any.
+SECTION_MARKERS = ("[Intro]", "[Verse]", "[Chorus]", "[Bridge]", "[Outro]")
 SAMPLE_JSON = (
     "id string, audio_path string, filename string, caption string, genre string, lyrics string, raw_lyrics string, formatted_lyrics string, bpm double, keyscale string, timesignature string, "
     "duration double, language string, is_instrumental boolean, custom_tag string, labeled boolean, prompt_override string, virtual boolean, detected_instruments string, caption_ai_raw string"
@@ -38,9 +44,15 @@ def small_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(str(f.getPath()), f.getLen()) for f in found if f.isFile()], "path string, length long")
 
 
-def audio_files(spark: SparkSession, path: str, suffixes: list[str] = SCANNED) -> DataFrame:
+def audio_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SCANNED) -> DataFrame:
     """Audio files of a folder, by suffix, case apart, in the order of their paths."""
-    return listing(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(suffixes)).orderBy("path")
+    return listing(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).orderBy("path")
+
+
+def nearest_audio(spark: SparkSession, path: str, whole: str, suffixes: tuple[str, ...] = T.AUDIO) -> DataFrame:
+    """Audio files of a folder; those of the whole tree where it has none."""
+    found = audio_files(spark, path, suffixes)
+    return audio_files(spark, whole, suffixes) if found.isEmpty() else found
 
 
 def add_paths(samples: DataFrame, paths: DataFrame) -> DataFrame:
@@ -75,6 +87,21 @@ def term_lines(lines: DataFrame) -> DataFrame:
     return own.groupBy(F.lower("term").alias("_k")).agg(F.min_by("term", "pos").alias("term"), F.min("pos").alias("pos")).select("pos", "term")
 
 
+def section_markers(lines: DataFrame | None) -> DataFrame:
+    """pos and marker of (pos, line): blanks and # lines left out; the built-in markers where no lines are given."""
+    if lines is None:
+        return SparkSession.active().createDataFrame(list(enumerate(SECTION_MARKERS)), "pos int, marker string")
+    return lines.filter((T.strip(F.col("line")) != "") & ~F.col("line").startswith("#")).select("pos", T.strip(F.col("line")).alias("marker"))
+
+
+def structure(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """seq and the fields of the segments found for one file; no rows where the document does not name it."""
+    rows = spark.read.text(path, wholetext=True)
+    kind = "array<struct<file: string, segments: array<struct<name: string, start: double, end: double>>>>"
+    own = rows.select(F.explode(F.from_json(F.get_json_object("value", "$.results"), kind)).alias("r")).filter(T.basename(F.col("r.file")) == F.lit(file.rsplit("/", 1)[-1]))
+    return own.select(F.posexplode("r.segments").alias("seq", "s")).select("seq", "s.*")
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """artist (null: general), facet, pos and term of a vocabulary document; names with a leading underscore are notes."""
     doc = spark.read.text(path, wholetext=True)

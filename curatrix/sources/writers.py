@@ -10,7 +10,10 @@ from curatrix.operators.edits import to_export
 from curatrix.operators.filters import for_export
 from curatrix.operators.sequences import build_block, lrc, split_dataset
 
-CSV_COLUMNS = ("id", "filename", "caption", "genre", "bpm", "keyscale", "timesignature", "duration", "language", "custom_tag")
+# The columns of the CSV export.
+CSV_COLUMNS = ("id", "filename", "audio_path", "genre", "bpm", "keyscale", "duration", "is_instrumental", "custom_tag", "caption")
+#: The formats of ``export``.
+FORMATS = ("json", "csv", "jsonl", "sidecar", "folders")
 
 
 def write_json(samples: DataFrame, metadata: dict, path: str) -> None:
@@ -34,10 +37,15 @@ def write_csv(samples: DataFrame, path: str) -> None:
     own.select(*[F.coalesce(F.col(c).cast("string") if c in own.columns else F.lit(None), F.lit("")).alias(c) for c in CSV_COLUMNS]).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
+def caption_or_tag():
+    """The text of a caption file."""
+    return T.first_of(T.strip(F.col("caption")), T.strip(F.col("custom_tag")))
+
+
 def sidecars(samples: DataFrame) -> DataFrame:
     """name and text of the caption files: caption, else tag; tracks without path are left out, of equal names the last wins."""
     own = for_export(samples).filter(F.trim(T.text_of(F.col("audio_path"))) != "")
-    text = T.first_of(F.trim(T.text_of(F.col("caption"))), F.col("custom_tag"))
+    text = caption_or_tag()
     return own.groupBy(F.concat(T.stem(F.col("audio_path")), F.lit(".txt")).alias("name")).agg(F.max_by(text, "pos").alias("text"))
 
 
@@ -66,6 +74,42 @@ def write_folders(samples: DataFrame, path: str, ratio: float = 0.2) -> DataFram
     return own.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
+def folder_files(samples: DataFrame, ratio: float = 0.2) -> DataFrame:
+    """split, name and text of the caption files of a train and validation export, and the fields of its manifest; tracks without path are left out."""
+    own = split_dataset(for_export(samples), ratio).filter(T.strip(F.col("audio_path")) != "")
+    return own.select("pos", "split", F.concat(T.stem(F.col("audio_path")), F.lit(".txt")).alias("name"), caption_or_tag().alias("text"), T.basename(F.col("audio_path")).alias("filename"), "genre", "bpm", "keyscale", "duration")
+
+
+def folder_manifest(files: DataFrame) -> DataFrame:
+    """The tracks of the export's manifest, train before val, in the order of the dataset: to be written as JSON lines."""
+    return files.orderBy(F.col("split") == "val", "pos").select("split", "filename", "genre", "bpm", "keyscale", "duration", F.col("text").alias("caption"))
+
+
+def export(samples: DataFrame, metadata: dict, path: str, formats: set[str], ratio: float = 0.2) -> list[str]:
+    """Write the formats asked for, planned tracks left out of all; returns those written."""
+    if unknown := formats - set(FORMATS):
+        raise ValueError(f"unknown formats {sorted(unknown)}")
+    own = for_export(samples)
+    sinks = {
+        "json": lambda: write_json(own, metadata, f"{path}/dataset.json"),
+        "csv": lambda: write_csv(own, f"{path}/dataset.csv"),
+        "jsonl": lambda: write_jsonl(own, f"{path}/dataset.jsonl"),
+        "sidecar": lambda: write_files(sidecars(own), f"{path}/captions"),
+        "folders": lambda: _write_split(own, path, ratio),
+    }
+    done = [f for f in FORMATS if f in formats]
+    for f in done:
+        sinks[f]()
+    return done
+
+
+def _write_split(samples: DataFrame, path: str, ratio: float) -> None:
+    files = folder_files(samples, ratio)
+    for split in ("train", "val"):
+        write_files(files.filter(F.col("split") == split), f"{path}/{split}")
+    folder_manifest(files).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
 def blocks(samples: DataFrame) -> DataFrame:
     """All lyrics as blocks, in order."""
     return samples.select("pos", build_block(samples).alias("block")).orderBy("pos")

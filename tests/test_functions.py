@@ -50,7 +50,9 @@ def test_split_and_trim():
     assert lyrics.trim_caption("a, b. Short.") == "a, b. Short."
     assert lyrics.trim_caption("a, b, c. One two three. Four five six seven.", 8, 2) == "a, b. One two three. Four five six."
     assert lyrics.trim_caption(None) == ""
-    assert lyrics.line_diff("a\nb", "a\nc").split("\n")[1:] == ["-b", "+c"]
+    assert lyrics.line_diff("a\nb", "a\nc").split("\n") == ["-b", "+c"]
+    assert lyrics.line_diff("same", "same") == "" and lyrics.line_pairs("same", "same") == []
+    assert lyrics.line_pairs("[verse]\nShe'll run", "[Verse]\nSheel run\nx") == [("[verse]", "[Verse]"), ("She'll run", "Sheel run"), (None, "x")]
 
 
 def value(spark, column, **given):
@@ -66,7 +68,8 @@ def test_native_functions(spark):
     assert value(spark, T.strip_apostrophes(x), x="it's [don't] ’n") == "its [don't] n"
     assert value(spark, T.song_name(x), x="03. Band - My  Song.mp3") == "My_Song"
     assert value(spark, T.staged_name(x), x="/a/b/Tränen?.flac") == "Tr_nen_.mp3"
-    assert value(spark, T.staged_name(x, False), x="a.FLAC") == "a.flac"
+    assert value(spark, T.staged_name(x, False), x="a.FLAC") == "a.flac" and value(spark, T.staged_name(x, False), x="a.wma") == "a.wma"
+    assert [value(spark, T.song_name(x), x=v) for v in (" 3 - A - B\tC .mp3", "_x_.wav", "12.Song.ogg")] == ["B_C", "x", "Song"]
     assert value(spark, T.staged_name(x), x="") == "track.mp3"
     assert [value(spark, T.parse_clock(x), x=v) for v in ("", "90s", "2:05", "1:00:00", "abc", "2.5")] == [0, 90, 125, 3600, None, 2]
     assert value(spark, T.normalize_instrument(x), x=" Guitars ") == "guitar" and value(spark, T.normalize_instrument(x), x="kazoo") == "kazoo"

@@ -87,7 +87,36 @@ def test_folds(spark):
 
 def test_numbers_and_refs():
     assert filters.parse_numbers("3-1, 5,,5") == [1, 2, 3, 5]
-    assert filters.parse_numbers("1-x") is None
+    assert filters.parse_numbers("1 3 5") == [1, 3, 5] and filters.parse_numbers("2,4-5 9") == [2, 4, 5, 9] and filters.parse_numbers(" ") == []
+    assert filters.parse_numbers("1-x") is None and filters.parse_numbers("1-2-3") is None
+
+
+def test_export_of_all_formats(spark, tmp_path):
+    rows = [(k, str(k), f"/m/t{k}.wav" if k else "", f"t{k}.wav", "g", 90, "A minor", 1.0, False, " tag ", " cap " if k % 2 else " ", "", "", "", k == 5) for k in range(6)]
+    samples = spark.createDataFrame(rows, "pos long, id string, audio_path string, filename string, genre string, bpm long, keyscale string, duration double, is_instrumental boolean, custom_tag string, caption string, lyrics string, raw_lyrics string, formatted_lyrics string, virtual boolean")
+    assert writers.export(samples, {"name": "x"}, str(tmp_path), {"folders", "csv", "sidecar"}) == ["csv", "sidecar", "folders"]
+    header = next(line for f in sorted(os.listdir(tmp_path / "dataset.csv")) if f.endswith(".csv") for line in open(tmp_path / "dataset.csv" / f))
+    assert [c.strip('"') for c in header.strip().split(",")] == ["id", "filename", "audio_path", "genre", "bpm", "keyscale", "duration", "is_instrumental", "custom_tag", "caption"]
+    assert sorted(os.listdir(tmp_path / "captions")) == [f"t{k}.txt" for k in range(1, 5)]
+    manifest = spark.read.json(str(tmp_path / "manifest")).collect()
+    assert {r.filename: r.caption for r in manifest} == {"t1.wav": "cap", "t2.wav": "tag", "t3.wav": "cap", "t4.wav": "tag"}
+    assert sorted(os.listdir(tmp_path / "train") + os.listdir(tmp_path / "val")) == [f"t{k}.txt" for k in range(1, 5)]
+    with pytest.raises(ValueError, match="unknown formats"):
+        writers.export(samples, {}, str(tmp_path), {"xml"})
+
+
+def test_markers_structure_and_fallback(spark, tmp_path):
+    lines = spark.createDataFrame(enumerate(["# no", " [Solo] ", ""]), "pos int, line string")
+    assert [r.marker for r in readers.section_markers(lines).collect()] == ["[Solo]"]
+    assert [r.marker for r in readers.section_markers(None).orderBy("pos").collect()] == ["[Intro]", "[Verse]", "[Chorus]", "[Bridge]", "[Outro]"]
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"results": [{"file": "/o/a.wav", "segments": [{"name": "Verse", "start": 0, "end": 9.5}]}]}))
+    assert [tuple(r) for r in readers.structure(spark, str(path), "/m/a.wav").collect()] == [(0, "Verse", 0.0, 9.5)]
+    assert readers.structure(spark, str(path), "b.wav").count() == 0
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "x.txt").write_text("x")
+    (tmp_path / "deep.wma").write_bytes(b"x")
+    assert readers.nearest_audio(spark, str(tmp_path / "in"), str(tmp_path)).count() == 1
 
 
 def test_history_and_decisions(spark):
