@@ -1,9 +1,10 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Every task deals its documents into shards of a bounded number of words, builds the suffix array of each
-shard (prefix doubling over word numbers, to the depth of the longest item), and binary-searches every
-suffix of every benchmark item in it.  The ranges found give the affected words; the neighbours of a
-suffix's place give its longest verbatim match and where that is.  No shuffle, and no document text leaves
+Every task deals its documents into shards of a bounded number of words and builds the suffix array of each
+shard (prefix doubling over word numbers, as deep as a window).  Every suffix of every benchmark item that begins with a window
+is binary-searched in it; suffixes that begin with the same window are searched once.  The ranges found are the
+places of the window; ranges of successive suffixes that lie on one diagonal (document place minus item place) join to verbatim
+matches, so the longest of each document, its item and both places are known.  No shuffle, and no document text leaves
 its task.
 
 The benchmark is measured first.  It is sent to the tasks in chunks of at most CHUNK_BYTES; when it needs more than one
@@ -46,25 +47,24 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class Patterns:
-    """The suffixes of a chunk of the benchmark, by the length of the window they begin with."""
+    """The suffixes of a chunk of the benchmark, by the window that they begin with."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.items = [i for i, _ in items]
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        #: Each suffix that begins with a window: its words, the item, its place.
-        self.suffixes: list[tuple[tuple[int, ...], int, int]] = []
-        self.depth = 1
+        found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of((text or "").encode()))
-            self.depth = max(self.depth, len(ids))
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found[ids[at : at + window]].add(k)
-                self.suffixes.append((ids[at:], k, at))
-        by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of((text or "").encode())], np.int32)
+            for at in range(max(1, len(ids) - window + 1) if len(ids) else 0):
+                found[ids[at : at + window].tobytes()].append((k, at))
+        by_length: dict[int, list[bytes]] = defaultdict(list)
         for w in found:
-            by_length[len(w)].append(w)
-        self.windows = [(n, np.array(ws, np.int64), [sorted(found[w]) for w in ws]) for n, ws in sorted(by_length.items())]
+            by_length[len(w) // 4].append(w)
+        #: Window length, windows, and the suffixes (item, place in it) that begin with each: where each window's begin, and all of them.
+        self.windows = []
+        for n, ws in sorted(by_length.items()):
+            suffixes = np.array([s for w in ws for s in found[w]], np.int64)
+            self.windows.append((n, np.frombuffer(b"".join(ws), np.int32).reshape(-1, n).astype(np.int64), np.concatenate([[0], np.cumsum([len(found[w]) for w in ws])]), suffixes))
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -139,42 +139,45 @@ class Shard:
         """This shard's number of each word of the patterns' vocabulary, -1 if it has none."""
         return np.array([self.numbers.get(w, -1) for w in patterns.vocabulary] or [-1], np.int64)
 
-    def occurrences(self, patterns: Patterns) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[int]]]]:
-        """By window length: places of occurring windows, which window each is, and the items of the windows."""
+    def occurrences(self, patterns: Patterns) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By window length: places of occurring windows; and places again, one for each suffix that begins with the window, with those suffixes."""
         local = self.local(patterns)
-        for n, windows, items in patterns.windows:
+        for n, windows, first, suffixes in patterns.windows:
             rows = local[windows]
             known = np.flatnonzero((rows > 0).all(axis=1))
             if not len(known):
                 continue
             rows = rows[known]
             lo, hi = search(self.ids, self.sa, rows, False), search(self.ids, self.sa, rows, True)
-            count = hi - lo
-            if total := int(count.sum()):
-                offset = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                yield n, self.sa[offset + np.arange(total)], np.repeat(known, count), items
-
-    def longest(self, patterns: Patterns, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
-        """Of each suffix that has a match of a whole window: item, place in it, words of the longest match, document, place in it."""
-        local = self.local(patterns)
-        depth = patterns.depth
-        for at in range(0, len(patterns.suffixes), 4096):
-            some = patterns.suffixes[at : at + 4096]
-            rows = np.full((len(some), depth), -2, np.int64)
-            for k, (ids, _, _) in enumerate(some):
-                rows[k, : len(ids)] = local[list(ids)]
-            place = search(self.ids, self.sa, rows, False)
-            ext = np.concatenate([self.ids, np.full(depth, -1, np.int64)])
-            best, where = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-            for near in (place - 1, place):
-                ok = (near >= 0) & (near < len(self.sa))
-                own = self.sa[np.where(ok, near, 0)]
-                same = (ext[own[:, None] + np.arange(depth)] == rows) & (rows > 0)
-                length = np.where(ok, np.where(same.all(axis=1), depth, (~same).argmax(axis=1)), 0)
-                where, best = np.where(length > best, own, where), np.maximum(best, length)
-            for k in np.flatnonzero(best >= [min(window, len(ids)) for ids, _, _ in some]):
-                doc = int(np.searchsorted(self.starts, where[k], "right")) - 1
-                yield some[k][1], some[k][2], int(best[k]), doc, int(where[k] - self.starts[doc])
+            if (hi > lo).any():
+                place = self.sa[_spread(lo, hi)]
+                which = np.repeat(known, hi - lo)
+                many = first[which + 1] - first[which]
+                yield n, place, np.repeat(place, many), suffixes[_spread(first[which], first[which + 1])]
+
+    def matches(self, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
+        """Changes of the number of windows that cover each word; and the longest verbatim matches: document, place in it, words, item, place in it."""
+        edge = np.zeros(len(self.ids) + 1, np.int64)
+        rows = [np.zeros((0, 5), np.int64)]
+        for n, places, at, suffixes in self.occurrences(patterns):
+            np.add.at(edge, places, 1)
+            np.add.at(edge, places + n, -1)
+            doc = np.searchsorted(self.starts, at, "right") - 1
+            own = np.stack([doc, at - self.starts[doc], suffixes[:, 0], suffixes[:, 1]], 1)
+            order = np.lexsort((own[:, 1], own[:, 1] - own[:, 3], own[:, 2], own[:, 0]))
+            own = own[order]
+            # a match goes on where the next suffix of the item is found one word further in the document
+            goes_on = (np.diff(own[:, 0]) == 0) & (np.diff(own[:, 1]) == 1) & (np.diff(own[:, 2]) == 0) & (np.diff(own[:, 3]) == 1)
+            first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            length = np.diff(np.append(first, len(own))) + n - 1
+            rows.append(np.column_stack([own[first, 0], own[first, 1], length, own[first, 2], own[first, 3]]))
+        return edge, np.concatenate(rows)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers from each lo to before its hi, one after the other."""
+    many = hi - lo
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, list[list[bytes]]]]:
@@ -205,17 +208,22 @@ def chunks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Patterns]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, longest_passage (hit words on end), items (sorted ids)."""
+    """Per document: doc_id, n_words, n_hit, longest_passage (hit words on end), items (sorted ids) and match.
+
+    match is the longest verbatim match (of several the first in the document, by item's id and place): words, doc_pos, item_id, item_pos.
+    """
     return _found(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window).drop("text", "_spans")
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """rows with n_words, n_hit, longest_passage, items (array<string>) and _spans (array<int>: starts and ends of hits)."""
+    """rows with n_words, n_hit, longest_passage, items (array<string>), match and _spans (array<int>: starts and ends of hits)."""
     spark = rows.sparkSession
-    rows = rows.withColumns({"_spans": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)")})
-    names = [c for c in rows.columns if c not in ("items", "_spans")]
+    none = F.lit(None).cast("struct<words: long, doc_pos: long, item_id: string, item_pos: long>")
+    rows = rows.withColumns({"_spans": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)"), "match": none})
+    names = [c for c in rows.columns if c not in ("items", "_spans", "match")]
     given = rows.select(*names)
-    out_schema = given.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "longest_passage": F.lit(0).cast("long"), "items": F.expr("cast(array() as array<string>)"), "_spans": F.expr("cast(array() as array<int>)")}).schema
+    out_schema = given.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "longest_passage": F.lit(0).cast("long"), "items": F.expr("cast(array() as array<string>)"), "match": none, "_spans": F.expr("cast(array() as array<int>)")}).schema
+    match_type = pa.struct([("words", pa.int64()), ("doc_pos", pa.int64()), ("item_id", pa.string()), ("item_pos", pa.int64())])
     scratch, done = Scratch(spark, "decontaminate"), 0
     todo = iter(chunks(benchmark, window))
     patterns = next(todo, None) or Patterns([])
@@ -225,20 +233,21 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             patterns = sent.value
             for held, docs in _shards(batches, "text"):
-                shard = Shard(docs, min(patterns.depth, window))
-                edge = np.zeros(len(shard.ids) + window + 1, np.int64)
+                shard = Shard(docs, window)
+                edge, found = shard.matches(patterns)
                 spans_in, items_in = held.column("_spans").to_pylist(), held.column("items").to_pylist()
                 for doc, spans in enumerate(spans_in):
                     for a, b in zip(spans[::2], spans[1::2], strict=True):
                         edge[shard.starts[doc] + a] += 1
                         edge[shard.starts[doc] + b] -= 1
-                items = [set(x) for x in items_in]
-                for n, places, which, owners in shard.occurrences(patterns):
-                    np.add.at(edge, places, 1)
-                    np.add.at(edge, places + n, -1)
-                    doc = np.searchsorted(shard.starts, places, "right") - 1
-                    for d, w in np.unique(np.stack([doc, which], 1), axis=0).tolist():
-                        items[d].update(patterns.items[k] for k in owners[w])
+                items, best = [set(x) for x in items_in], held.column("match").to_pylist()
+                for d, k in np.unique(found[:, [0, 3]], axis=0).tolist():
+                    items[d].add(patterns.items[k])
+                rank = lambda m: (-m["words"], m["doc_pos"], m["item_id"], m["item_pos"])
+                for d, at, length, k, place in found.tolist():
+                    if best[d] is None or length >= best[d]["words"]:
+                        own = {"words": length, "doc_pos": at, "item_id": patterns.items[k], "item_pos": place}
+                        best[d] = own if best[d] is None else min(best[d], own, key=rank)
                 hit = np.cumsum(edge)[: len(shard.ids)] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 begin, end = turn[::2], turn[1::2]
@@ -248,7 +257,7 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                     spans[d] += (a, b)
                 lengths = [[b - a for a, b in zip(x[::2], x[1::2], strict=True)] for x in spans]
                 out = held.select(names)
-                for name, values, kind in (("n_words", shard.sizes, pa.int64()), ("n_hit", [sum(x) for x in lengths], pa.int64()), ("longest_passage", [max(x, default=0) for x in lengths], pa.int64()), ("items", [sorted(x) for x in items], pa.list_(pa.string())), ("_spans", spans, pa.list_(pa.int32()))):
+                for name, values, kind in (("n_words", shard.sizes, pa.int64()), ("n_hit", [sum(x) for x in lengths], pa.int64()), ("longest_passage", [max(x, default=0) for x in lengths], pa.int64()), ("items", [sorted(x) for x in items], pa.list_(pa.string())), ("match", best, match_type), ("_spans", spans, pa.list_(pa.int32()))):
                     out = out.append_column(name, pa.array(values, kind))
                 yield from out.combine_chunks().to_batches()
 
@@ -259,29 +268,6 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     return found
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of every benchmark suffix with a match of a whole window or more: item_id, item_pos, length in words, and a document and place where the longest is."""
-    spark, out = docs.sparkSession, None
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    for patterns in chunks(benchmark, window):
-        sent = spark.sparkContext.broadcast(patterns)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            patterns = sent.value
-            for held, docs in _shards(batches, "text"):
-                found = [*zip(*Shard(docs, patterns.depth).longest(patterns, window), strict=True)] or [()] * 5
-                owners = held.column("doc_id").take(pa.array(found[3], pa.int64())).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array([patterns.items[k] for k in found[0]], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64()), owners, pa.array(found[4], pa.int64())], ["item_id", "item_pos", "length", "doc_id", "doc_pos"])
-
-        found = map_batches(rows, run, f"item_id string, item_pos long, length long, doc_id {kind}, doc_pos long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"item_id string, item_pos long, length long, doc_id {kind}, doc_pos long")
-    best = F.max_by(F.struct("doc_id", "doc_pos"), F.struct("length", -F.col("doc_id"), -F.col("doc_pos")))
-    return out.groupBy("item_id", "item_pos").agg(F.max("length").alias("length"), best.alias("at")).select("item_id", "item_pos", "length", "at.doc_id", "at.doc_pos")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, without those that hold a window of the benchmark."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
@@ -291,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark's 10-word windows."""
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_passage")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_passage", F.col("match.words").alias("match_words"), F.col("match.doc_pos").alias("match_doc_pos"), F.col("match.item_id").alias("match_item_id"), F.col("match.item_pos").alias("match_item_pos"))
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}
@@ -302,15 +288,19 @@ ORACLE_SQL = {
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS.format(t="coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_TOKENS.format(t="coalesce(text, '')")} AS w FROM benchmark),
 n AS (SELECT item, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, m, array_to_string(w[p:p + m - 1], ' ') AS g FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM n)),
+win AS (SELECT DISTINCT item, m, p AS q, array_to_string(w[p:p + m - 1], ' ') AS g FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM n)),
 occ AS (SELECT r, m, p, array_to_string(w[p:p + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM n) WHERE len(w) >= m)),
-hit AS (SELECT DISTINCT r, p, m, item FROM occ JOIN win USING (m, g)),
+met AS (SELECT DISTINCT r, p, m, item, q FROM occ JOIN win USING (m, g)),
+hit AS (SELECT DISTINCT r, p, m, item FROM met),
+diagonal AS (SELECT r, item, m, p, q, p - row_number() OVER (PARTITION BY r, item, m, p - q ORDER BY p) AS island FROM met),
+verbatim AS (SELECT r, item, count(*) + m - 1 AS words, min(p) - 1 AS dp, min(q) - 1 AS ip FROM diagonal GROUP BY r, item, m, p - q, island),
+best AS (SELECT * FROM verbatim QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, dp, item, ip) = 1),
 pos AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT r, p, m FROM hit)) GROUP BY r),
 own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r),
 run AS (SELECT r, q, q - row_number() OVER (PARTITION BY r ORDER BY q) AS island FROM (SELECT DISTINCT r, unnest(range(p, p + m)) AS q FROM hit)),
 top AS (SELECT r, max(c) AS longest FROM (SELECT r, count(*) AS c FROM run GROUP BY r, island) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_passage
-FROM d LEFT JOIN pos USING (r) LEFT JOIN own USING (r) LEFT JOIN top USING (r)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_passage, words::BIGINT AS match_words, dp::BIGINT AS match_doc_pos, best.item AS match_item_id, ip::BIGINT AS match_item_pos
+FROM d LEFT JOIN pos USING (r) LEFT JOIN own USING (r) LEFT JOIN top USING (r) LEFT JOIN best USING (r)
 """
 }

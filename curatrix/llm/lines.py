@@ -78,7 +78,9 @@ def _marked(docs: DataFrame, least: int, copies: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, copies: int = COPIES) -> DataFrame:
     """docs, all columns, with the lines that stay as their text."""
-    return _marked(docs, least, copies).withColumn("text", F.col("_kept")).select(*docs.columns)
+    # rows stay in a struct, so that no name of theirs can clash
+    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _marked(own, least, copies).select(*[F.col("_kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
