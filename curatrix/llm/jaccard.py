@@ -14,7 +14,8 @@
    size only; a set that may have a smaller partner below that power is indexed for the next lower one, too.
 4. Two sets may only link in a bucket if their sizes and the places of the shared key in either set leave room for enough
    common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others; links
-   found are contracted.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
+   found are contracted.  Where many pairs across components remain, the nodes outside a bucket's largest component meet one node of
+   it, drawn anew TURNS times.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
    with all others.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
    combinations of k + 1.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
    verified on the whole sets.
@@ -50,10 +51,12 @@ EXTRA, RARE = 1.5, 8
 MOST_FREQUENT = 4_000_000
 #: Shingles of a combination, to begin with and at most; pairs across components that a bucket may have for each node.
 LEAST_K, MOST_K, LIMIT = 2, 4, 32
+#: Times that the nodes outside a bucket's largest component meet a node of it before pairs are expanded, and the pairs a node from which they do.
+TURNS, CROWDED = 3, 8
 #: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle.
 FILTER_ROWS = 2_000_000
 #: Parities of a set, and longs of these that are compared inside a bucket.
-PARITIES, WORDS_COMPARED = 1024, 4
+PARITIES, WORDS_COMPARED = 1024, 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -415,12 +418,23 @@ class Join:
         pairs = led.filter(self.fits("n", "pos", "c.n", "c.pos"))
         self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
 
-        now = save(self.rooted(led.filter("size > 2").select("sig", "v", "n", "pos")), name)
+        rest = save(led.filter("size > 2").select("sig", "v", "n", "pos"), f"{name}-rest")
         self.scratch.drop(f"{name}-led")
-        each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"))
-        whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
-        left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), (F.expr("size * size - inner") > 2 * LIMIT * F.col("size")).alias("large"))
-        left = save(left, f"{name}-open")
+        for turn in range(TURNS + 1):
+            now = save(self.rooted(rest), f"{name}-{turn}")
+            each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"))
+            whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
+            more = lambda most: F.expr("size * size - inner") > 2 * most * F.col("size")
+            left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), more(LIMIT).alias("large"), more(CROWDED).alias("crowded"))
+            left = save(left, f"{name}-open{turn}")
+            crowded = left.filter("crowded").select("sig", "top")
+            if turn == TURNS or crowded.isEmpty():
+                break
+            crowd = now.join(self.small(crowded), "sig")
+            lead = crowd.filter("root = top").groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "pos")).alias("c"))
+            pairs = crowd.filter("root <> top").join(lead, "sig").filter(self.fits("n", "pos", "c.n", "c.pos"))
+            self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
+            self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}")
         folded = [F.expr(" ^ ".join(f"bits[{i}]" for i in range(k, PARITIES // 64, WORDS_COMPARED))).alias(f"x{k}") for k in range(WORDS_COMPARED)]
         wide = save(now.join(self.small(left), "sig").join(self.heads.select("v", *folded), "v"), f"{name}-wide")
         some = wide if last else wide.filter("not large")
@@ -431,7 +445,7 @@ class Join:
         pairs = some.join(minor, "sig").filter(ahead & self.fits("n", "pos", "m", "at") & near)
         self.meet(pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
         again = None if last or left.filter("large").isEmpty() else save(wide.filter("large").select("v").distinct(), f"{name}-nodes")
-        self.scratch.drop(name, f"{name}-open", f"{name}-wide")
+        self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}", f"{name}-rest", f"{name}-wide")
         return again
 
     def run(self) -> DataFrame:
