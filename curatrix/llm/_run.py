@@ -1,7 +1,7 @@
 """What every operator of this subpackage shares: reading tables, the shared scratch folder, Arrow passes.
 
 Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``; only where that is
-unset (tests, a laptop) a local one is made.  They are plain Parquet, so a lost executor costs a re-read,
+unset and Spark runs on one machine (tests, a laptop) a local one is made.  They are plain Parquet, so a lost executor costs a re-read,
 never a recomputation of the lineage above them.
 """
 
@@ -48,6 +48,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

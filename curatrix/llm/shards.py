@@ -10,7 +10,7 @@ third of all rows is thus many buckets, and no task sees a whole source.
 
 Defined results: null text has size 1 and the checksum of the empty string; null source is a source of its own;
 null doc_id sorts first; rows with equal doc_id are ordered by size and checksum; an empty table gives an empty
-result; other columns are kept by ``interleave``.
+result; other columns, whatever their names, are kept by ``interleave``, but for those that have the names of its four own.
 """
 
 from __future__ import annotations
@@ -26,8 +26,20 @@ SHARDS, SEED = 8, 7
 PER_PARTITION = 8
 
 
+#: Columns that ``interleave`` adds.
+ADDED = ("_size", "_crc", "_shard", "_slot")
+
+
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs with _size, _crc, _shard and _slot (gapless from 0 in each shard)."""
+    kept = [c for c in docs.columns if c not in ADDED]
+    # rows stay in a struct, so that no name of theirs can clash
+    own = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    return _dealt(own, shards, seed).select(*[F.col(f"row.`{c}`") for c in kept], *ADDED)
+
+
+def _dealt(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """doc_id, source, text and further columns of docs with those of ADDED."""
     spark, total = docs.sparkSession, docs.count()
     buckets = shuffle_partitions(spark) * PER_PARTITION
     text = sql_text().cast("binary")
@@ -60,7 +72,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document; counts are at most one apart."""
-    docs = interleave(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = _dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SHARDS, SEED)
     return docs.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

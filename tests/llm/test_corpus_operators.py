@@ -12,7 +12,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from curatrix.llm import decontaminate, jaccard, lines, mixture, shards
+from pyspark.sql import functions as F
+
+from curatrix.llm import _run, decontaminate, jaccard, lines, mixture, shards
+from curatrix.llm._sample import labelled_sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_hit int"
 ODD = [None, "", " ", "\n", "a", "a b", "é" * 500, "word " * 5000, "\n\n x \n"]
@@ -366,6 +369,18 @@ def test_names_do_not_clash(spark):
         assert rows and all(r[c] == c for r in rows for c in names)
 
 
+def test_sharding_keeps_clashing_names(spark):
+    names = ["_order", "_bucket", "_source", "_rank", "_part", "_at", "_of", "_n", "_head", "_before", "row", "size", "shard"]
+    plain = table(spark, ["a b", "c", "", None, "c"])
+    docs = plain.selectExpr("*", *[f"'{c}' as {c}" for c in names], "'old' as _slot")
+    out = shards.interleave(docs)
+    assert out.columns == [*docs.columns[:-1], *shards.ADDED]
+    rows = out.collect()
+    assert all(r[c] == c for r in rows for c in names)
+    want = {(r.doc_id, r._size, r._crc, r._shard, r._slot) for r in shards.interleave(plain).collect()}
+    assert len(rows) == 5 and {(r.doc_id, r._size, r._crc, r._shard, r._slot) for r in rows} == want
+
+
 @pytest.mark.parametrize("longest", [200, 2000])
 def test_mix_meets_targets(spark, longest):
     rng = random.Random(7)
@@ -387,9 +402,47 @@ def test_mix_meets_targets(spark, longest):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+# --- scratch and samples
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _run._scratch_root(cluster)
+    shared = SimpleNamespace(get=lambda *_: "hdfs://host/shared/")
+    cluster.sparkContext.getConf = lambda: shared
+    assert _run._scratch_root(cluster) == "hdfs://host/shared"
+
+
+def test_sample_of_repeated_ids(spark):
+    docs = table(spark, ["b", "a", "a", None, "c", "d"], [1, 1, 1, 1, 2, 3])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    rows, counts = labelled_sample(docs, labels, "toxic", F.lit(False), 5)
+    assert rows == [(0, "c"), (1, "a")] and counts == {0: 1, 1: 1}
+
+
 # --- the pipeline
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("e", ""), ("n", None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    odd = table(spark, [*ODD, "a b c d e f g", "a b c d e f g", None], [*range(len(ODD)), 0, None, None])
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == "sharding"
+        for docs in (odd, odd.unionAll(odd), odd.limit(0)):
+            out = stage(spark, docs, folder)
+            assert set(out.columns) == set(docs.columns) | ({"size", "text_crc32", "shard", "slot"} if last else set()), name
+            n = out.count()
+            assert n == docs.count() if name in ("toxicity", "benchmark_decontamination", "sharding") else n <= 3 * docs.count(), name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from curatrix.llm import toxicity
