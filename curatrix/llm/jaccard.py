@@ -55,7 +55,7 @@ LEAST_K, MOST_K, LIMIT = 2, 4, 32
 TURNS, CROWDED = 3, 8
 #: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle.
 FILTER_ROWS = 2_000_000
-#: Parities of a set, and longs of these that are compared inside a bucket.
+#: Parities of a set at least, and longs that these are folded to and compared by inside a bucket.
 PARITIES, WORDS_COMPARED = 1024, 8
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,8 +130,19 @@ def signatures(own: np.ndarray, often: np.ndarray, percent: int, k: int) -> tupl
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Of each of PARITIES hash classes whether the set has an odd number of shingles of it, 64 to a word: two sets differ in as many bits at most as in shingles."""
-    return np.packbits(np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.uint64)
+    """Of each hash class whether the set has an odd number of shingles of it, 64 to a word: two sets differ in as many bits at most as in shingles.
+
+    There are as many classes as shingles or more, a power of two and PARITIES at least, so that the bits of long sets tell, too.  Words a
+    power of two apart, joined by exclusive or, are the parities of fewer classes.
+    """
+    classes = max(PARITIES, 1 << (len(own) - 1).bit_length()) if len(own) else PARITIES
+    odd = np.bincount((own % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _folded(bits: str, words: str) -> str:
+    """SQL of the parities in so many words."""
+    return f"if(size({bits}) = {words}, {bits}, transform(sequence(0, {words} - 1), i -> aggregate(sequence(i, size({bits}) - 1, {words}), 0L, (s, j) -> s ^ {bits}[j])))"
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -394,7 +405,8 @@ class Join:
         marks = self.heads.select("v", "n", "bits").join(self.small(save(ends(pairs), f"ends{turn}")), "v", "left_semi")
         bits = pairs.join(marks.select(F.col("v").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
         bits = bits.join(marks.select(F.col("v").alias("a"), F.col("bits").alias("x"), "n"), "a")
-        differ = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+        words = "least(size(x), size(y))"
+        differ = f"aggregate(zip_with({_folded('x', words)}, {_folded('y', words)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
         near = save(bits.filter(self.near("n", "m", differ)).select("a", "b"), f"near{turn}")
         if near.isEmpty():
             return
@@ -435,8 +447,8 @@ class Join:
             pairs = crowd.filter("root <> top").join(lead, "sig").filter(self.fits("n", "pos", "c.n", "c.pos"))
             self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
             self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}")
-        folded = [F.expr(" ^ ".join(f"bits[{i}]" for i in range(k, PARITIES // 64, WORDS_COMPARED))).alias(f"x{k}") for k in range(WORDS_COMPARED)]
-        wide = save(now.join(self.small(left), "sig").join(self.heads.select("v", *folded), "v"), f"{name}-wide")
+        folded = self.heads.select("v", F.expr(_folded("bits", str(WORDS_COMPARED))).alias("x")).select("v", *[F.col("x")[k].alias(f"x{k}") for k in range(WORDS_COMPARED)])
+        wide = save(now.join(self.small(left), "sig").join(folded, "v"), f"{name}-wide")
         some = wide if last else wide.filter("not large")
         minor = some.filter("root <> top").select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS_COMPARED)])
         # two nodes outside the largest component meet once
