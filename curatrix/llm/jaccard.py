@@ -358,7 +358,11 @@ class Join:
                 break
             short = now if short is None else short.unionAll(now)
             sets = self._add_sets(now)
-            counted = sets.select(F.explode("own").alias("sig")).groupBy("sig").count().filter(F.col("count") > most)
+            each = sets.select(F.explode("own").alias("sig"))
+            if turn:  # only shingles of the new sets can have turned frequent
+                new = sets.join(self.small(now), "v", "left_semi").select(F.explode("own").alias("sig")).distinct()
+                each = each.join(self.small(save(new, f"new{turn}")), "sig")
+            counted = each.groupBy("sig").count().filter(F.col("count") > most)
             more = np.union1d(self.frequent.known, fetch(save(counted, f"counted{turn}")))
             if len(more) == len(self.frequent.known) or len(more) > 2 * MOST_FREQUENT:
                 break
