@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that hold the queries, in their order.
-MODULES = ("media", "toxicity", "pii", "decontaminate", "shards", "quality", "jaccard", "lines", "secrets", "mixture")
+MODULES = ("media", "toxicity", "pii", "decontaminate", "shards", "quality", "jaccard", "lines", "secrets", "mixture", "divergence", "alignment", "urls")
 
 
 def queries() -> dict:
