@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("curatrix.plans.queries",)
+MODULES: tuple[str, ...] = ("curatrix.plans.queries", "curatrix.plans.audio")
 
 
 def queries() -> dict:

@@ -19,9 +19,13 @@ MONO_DB = -30.0
 def stereo(left: Column, right: Column) -> Column:
     """label and side/mid level in decibels of two channels (right null: one channel); native folds."""
     halves = lambda sign: F.aggregate(F.zip_with(left, right, lambda a, b: (a + sign * b) / 2), F.lit(0.0), lambda s, x: s + x * x)
-    mid, side = halves(1), halves(-1)
+    return stereo_of(F.when(right.isNotNull(), halves(1)), F.when(right.isNotNull(), halves(-1)))
+
+
+def stereo_of(mid: Column, side: Column) -> Column:
+    """label and side/mid level in decibels of the energies of mid and side (null: one channel)."""
     db = F.when((mid > 0) & (side > 0), 10 * F.log10(side / mid))
-    label = F.when(right.isNull() | ((mid <= 0) & (side <= 0)), "mono").when(mid <= 0, "stereo").when(side <= 0, "mono").when(db < MONO_DB, "mono").otherwise("stereo")
+    label = F.when(side.isNull() | ((mid <= 0) & (side <= 0)), "mono").when(mid <= 0, "stereo").when(side <= 0, "mono").when(db < MONO_DB, "mono").otherwise("stereo")
     return F.struct(label.alias("label"), db.alias("db"))
 
 
