@@ -123,6 +123,20 @@ def test_alignment(spark, monkeypatch, block):
     assert sum(r.n for r in made.groups.collect()) == sum(x[3] for x in want)
 
 
+def test_both_libraries_give_the_ids_of_a():
+    """Every two characters of the fast way in four settings, and words of the vocabulary run together."""
+    own = alignment.Tokenizers.of(f"{alignment.FOLDER}/{alignment.FILE_A}", f"{alignment.FOLDER}/{alignment.FILE_B}")
+    assert own.fast is not None
+    rng = random.Random(9)
+    chars = [chr(c) for c in range(0x250)]
+    texts = ["".join(f" {c}{d}{c} {d}a{c}1{d}" for d in rng.sample(chars, 40)) for c in chars]
+    latin = [t for t in (b.decode(errors="replace") for b in own.bytes_a) if not alignment.BEYOND.search(t)]
+    texts += ["".join(rng.choice(latin) for _ in range(60)) for _ in range(1500)] + ["<|endoftext|>" * 3, "ab" * 100_000, "\n\t " * 5000]
+    assert not any(alignment.BEYOND.search(t) for t in texts)
+    assert own.encode_a(texts) == [x.ids for x in own.a.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode_a(["日本 a", "b"]) == [own.a.encode(x, add_special_tokens=False).ids for x in ("日本 a", "b")]
+
+
 def test_alignment_without_tokens(spark):
     assert alignment.align(spark.createDataFrame([], SCHEMA)).documents.count() == 0
     rows_ = alignment.align(spark.createDataFrame(rows([None, ""]), SCHEMA)).documents.collect()
