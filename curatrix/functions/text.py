@@ -193,10 +193,11 @@ def is_access_token(text: Column) -> Column:
 
 
 def mime_of(path: Column) -> Column:
-    """The MIME type of an audio file, by its suffix."""
-    kinds = {"mp3": "audio/mpeg", "wav": "audio/wav", "flac": "audio/flac", "ogg": "audio/ogg", "m4a": "audio/mp4", "aac": "audio/aac"}
+    """The MIME type of an audio file, by its suffix; that of MP3 for others."""
+    # Suffixes and their types.
+    kinds = {"wav": "audio/wav", "mp3": "audio/mpeg", "flac": "audio/flac", "ogg": "audio/ogg", "m4a": "audio/mp4", "aac": "audio/aac", "wma": "audio/x-ms-wma"}
     table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    return F.coalesce(table[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))], F.lit("audio/mpeg"))
+    return F.coalesce(table[F.lower(F.regexp_extract(text_of(path), r"[^/]\.([^./]+)$", 1))], F.lit("audio/mpeg"))
 
 
 def parse_clock(text: Column) -> Column:
@@ -208,8 +209,9 @@ def parse_clock(text: Column) -> Column:
 
 
 def slug_problem(text: Column) -> Column:
-    """Why an owner/slug is refused, or null. Placeholders for the owner are fixed values."""
-    placeholders = ["owner", "user", "username", "your-username", "your_username", "yourname", "your-name", "me", "example"]
-    parts = F.split(F.trim(text_of(text)), "/")
-    bad = (F.size(parts) != 2) | (F.get(parts, F.lit(0)) == "") | (F.coalesce(F.get(parts, F.lit(1)), F.lit("")) == "")
-    return F.when(F.trim(text_of(text)) == "", "empty").when(bad, "must be owner/slug").when(F.lower(F.get(parts, F.lit(0))).isin(placeholders), "placeholder owner")
+    """Why an owner/slug is refused; null if it may be one, or is blank, which is a choice too."""
+    # Owners that are placeholders.
+    placeholders = ["me", "you", "user", "owner", "username", "your-username", "yourname", "someone", "example"]
+    bare = strip(text)
+    parts = F.transform(F.split(bare, "/", -1), strip)
+    return F.when(bare == "", None).when((F.size(parts) != 2) | F.array_contains(parts, ""), "must be owner/slug").when(F.lower(F.get(parts, F.lit(0))).isin(placeholders), "placeholder owner")

@@ -47,8 +47,11 @@ def report(samples: DataFrame, genres: int = 8, keys: int = 6, instruments: int
 
 
 def sound_profile(samples: DataFrame) -> DataFrame:
-    """The shorter report."""
-    return report(samples, 6, 5, 8)
+    """The shorter report: kind, value and n. Counts of tracks, of vocal, instrumental and captioned ones and the range of known tempi are rows as well."""
+    bpm, vocal = F.nullif("bpm", F.lit(0)), ~F.coalesce("is_instrumental", F.lit(False))
+    counts = samples.agg(F.count(F.lit(1)).alias("tracks"), F.count_if(vocal).alias("vocal"), F.count_if(~vocal).alias("instrumental"), F.count_if(T.strip(F.col("caption")) != "").alias("captioned"), F.min(bpm).cast("long").alias("bpm_min"), F.max(bpm).cast("long").alias("bpm_max"))
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit("count").alias("kind"), F.lit(c).alias("value"), F.col(c).alias("n")) for c in counts.columns]))).filter("n IS NOT NULL")
+    return rows.unionByName(report(samples, 6, 5, 8))
 
 
 def tags_of(samples: DataFrame) -> DataFrame:

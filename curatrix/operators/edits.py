@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,11 @@ def new_sample(rows: DataFrame) -> DataFrame:
     return normalize(rows).withColumns({n: F.coalesce(F.col(n) if n in rows.columns else F.lit(None), F.expr(f"cast({d} as {k})")) for n, (k, d) in FIELDS.items()})
 
 
-def to_export(samples: DataFrame) -> DataFrame:
-    """The exported fields in their order: bare file name, path or name, duration and flags always there, override one of two texts or null."""
+def to_export(samples: DataFrame, *more: Column) -> DataFrame:
+    """The exported fields in their order, and more columns of the tracks: bare file name, path or name, duration and flags always there, override one of two texts or null."""
     name = T.basename(F.trim(T.first_of(F.trim(T.text_of(F.col("filename"))), T.text_of(F.col("audio_path")))))
-    out = samples.withColumns({n: F.expr(f"cast({d} as {k})") for n, (k, d) in FIELDS.items() if n not in samples.columns})
+    more_names = [f"_more{k}" for k in range(len(more))]
+    out = samples.withColumns(dict(zip(more_names, more, strict=True)) | {n: F.expr(f"cast({d} as {k})") for n, (k, d) in FIELDS.items() if n not in samples.columns})
     out = out.withColumns(
         {
             "filename": name,
@@ -46,7 +50,8 @@ def to_export(samples: DataFrame) -> DataFrame:
             "prompt_override": F.when(F.col("prompt_override").isin("caption", "genre"), F.col("prompt_override")),
         }
     )
-    return out.select(*EXPORTED)
+    named = [F.col(n).alias(samples.select(c).columns[0]) for n, c in zip(more_names, more, strict=True)]
+    return out.select(*EXPORTED, *named)
 
 
 def instrumental_mode(samples: DataFrame, all_instrumental: bool) -> DataFrame:
@@ -89,13 +94,31 @@ def replace_text(samples: DataFrame, find: str, put: str, fields: tuple[str, ...
     return samples.withColumn("n_fields", changed).withColumns(new)
 
 
+def _numbered(pattern: str, number: Column) -> Column:
+    """A pattern with the number for its fields {n}, {n:03d}, {n:3} or {n:x}; one with other fields or loose braces has it for {n} only."""
+    out = []
+    try:
+        for text, field, spec, conversion in string.Formatter().parse(pattern):
+            out.append(F.lit(text))
+            if field is None:
+                continue
+            own = re.fullmatch(r"(0?)(\d*)([dxXo]?)", spec)
+            if field != "n" or conversion or not own:
+                raise ValueError(field)
+            zero, width, kind = own.groups()
+            out.append(F.format_string(f"%{zero if width else ''}{width}{kind or 'd'}", number))
+    except ValueError:
+        return F.replace(F.lit(pattern), F.lit("{n}"), number.cast("string"))
+    return F.concat(*out, F.lit(""))
+
+
 RENAME_MODES = ("replace", "prefix", "suffix", "number", "song")
 
 
 def renamed(samples: DataFrame, mode: str, a: str = "", b: str = "", start: int = 1) -> DataFrame:
-    """new_name of every track, the suffix kept; of equal targets (by case, too) the first keeps it, the others are null (skipped).
+    """new_name of every track, the suffix kept; of equal targets the first keeps it, the others are null (skipped).
 
-    Modes: replace (a by b; names without a are skipped), prefix and suffix (a), number (the pattern a with {n}, counted
+    Modes: replace (a by b; names without a are skipped), prefix and suffix (a), number (the pattern a with {n} or {n:03d}, counted
     from start over the tracks that have a name), song.  The first of a target is found by an aggregate, so a name that
     very many tracks share is combined before the shuffle.
     """
@@ -106,7 +129,7 @@ def renamed(samples: DataFrame, mode: str, a: str = "", b: str = "", start: int
         "replace": lambda: F.when(F.contains(bare, F.lit(a)) if a else F.lit(False), F.concat(F.replace(bare, F.lit(a), F.lit(b)), suffix)),
         "prefix": lambda: F.concat(F.lit(a), F.col("filename")),
         "suffix": lambda: F.concat(bare, F.lit(a), suffix),
-        "number": lambda: F.concat(F.replace(F.lit(a), F.lit("{n}"), F.col("number").cast("string")), suffix),
+        "number": lambda: F.concat(_numbered(a, F.col("number")), suffix),
         "song": lambda: F.concat(T.song_name(F.col("filename")), suffix),
     }[mode]()
     target = samples.withColumn("new_name", F.nullif(F.when(T.text_of(F.col("filename")) != "", new), F.lit("")))
@@ -140,6 +163,29 @@ def normalize_tags(tags: Column) -> Column:
     return F.array_join(F.transform(T.split_tags(tags), T.normalize_instrument), ", ")
 
 
+def normalize_all_tags(samples: DataFrame) -> DataFrame:
+    """The tracks with instrument names for synonyms in custom_tag, in the list detected_instruments and in the list tags.instruments; ``changed``: how many of the three differ.
+
+    Lists that are absent or texts instead of lists stay as they are; a custom tag whose names stay keeps its spelling.
+    """
+    own = T.split_tags(F.col("custom_tag"))
+    named = F.transform(own, T.normalize_instrument)
+    put = {"custom_tag": F.when((F.size(own) > 0) & (named != own), F.array_join(named, ", ")).otherwise(F.col("custom_tag"))}
+    differ = [(F.size(own) > 0) & (named != own)]
+    listed = lambda x: F.transform(x, T.normalize_instrument)
+    kinds = dict(samples.dtypes)
+    if kinds.get("detected_instruments") == "array<string>":
+        x = F.col("detected_instruments")
+        put["detected_instruments"] = listed(x)
+        differ.append(listed(x) != x)
+    if "instruments:array<string>" in kinds.get("tags", ""):
+        x = F.col("tags.instruments")
+        put["tags"] = F.when(F.col("tags").isNotNull(), F.col("tags").withField("instruments", listed(x)))
+        differ.append(listed(x) != x)
+    changed = sum((F.coalesce(d, F.lit(False)).cast("int") for d in differ), F.lit(0))
+    return samples.withColumn("changed", changed).withColumns(put)
+
+
 def import_lyrics(samples: DataFrame, lyrics: DataFrame) -> DataFrame:
     """Lyrics by filename, stripped, into all three fields; blank ones are refused; the track is not instrumental then."""
     new = lyrics.select("filename", T.strip(F.col("text")).alias("_new")).filter("_new <> ''")

@@ -10,8 +10,19 @@ from curatrix.operators.edits import set_field
 
 
 def merge_rules(master: DataFrame, profile: DataFrame) -> DataFrame:
-    """word and said: the profile's rules win, the master's others stay."""
-    return profile.select("word", "said").unionByName(master.join(profile.select("word"), "word", "left_anti").select("word", "said"))
+    """word and said: the profile's rules win, the master's others stay; of equal words within one, the last by ``pos`` if there is one."""
+    own, others = _last_of_word(profile), _last_of_word(master)
+    return own.unionByName(others.join(own.select("word"), "word", "left_anti"))
+
+
+def _last_of_word(rules: DataFrame) -> DataFrame:
+    order = "pos" if "pos" in rules.columns else "said"
+    return rules.groupBy("word").agg(F.max_by("said", order).alias("said"))
+
+
+def merge_exceptions(master: DataFrame, profile: DataFrame) -> DataFrame:
+    """word: the words of both that keep their -ing, each once."""
+    return master.select("word").union(profile.select("word")).filter("word IS NOT NULL").distinct()
 
 
 def merge_words(a: Column, b: Column) -> Column:

@@ -7,27 +7,28 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
 
-MARKER = r"^\s*----+\s*(.*?)\s*----+\s*$"
-
 
 def parse_blocks(texts: DataFrame) -> DataFrame:
-    """doc, filename and text of the blocks under '---- name ----' lines; lines before the first are dropped, of equal names the last wins.
+    """doc, filename and text of the blocks under marker lines; lines before the first are dropped, of equal names the last wins.
 
-    The fold runs within the row: a text is one block file.
+    A marker line, blanks at its ends apart, begins and ends with four hyphens; the name is what lies between the first and the last four, stripped: it may be
+    empty and may have hyphens of its own.  The order of a text's lines is a window over its own rows: a text is one block file.
     """
     lines = F.split(T.text_of(F.col("text")), r"\r\n|[\n\r\u000b\f\u001c\u001d\u001e\u0085  ]")
-    name = F.regexp_extract(F.trim("line"), MARKER, 1)
+    bare = T.strip(F.col("line"))
+    name = F.when(bare.startswith("----") & bare.endswith("----"), T.strip(F.substring(bare, F.lit(5), F.greatest(F.lit(0), F.length(bare) - 8))))
     rows = texts.select("doc", F.posexplode(lines).alias("at", "line")).withColumn("name", name)
     own = Window.partitionBy("doc").orderBy("at")
-    numbered = rows.withColumn("block", F.sum((F.col("name") != "").cast("int")).over(own)).filter("block > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == "", F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    numbered = rows.withColumn("block", F.sum(F.col("name").isNotNull().cast("int")).over(own)).filter("block > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n")
     blocks = numbered.groupBy("doc", "block").agg(F.max("name").alias("filename"), F.regexp_replace(body, "^\n+|\n+$", "").alias("text"))
     return blocks.groupBy("doc", "filename").agg(F.max_by("text", "block").alias("text"))
 
 
 def build_block(samples: DataFrame) -> Column:
-    """The block of a track: marker line, lyrics (raw, formatted or shown), blank line."""
-    return F.concat(F.lit("---- "), F.col("filename"), F.lit(" ----\n"), T.first_of(F.col("raw_lyrics"), F.col("formatted_lyrics"), F.col("lyrics")), F.lit("\n"))
+    """The block of a track: marker line ('?' where the track has no name), lyrics (raw, formatted or shown) without blanks at the end, blank line."""
+    text = T.first_of(F.col("raw_lyrics"), F.col("formatted_lyrics"), F.col("lyrics"))
+    return F.concat(F.lit("---- "), F.coalesce("filename", F.lit("?")), F.lit(" ----\n"), F.rtrim(text, F.lit(T.BLANKS)), F.lit("\n"))
 
 
 def name_sections(sections: DataFrame) -> DataFrame:
@@ -77,14 +78,14 @@ def part_list(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.format_string("Part %d (from %ds): %s", i + 1, p["start"].cast("long"), p["text"])), "\n")
 
 
-def split_dataset(samples: DataFrame, ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """split ('train' or 'val'), stratified by genre ('?' if blank): bround(n * ratio) of each, the first in a seeded hash order.
+def split_dataset(samples: DataFrame, ratio: float = 0.2, seed: int = 42, stratify: bool = True) -> DataFrame:
+    """split ('train' or 'val'), stratified by genre ('?' if blank) or over all tracks: bround(n * ratio) of each, the first in a seeded hash order.
 
     The cut is by hash rank; a genre with most of the rows is ranked in hash buckets whose counts give their offsets.
     """
     if ratio <= 0:
         return samples.withColumn("split", F.lit("train"))
-    genre = T.first_of(F.trim(T.text_of(F.col("genre"))), F.lit("?"))
+    genre = T.first_of(F.trim(T.text_of(F.col("genre"))), F.lit("?")) if stratify else F.lit("?")
     rows = samples.withColumns({"_g": genre, "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")).cast("binary"))})
     rows = rows.withColumn("_b", F.substring("_h", 1, 2))
     counts = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))

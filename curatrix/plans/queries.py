@@ -202,13 +202,16 @@ def _(s):
     return s.filter(filters.over_limit(10)).select("id", T.over_by(T.estimate_tokens(T.first_of(F.col("formatted_lyrics"), F.col("lyrics"))), 10).alias("over_by"))
 
 
-@query("f12_slug_problems", """
-, x AS (SELECT id, case pos % 4 when 0 then 'owner/x' when 1 then genre when 2 then concat(language, '/', id) else '' end AS t FROM samples)
-SELECT id, CASE WHEN trim(t) = '' THEN 'empty' WHEN len(string_split(trim(t), '/')) <> 2 OR split_part(trim(t), '/', 1) = '' OR split_part(trim(t), '/', 2) = '' THEN 'must be owner/slug'
-  WHEN lower(split_part(trim(t), '/', 1)) IN ('owner', 'user', 'username', 'your-username', 'your_username', 'yourname', 'your-name', 'me', 'example') THEN 'placeholder owner' END AS problem FROM x""")
+#: Owners to try, by the place in the list; accounts are made of the track's own fields.
+_SLUG = "case pos % 16 when 0 then 'me/my-weights' when 1 then 'You/x' when 2 then ' someone / x ' when 3 then 'Owner/x' when 4 then 'your_username/x' when 5 then 'your-name/x' when 6 then concat(genre, '/', id, '/x') when 7 then concat('/', id) when 8 then concat(genre, '/ ') when 9 then ' ' when 10 then null when 11 then genre when 12 then 'yourname/x' when 13 then 'example/a' else concat(genre, '-', language, '/', id) end"
+
+
+@query("f12_slug_problems", f"""
+, x AS (SELECT id, string_split(trim({_SLUG}), '/') AS p FROM samples)
+SELECT id, CASE WHEN p IS NULL OR p = [''] THEN NULL WHEN len(p) <> 2 OR trim(p[1]) = '' OR trim(p[2]) = '' THEN 'must be owner/slug'
+  WHEN lower(trim(p[1])) IN ('me', 'you', 'user', 'owner', 'username', 'your-username', 'yourname', 'someone', 'example') THEN 'placeholder owner' END AS problem FROM x""")
 def _(s):
-    x = F.expr("case pos % 4 when 0 then 'owner/x' when 1 then genre when 2 then concat(language, '/', id) else '' end")
-    return s.select("id", T.slug_problem(x).alias("problem"))
+    return s.select("id", T.slug_problem(F.expr(_SLUG)).alias("problem"))
 
 
 # --- projections
@@ -492,7 +495,13 @@ def _(s):
     return aggregates.report(s)
 
 
-@query("g2_sound_profile", "\nUNION ALL ".join(_TOP.format(k=k, q=q, m=m) for k, q, m in (("genre", _GENRE, 6), ("key", _KEY, 5), ("instrument", _INST, 8))))
+_COUNTS = """
+SELECT 'count' AS kind, unnest(['tracks', 'vocal', 'instrumental', 'captioned', 'bpm_min', 'bpm_max']) AS value, unnest([tracks, vocal, instrumental, captioned, low, high])::BIGINT AS n FROM
+ (SELECT count(*) AS tracks, count(*) FILTER (NOT is_instrumental) AS vocal, count(*) FILTER (is_instrumental) AS instrumental, count(*) FILTER (regexp_matches(caption, '\\S')) AS captioned, min(bpm) FILTER (bpm <> 0) AS low, max(bpm) FILTER (bpm <> 0) AS high FROM samples)
+UNION ALL """
+
+
+@query("g2_sound_profile", _COUNTS + "\nUNION ALL ".join(_TOP.format(k=k, q=q, m=m) for k, q, m in (("genre", _GENRE, 6), ("key", _KEY, 5), ("instrument", _INST, 8))))
 def _(s):
     return aggregates.sound_profile(s)
 
@@ -576,15 +585,32 @@ def _(s):
     return s.select("pos", sequences.adaptive_k(F.col("duration")).alias("k"))
 
 
-@query("k8_blocks", "SELECT pos, '---- ' || filename || ' ----' || chr(10) || coalesce(nullif(raw_lyrics, ''), nullif(formatted_lyrics, ''), lyrics) || chr(10) AS block FROM samples")
+#: Lyrics with blanks at their end, and tracks without a name.
+_SUNG = {"raw_lyrics": "case when pos % 3 = 0 then concat(raw_lyrics, ' ', chr(10), chr(9), chr(10)) else raw_lyrics end", "filename": "case when pos % 9 = 4 then null else filename end"}
+
+
+@query("k8_blocks", f"""
+, t AS (SELECT pos, {_SUNG['filename']} AS name, {_SUNG['raw_lyrics']} AS raw, formatted_lyrics, lyrics FROM samples)
+SELECT pos, '---- ' || coalesce(name, '?') || ' ----' || chr(10) || regexp_replace(CASE WHEN raw <> '' THEN raw WHEN formatted_lyrics <> '' THEN formatted_lyrics ELSE lyrics END, '\\s+$', '') || chr(10) AS block FROM t""")
 def _(s):
+    s = s.withColumns({c: F.expr(e) for c, e in _SUNG.items()})
     return s.select("pos", sequences.build_block(s).alias("block"))
 
 
-@query("s17_parse_blocks", "SELECT pos // 20 AS doc, filename, regexp_replace(arg_max(coalesce(nullif(raw_lyrics, ''), nullif(formatted_lyrics, ''), lyrics), pos), '^\\n+|\\n+$', '', 'g') AS text FROM samples GROUP BY 1, 2")
+#: Blocks edited by hand: odd markers between the lines, some with hyphens or nothing for a name.
+_EDITED = "concat(case pos % 7 when 0 then '  ---- ' when 1 then '----' else '---- ' end, case pos % 11 when 0 then '' when 1 then 'a - b --' else filename end, case pos % 5 when 0 then '----  ' else ' ----' end, chr(10), lyrics, chr(10), case when pos % 4 = 0 then '-----' else '' end, chr(10), chr(10))"
+
+
+@query("s17_parse_blocks", rf"""
+, b AS (SELECT pos // 20 AS doc, string_agg({_EDITED}, '' ORDER BY pos) AS t FROM samples GROUP BY 1),
+l AS (SELECT doc, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM b),
+m AS (SELECT *, CASE WHEN starts_with(trim(line), '----') AND suffix(trim(line), '----') THEN trim(substr(trim(line), 5, greatest(0, length(trim(line)) - 8))) END AS name FROM l),
+n AS (SELECT *, count(name) OVER (PARTITION BY doc ORDER BY k) AS block FROM m),
+g AS (SELECT doc, block, max(name) AS filename, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (name IS NULL), '') AS text FROM n WHERE block > 0 GROUP BY doc, block)
+SELECT doc, filename, arg_max(regexp_replace(text, '^\n+|\n+$', '', 'g'), block) AS text FROM g GROUP BY doc, filename""")
 def _(s):
-    own = s.select(F.expr("pos div 20").alias("doc"), "pos", sequences.build_block(s).alias("b"))
-    docs = own.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "\n").alias("text"))
+    own = s.select(F.expr("pos div 20").alias("doc"), "pos", F.expr(_EDITED).alias("b"))
+    docs = own.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "").alias("text"))
     return sequences.parse_blocks(docs)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
+from curatrix.sources import store
 
 # Audio suffixes of the folder scan.
 SCANNED = (
@@ -55,11 +56,30 @@ def nearest_audio(spark: SparkSession, path: str, whole: str, suffixes: tuple[st
     return audio_files(spark, whole, suffixes) if found.isEmpty() else found
 
 
-def add_paths(samples: DataFrame, paths: DataFrame) -> DataFrame:
-    """Tracks for paths that are not there yet; ids are eight hexadecimal digits of the path's hash."""
-    new = paths.select(F.col("path").alias("audio_path")).dropDuplicates(["audio_path"]).join(samples.select("audio_path"), "audio_path", "left_anti")
-    new = new.withColumns({"id": F.substring(F.md5(F.col("audio_path").cast("binary")), 1, 8), "filename": T.basename(F.col("audio_path"))})
-    return samples.unionByName(new, allowMissingColumns=True)
+def add_paths(samples: DataFrame, paths: DataFrame, tag: str = "", instrumental: bool = False) -> DataFrame:
+    """Tracks for paths that are not there yet, behind the others in the order of (pos, path), or of the paths where they have no pos.
+
+    They inherit the dataset's tag and instrumental flag, and are blank otherwise; ids are eight hexadecimal digits of the path's hash.  Positions are
+    given by ranges, whose counts come first, so that no task orders all paths.
+    """
+    order = "pos" if "pos" in paths.columns else "path"
+    own = paths.groupBy(F.col("path").alias("audio_path")).agg(F.min(order).alias("_order")).join(samples.select("audio_path").distinct(), "audio_path", "left_anti")
+    new = own.withColumns({"id": F.substring(F.md5(F.col("audio_path").cast("binary")), 1, 8), "filename": T.basename(F.col("audio_path")), "language": F.lit("en"), "is_instrumental": F.lit(instrumental), "custom_tag": F.lit(tag.strip())})
+    if "pos" in samples.columns:
+        new = _behind(new, (samples.agg(F.max("pos")).first()[0] or 0) + 1 if not samples.isEmpty() else 0)
+    blank = {c: F.lit("") for c, kind in samples.dtypes if kind == "string" and c not in new.columns}
+    return samples.unionByName(new.withColumns(blank).drop("_order", "_part", "_n", "_before"), allowMissingColumns=True)
+
+
+def _behind(rows: DataFrame, first: int) -> DataFrame:
+    """pos from ``first`` on, in the order of _order. Ranges are written before they are counted, for a range of another run would be another one."""
+    spark, folder = rows.sparkSession, store.shared_folder(rows.sparkSession, "ranges")
+    rows.repartitionByRange("_order", "audio_path").withColumn("_part", F.spark_partition_id()).write.parquet(folder)
+    sorted_rows = spark.read.parquet(folder)
+    starts = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = starts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_order", "audio_path"))
+    return sorted_rows.join(before, "_part").withColumn("pos", (F.lit(first - 1) + F.col("_before") + rank).cast("long"))
 
 
 def import_csv(spark: SparkSession, path: str) -> DataFrame:
