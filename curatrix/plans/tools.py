@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ READ: dict[str, Callable[..., DataFrame]] = {
     "audit_captions": rules.audit,
     "validate_manifest": lambda s: rules.manifest_issues(s, list(rules.REQUIRED_METADATA)),
     "get_dataset_sound_profile": aggregates.sound_profile,
+    "curate_dataset": lambda s, target: curation(s, target),
+    "scan_health": lambda s: said(s, "not available: the scan was removed"),
+    "detect_instruments": lambda s: said(s, "runs with the structural analysis: see operators.audio.analyse"),
     "find_gaps": rules.gaps,
     "tag_stats": aggregates.tag_stats,
     "lookup_instruments": lambda s: s.select("id", matching.lookup_instruments(F.col("filename"), F.lit(""), matching.SONG_INSTRUMENTS).alias("instruments")),
@@ -37,6 +41,19 @@ def summary_rows(samples: DataFrame, shown: int = 12) -> DataFrame:
     return first.unionAll(more)
 
 
+def said(samples: DataFrame, text: str) -> DataFrame:
+    """One row with a message."""
+    return samples.sparkSession.createDataFrame([(text,)], "message string")
+
+
+def curation(samples: DataFrame, target: str) -> DataFrame:
+    """kind, value and n: the sound aimed at, and the present profile to set against it."""
+    if not (target or "").strip():
+        raise ValueError("a target sound is needed: an artist, a genre or a mood")
+    aim = samples.sparkSession.createDataFrame([("target", target.strip(), None)], "kind string, value string, n long")
+    return aim.unionByName(aggregates.sound_profile(samples))
+
+
 def call(name: str, samples: DataFrame, *args, **options) -> DataFrame:
     """Run an operation by name."""
     fn = READ.get(name) or ACTIONS.get(name)
@@ -46,23 +63,22 @@ def call(name: str, samples: DataFrame, *args, **options) -> DataFrame:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Make the lyric and caption functions known to SQL; returns their names."""
+    """Make the lyric and caption functions and the table functions known to SQL; returns their names."""
     from curatrix.functions import lyrics
     from curatrix.packing import ship
+    from curatrix.plans import table_functions
 
     ship(spark)
     own = {"split_lyric_lines": lyrics.split_lines, "trim_caption": lyrics.trim_caption, "line_diff": lyrics.line_diff, "tidy_lyrics": lambda t: lyrics.Tidy()(t)[0]}
     for name, fn in own.items():
         spark.udf.register(name, _scalar(fn))
-    return sorted(own)
+    return sorted([*own, *table_functions.register(spark)])
 
 
 def _scalar(fn: Callable[..., str]):
     """A scalar Arrow UDF that SQL can call."""
     import inspect
 
-    import pandas as pd
-
     if len(inspect.signature(fn).parameters) == 2 and fn.__name__ == "line_diff":
 
         @F.pandas_udf("string")

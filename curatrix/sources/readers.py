@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
@@ -172,12 +172,63 @@ def split_output(text, first: str = "CAPTION:", second: str = "LYRICS:"):
     return F.struct(caption.alias("caption"), lyrics.alias("lyrics"))
 
 
+# --- typed documents: a VARIANT of each file, and Columns that give every field its type
+
+
+def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, value and doc (VARIANT; null for a file that is no JSON object)."""
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return raw.withColumn("doc", F.when(F.ltrim("value").startswith("{"), F.try_parse_json("value")))
+
+
+def truth(doc: Column, field: str, absent: bool) -> Column:
+    """Whether a field holds something: not false, null, 0, an empty text, list or object; ``absent`` where it is not there."""
+    own = F.to_json(F.try_variant_get(doc, f"$.{field}", "variant"))
+    return F.when(own.isNull(), F.lit(absent)).otherwise(~own.isin("false", "null", "0", "0.0", "-0.0", '""', "[]", "{}"))
+
+
+def typed_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, profile (null for a corrupt file): name, contractions, ing_exceptions, case_fixed (sorted), three flags and notes, each with its default where the file lacks it or has something empty."""
+    docs = documents(spark, paths).withColumn("file", F.regexp_replace(T.basename(F.col("path")), r"(?i)\.json$", ""))
+    get = lambda field, kind: F.try_variant_get("doc", f"$.{field}", kind)
+    words = lambda field: F.coalesce(get(field, "array<string>"), F.array().cast("array<string>"))
+    profile = F.struct(
+        F.coalesce(F.nullif(get("name", "string"), F.lit("")), "file").alias("name"),
+        F.coalesce(get("contractions", "map<string, string>"), F.create_map().cast("map<string, string>")).alias("contractions"),
+        words("ing_exceptions").alias("ing_exceptions"), F.array_sort(words("case_fixed")).alias("case_fixed"),
+        truth(F.col("doc"), "ing_to_in", False).alias("ing_to_in"), truth(F.col("doc"), "capitalize_tags", True).alias("capitalize_tags"), truth(F.col("doc"), "strip_punctuation", True).alias("strip_punctuation"),
+        F.coalesce(get("notes", "string"), F.lit("")).alias("notes"),
+    )
+    return docs.select("file", F.when(F.col("doc").isNotNull(), profile).alias("profile"))
+
+
 def models(spark: SparkSession, path: str) -> DataFrame:
-    """A model catalog, a JSON list."""
-    return spark.read.json(path, multiLine=True)
+    """pos and the typed fields of the models of a catalog document; texts that are absent are empty, flags false."""
+    own = F.try_variant_get("doc", "$.models", "array<variant>")
+    rows = documents(spark, path).select(F.posexplode(own).alias("pos", "m"))
+    field = lambda name: F.coalesce(F.try_variant_get("m", f"$.{name}", "string"), F.lit("")).alias(name)
+    return rows.select("pos", *[field(n) for n in ("id", "name", "role", "preferred_backend", "hf_repo", "github_url", "note")], truth(F.col("m"), "default", False).alias("default"))
+
+
+def find_model(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first model of each id asked for; no row for an unknown one. wanted: id."""
+    first = catalog.groupBy("id").agg(F.min_by(F.struct(*[c for c in catalog.columns if c != "id"]), "pos").alias("m"))
+    return wanted.select("id").distinct().join(first, "id").select("id", "m.*")
+
+
+def leaderboards(spark: SparkSession, path: str) -> DataFrame:
+    """pos, name and url of a catalog's leaderboards."""
+    rows = documents(spark, path).select(F.posexplode(F.try_variant_get("doc", "$.leaderboards", "array<variant>")).alias("pos", "b"))
+    return rows.select("pos", *[F.coalesce(F.try_variant_get("b", f"$.{n}", "string"), F.lit("")).alias(n) for n in ("name", "url")])
+
+
+def downloaded(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """id and downloaded: whether a folder named after the model holds any file. files: path."""
+    folders = files.select(F.explode(F.split("path", "/")).alias("id")).distinct()
+    return catalog.select("id").join(folders.withColumn("_there", F.lit(True)), "id", "left").select("id", F.col("_there").isNotNull().alias("downloaded"))
 
 
 def profiles(spark: SparkSession, paths: list[str], defaults: dict[str, str]) -> DataFrame:
-    """Small JSON profiles with typed defaults for what they lack. defaults: name to an SQL literal."""
+    """Small JSON settings with defaults for what they lack, as texts. defaults: name to an SQL literal."""
     raw = spark.read.text(paths, wholetext=True)
     return raw.select(*[F.coalesce(F.get_json_object("value", f"$.{k}"), F.expr(v).cast("string")).alias(k) for k, v in defaults.items()])
