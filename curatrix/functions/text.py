@@ -48,8 +48,9 @@ def words(x: Column) -> Column:
     return F.filter(F.split(text_of(x), f"{SPACE}+"), lambda w: w != "")
 
 
-def n_words(x: Column) -> Column:
-    return F.regexp_count(text_of(x), F.lit(f"[^{BLANKS}]+"))
+def n_words(x: Column, most: int = -1) -> Column:
+    """How many words there are; counting stops at ``most``. Splitting is several times as fast as counting matches."""
+    return F.when(strip(x) == "", 0).otherwise(F.size(F.split(strip(x), f"{SPACE}+", most)))
 
 
 def first_of(*xs: Column) -> Column:
@@ -158,7 +159,7 @@ def tag_prefix(text: Column) -> Column:
 def count_sentences(text: Column) -> Column:
     """Sentences of three words or more after the first full stop."""
     tail = F.element_at(F.split(text_of(text), r"\.", 2), -1)
-    return F.when(F.contains(text_of(text), F.lit(".")), F.size(F.filter(F.split(tail, "[.!?]+"), lambda s: n_words(s) >= 3))).otherwise(0)
+    return F.when(F.contains(text_of(text), F.lit(".")), F.size(F.filter(F.split(tail, "[.!?]+"), lambda s: n_words(s, 3) >= 3))).otherwise(0)
 
 
 def song_name(filename: Column) -> Column:

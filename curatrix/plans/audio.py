@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import signal
-from curatrix.operators import audio
+from curatrix.operators import audio, layout
 from curatrix.sources import store, wav
 
 
@@ -51,6 +51,12 @@ def o3_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.posexplode("labels").alias("at", "l")).select("vec_id", (F.col("at") + 1).alias("rank"), "l.label", F.round("l.score", 6).alias("score"))
 
 
+def a8_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's place in the map that keeps neighbours together."""
+    found = layout.layout_2d(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 def s22_wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAV files of all tracks (the hexadecimal digits of the texts), written to the shared folder, and the middle second of each by the source."""
     rate = 500
@@ -61,7 +67,7 @@ def s22_wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "rate", "channels", "width", "n_frames", "start", F.sha2("pcm", 256).alias("sha256"), F.coalesce("error", F.lit("")).alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (a2_tempo, a6_analyze, a9_lead_backing, a11_segments, o3_zero_shot, s22_wav_windows)}
+QUERIES = {f.__name__: f for f in (a2_tempo, a6_analyze, a8_layout, a9_lead_backing, a11_segments, o3_zero_shot, s22_wav_windows)}
 _NAMES = ", ".join(f"'{x}'" for x in audio.INSTRUMENTS)
 ORACLE_SQL = {
     "o3_zero_shot": f"""
