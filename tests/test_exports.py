@@ -165,3 +165,18 @@ def test_rules(spark):
     assert sorted((r.word, r.said) for r in got) == [("a", "p1"), ("b", "m3"), ("c", "p2")]
     words = lambda xs: spark.createDataFrame([(x,) for x in xs], "word string")
     assert sorted(r.word for r in merging.merge_exceptions(words(["king", "ring"]), words(["ring", None, "sing"])).collect()) == ["king", "ring", "sing"]
+
+
+def test_long_ids_and_words_are_found(spark):
+    from curatrix.operators import matching
+
+    long_id = "x" * 100 + "song" + "y" * 106
+    names = spark.createDataFrame([(0, "other.wav"), (1, f"01 - {long_id.upper()} live.wav"), (2, f"{long_id}.wav"), (3, None)], "pos long, filename string")
+    rows = spark.createDataFrame([(f" {long_id} ",), ("z" * 400,), ("",), (None,), ("OTHER",)], "song_id string")
+    assert {(r.song_id, r.pos) for r in matching.import_rows(names, rows).collect()} == {(long_id, 1), ("OTHER", 0)}
+    assert matching.import_rows(names, rows.filter("song_id = ''")).count() == 0
+    assert matching.import_rows(names.limit(0), rows).count() == 0
+    word = "q" * 80
+    artists = spark.createDataFrame([(0, "The Doors"), (1, f"Big {word}"), (2, "abc")], "pos int, artist string")
+    asked = spark.createDataFrame([(f"my-{word}-data",), ("Doorsdata",), ("abc",), ("the",), ("",), (None,)], "asked string")
+    assert {(r.asked, r.artist) for r in matching.resolve_artist(artists, asked).collect()} == {(f"my-{word}-data", f"Big {word}"), ("Doorsdata", "The Doors"), ("abc", "abc"), ("the", None), ("", None), (None, None)}
