@@ -70,13 +70,12 @@ def _(s):
     return s.select("pos", rules.caption_issues(F.col("caption")).alias("c")).select("pos", F.array_join("c", ",").alias("issues"), F.size("c").cast("long").alias("n"))
 
 
-@query("v2_manifest_issues", f""", {ISSUES},
-r AS (SELECT 'caption' AS issue FROM issues WHERE issue <> 'empty' UNION ALL SELECT 'no_caption' FROM issues WHERE issue = 'empty'
-  UNION ALL SELECT 'instrumental_with_lyrics' FROM samples WHERE is_instrumental AND (lyrics <> '' OR formatted_lyrics <> '')
-  UNION ALL SELECT 'bpm_out_of_range' FROM samples WHERE bpm <> 0 AND NOT bpm BETWEEN 1 AND 300 UNION ALL SELECT 'metadata_missing' FROM range(2))
-SELECT issue, count(*) AS n FROM r GROUP BY issue""")
+@query("v2_manifest_issues", f""", {ISSUES}
+SELECT pos, 'caption:' || issue AS issue FROM (SELECT pos, unnest(list) AS issue FROM lists) WHERE issue <> 'empty' UNION ALL SELECT pos, 'no_caption' FROM lists WHERE list = ['empty']
+UNION ALL SELECT pos, 'instrumental_with_lyrics' FROM samples WHERE is_instrumental AND (lyrics <> '' OR formatted_lyrics <> '')
+UNION ALL SELECT pos, 'bpm_out_of_range:' || bpm FROM samples WHERE bpm <> 0 AND NOT bpm BETWEEN 1 AND 300 UNION ALL SELECT -1, 'metadata_missing:' || unnest(['custom_tag', 'tag_position'])""")
 def _(s):
-    return rules.manifest_issues(s, ["name", "num_samples"]).groupBy(rules.rule_of(F.col("issue")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.manifest_issues(s, ["name", "num_samples"]).withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
 _GAPS = rf""", {ISSUES},
@@ -129,8 +128,15 @@ def _(s):
     return s.select("pos", rules.max_consecutive_repeat(F.col("caption"))["n"].alias("n"))
 
 
-@query("v6_flagged_lines")
+_SYLLABLES = "coalesce(list_sum(list_transform(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: greatest(1, len(regexp_extract_all(w, '[aeiouy]+'))))), 0)::INTEGER"
+
+
+@query("v6_flagged_lines", f"""
+, l AS (SELECT pos, string_split(concat(lyrics, chr(10), caption), chr(10)) AS l FROM samples), u AS (SELECT pos, unnest(l) AS line, (generate_subscripts(l, 1) - 1)::INTEGER AS line_no FROM l),
+c AS (SELECT pos, line_no, {_SYLLABLES.format(x="line")} AS syllables FROM u WHERE trim(line) <> '' AND NOT starts_with(trim(line), '['))
+SELECT pos, line_no, syllables, syllables BETWEEN 6 AND 10 AS in_range, syllables > 12 AS flagged FROM c""")
 def _(s):
+    s = s.withColumn("lyrics", F.expr("concat(lyrics, chr(10), caption)"))
     return rules.flag_lines(s).select("pos", "line_no", "syllables", "in_range", "flagged")
 
 
@@ -555,16 +561,31 @@ def _(s):
     return sequences.name_sections(_sections(s)).select("pos", F.col("at").alias("seq"), "name")
 
 
-@query("w4_boundaries")
+#: Places between the first words of a caption, half a second a character.
+_ENDS = "n AS (SELECT pos, duration, list_transform(string_split(caption, ' ')[1:40], lambda w: length(w)) AS n FROM samples), c AS (SELECT pos, duration, n, list_transform(range(1, len(n) + 1), lambda i: (list_sum(n[1:i]) * 0.5)::DOUBLE) AS ends FROM n)"
+
+
+def _ends(s: DataFrame) -> DataFrame:
+    sizes = F.transform(F.slice(F.split("caption", " ", -1), 1, 40), lambda w: F.length(w))
+    return s.withColumn("n", sizes).withColumn("ends", F.transform("n", lambda x, i: F.aggregate(F.slice(F.col("n"), F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) * F.lit(0.5)))
+
+
+@query("w4_boundaries", f"""
+, {_ENDS}, k AS (SELECT pos, duration, list_reduce(list_transform(ends, lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[-1] >= 8 THEN list_concat(a, x) ELSE a END) AS kept FROM c)
+SELECT pos, array_to_string(list_concat(kept[1:len(kept) - 1], [duration]), ',') AS kept FROM k""")
 def _(s):
-    times = F.transform(F.expr("sequence(0, 9)"), lambda i: (i * (3 + F.col("pos") % 5)).cast("double"))
-    return s.select("pos", F.array_join(F.transform(sequences.keep_apart(times, F.lit(8.0), F.lit(60.0)), lambda x: x.cast("string")), ",").alias("kept"))
+    return _ends(s).select("pos", F.array_join(F.transform(sequences.keep_apart(F.col("ends"), F.lit(8.0), F.col("duration")), lambda x: x.cast("string")), ",").alias("kept"))
 
 
-@query("w5_merge_short")
+@query("w5_merge_short", f"""
+, {_ENDS}, g AS (SELECT pos, list_transform(range(1, len(n) + 1), lambda i: [{{'s': ends[i] - n[i] * 0.5, 'e': ends[i], 'l': CASE n[i] % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END}}]) AS x FROM c),
+m AS (SELECT pos, list_reduce(x, lambda a, y: CASE WHEN a[-1].e - a[-1].s < 2.5 AND y[1].e - y[1].s < 2.5 THEN list_concat(a[1:len(a) - 1], [{{'s': a[-1].s, 'e': y[1].e, 'l': a[-1].l}}]) ELSE list_concat(a, y) END) AS x FROM g)
+SELECT pos, array_to_string(list_transform(x, lambda y: y.s::DOUBLE || '-' || y.e::DOUBLE || ':' || y.l), ',') AS segments FROM m""")
 def _(s):
-    rows = _sections(s).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("x"))
-    return rows.select("pos", F.size(sequences.merge_short(F.col("x"), 8.5)).alias("n"))
+    label = lambda n: F.when(n % 3 == 0, "a").when(n % 3 == 1, "b").otherwise("c")
+    found = F.zip_with("n", "ends", lambda n, e: F.struct((e - n * F.lit(0.5)).alias("start"), e.alias("end"), label(n).alias("label")))
+    merged = F.transform(sequences.merge_short(found, 2.5), lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(":"), x["label"]))
+    return _ends(s).select("pos", F.array_join(merged, ",").alias("segments"))
 
 
 @query("w7_split", """
@@ -698,7 +719,9 @@ def _(s):
     return s.select("id", F.array_join(merging.merge_words(F.split("detected_instruments", ","), F.split("custom_tag", ",")), ",").alias("words"))
 
 
-@query("u5_merge_instruments")
+@query("u5_merge_instruments", """
+, t AS (SELECT id, list_filter(list_transform(regexp_split_to_array(detected_instruments, '[,;|/]'), lambda t: trim(t)), lambda t: t <> '') AS f, list_filter(list_transform(regexp_split_to_array(custom_tag, '[,;|/]'), lambda t: trim(t)), lambda t: t <> '') AS n FROM samples)
+SELECT id, array_to_string(list_reduce(list_concat([f], list_transform(n, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda m: contains(lower(m), lower(x[1])) OR contains(lower(x[1]), lower(m)))) > 0 THEN a ELSE list_concat(a, x) END), ',') AS instruments FROM t""")
 def _(s):
     split = lambda c: F.filter(F.transform(F.split(c, "[,;|/]"), lambda t: F.trim(t)), lambda t: t != "")
     return s.select("id", F.array_join(merging.merge_instruments(split("detected_instruments"), split("custom_tag")), ",").alias("instruments"))
@@ -774,12 +797,14 @@ def _(s):
 
 
 def _a7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of the vectors of length 1, six places each."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    key = rows.columns[0]
     v = numeric.l2_normalize(F.col("embedding"))
-    return rows.select(F.col(key), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return rows.select("vec_id", F.array_join(F.transform(v, lambda x: x.cast("decimal(9,6)").cast("string")), ",").alias("vector"))
 
 
+ORACLE_SQL["a7_l2_normalize"] = """SELECT vec_id, array_to_string(list_transform(v, lambda x: (x / n)::DECIMAL(9, 6)), ',') AS vector
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)"""
 QUERIES["a7_l2_normalize"] = _a7
 
 
