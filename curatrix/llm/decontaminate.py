@@ -3,9 +3,9 @@
 Every task deals its documents into shards of a bounded number of words and builds the suffix array of each
 shard (prefix doubling over word numbers, as deep as a window).  Every suffix of every benchmark item that begins with a window
 is binary-searched in it; suffixes that begin with the same window are searched once.  The ranges found are the
-places of the window; ranges of successive suffixes that lie on one diagonal (document place minus item place) join to verbatim
-matches, so the longest of each document, its item and both places are known.  No shuffle, and no document text leaves
-its task.
+places of the window.  Of a place and a suffix, those begin a verbatim match whose words before them differ; it is followed
+to its end, so the longest of each document, its item and both places are known.  Pairs within a match are passed over or
+made PAIRS at a time, so that repetitive texts take no more memory than others.  No shuffle, and no document text leaves its task.
 
 The benchmark is measured first.  It is sent to the tasks in chunks of at most CHUNK_BYTES; when it needs more than one
 chunk, the documents pass over the chunks one after the other, with the spans found so far beside them, so a
@@ -36,6 +36,8 @@ WINDOW = 10
 SHARD_WORDS = 1 << 18
 #: Benchmark text in one pass.
 CHUNK_BYTES = 16 << 20
+#: Pairs of places and suffixes made at once; words by which a match is followed, and matches followed at once.
+PAIRS, STRIDE, FOLLOWED = 1 << 20, 64, 1 << 14
 
 #: Bytes to word characters: A-Z lowered, ASCII that is no letter or digit to a space.  All of UTF-8's other bytes belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -53,10 +55,15 @@ class Patterns:
         self.vocabulary: dict[bytes, int] = {}
         self.items = [i for i, _ in items]
         found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: The words of all items, -1 behind each, and where each item's begin.
+        words, starts = [], [0]
         for k, (_, text) in enumerate(items):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of((text or "").encode())], np.int32)
+            words.append(np.append(ids, np.int32(-1)))
+            starts.append(starts[-1] + len(ids) + 1)
             for at in range(max(1, len(ids) - window + 1) if len(ids) else 0):
                 found[ids[at : at + window].tobytes()].append((k, at))
+        self.words, self.starts = np.concatenate([np.zeros(0, np.int32), *words]), np.array(starts, np.int64)
         by_length: dict[int, list[bytes]] = defaultdict(list)
         for w in found:
             by_length[len(w) // 4].append(w)
@@ -139,40 +146,87 @@ class Shard:
         """This shard's number of each word of the patterns' vocabulary, -1 if it has none."""
         return np.array([self.numbers.get(w, -1) for w in patterns.vocabulary] or [-1], np.int64)
 
-    def occurrences(self, patterns: Patterns) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """By window length: places of occurring windows; and places again, one for each suffix that begins with the window, with those suffixes."""
+    def occurrences(self, patterns: Patterns) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By window length: places of occurring windows, window by window; how many each has; the windows' numbers; and where the suffixes of each window begin in all of them."""
         local = self.local(patterns)
         for n, windows, first, suffixes in patterns.windows:
             rows = local[windows]
             known = np.flatnonzero((rows > 0).all(axis=1))
             if not len(known):
                 continue
-            rows = rows[known]
-            lo, hi = search(self.ids, self.sa, rows, False), search(self.ids, self.sa, rows, True)
-            if (hi > lo).any():
-                place = self.sa[_spread(lo, hi)]
-                which = np.repeat(known, hi - lo)
-                many = first[which + 1] - first[which]
-                yield n, place, np.repeat(place, many), suffixes[_spread(first[which], first[which + 1])]
+            lo, hi = search(self.ids, self.sa, rows[known], False), search(self.ids, self.sa, rows[known], True)
+            there = hi > lo
+            if there.any():
+                yield n, self.sa[_spread(lo[there], hi[there])], (hi - lo)[there], known[there], first, suffixes
+
+    def beginnings(self, places: np.ndarray, sizes: np.ndarray, which: np.ndarray, first: np.ndarray, suffixes: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and suffixes (item, place in it) whose words before differ, PAIRS of all pairs of a window at a time; ``before``: the word before each suffix.
+
+        A window with more pairs goes by the words before its places, each with the suffixes behind another word.
+        """
+        ends = np.cumsum(sizes)
+        pairs = sizes * (first[which + 1] - first[which])
+        upto, at = np.cumsum(pairs), 0
+        while at < len(which):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            own = places[ends[at] - sizes[at] : ends[stop - 1]]
+            if pairs[at] <= PAIRS:
+                many = np.repeat((first[which + 1] - first[which])[at:stop], sizes[at:stop])
+                by = _spread(np.repeat(first[which[at:stop]], sizes[at:stop]), np.repeat(first[which[at:stop] + 1], sizes[at:stop]))
+                place = np.repeat(own, many)
+                begins = self.ids[place - 1] * (place > 0) != before[by]
+                yield place[begins], suffixes[by[begins]]
+            else:
+                by = np.arange(first[which[at]], first[which[at] + 1])
+                ahead = self.ids[own - 1] * (own > 0)
+                for word in np.unique(ahead):
+                    some, others = own[ahead == word], by[before[by] != word]
+                    step = max(1, PAIRS // max(1, len(others)))
+                    for k in range(0, len(some) if len(others) else 0, step):
+                        part = some[k : k + step]
+                        yield np.repeat(part, len(others)), suffixes[np.tile(others, len(part))]
+            at = stop
 
     def matches(self, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
         """Changes of the number of windows that cover each word; and the longest verbatim matches: document, place in it, words, item, place in it."""
         edge = np.zeros(len(self.ids) + 1, np.int64)
         rows = [np.zeros((0, 5), np.int64)]
-        for n, places, at, suffixes in self.occurrences(patterns):
+        # the items' words by this shard's numbers: -1 unknown here, -2 behind an item; both differ from all words and from 0, which stands behind a document
+        words = np.where(patterns.words < 0, -2, self.local(patterns)[patterns.words])
+        texts = [np.concatenate([x, np.full(STRIDE, fill, np.int64)]) for x, fill in ((self.ids, 0), (words, -2))]
+        for n, places, sizes, which, first, suffixes in self.occurrences(patterns):
             np.add.at(edge, places, 1)
             np.add.at(edge, places + n, -1)
-            doc = np.searchsorted(self.starts, at, "right") - 1
-            own = np.stack([doc, at - self.starts[doc], suffixes[:, 0], suffixes[:, 1]], 1)
-            order = np.lexsort((own[:, 1], own[:, 1] - own[:, 3], own[:, 2], own[:, 0]))
-            own = own[order]
-            # a match goes on where the next suffix of the item is found one word further in the document
-            goes_on = (np.diff(own[:, 0]) == 0) & (np.diff(own[:, 1]) == 1) & (np.diff(own[:, 2]) == 0) & (np.diff(own[:, 3]) == 1)
-            first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
-            length = np.diff(np.append(first, len(own))) + n - 1
-            rows.append(np.column_stack([own[first, 0], own[first, 1], length, own[first, 2], own[first, 3]]))
+            flat = patterns.starts[suffixes[:, 0]] + suffixes[:, 1]
+            before = np.where(suffixes[:, 1] > 0, words[flat - 1], -2)
+            for place, suffix in self.beginnings(places, sizes, which, first, suffixes, before):
+                length = _followed(texts, place, patterns.starts[suffix[:, 0]] + suffix[:, 1], n)
+                doc = np.searchsorted(self.starts, place, "right") - 1
+                rows.append(np.column_stack([doc, place - self.starts[doc], length, suffix[:, 0], suffix[:, 1]]))
+                if sum(map(len, rows)) > PAIRS:
+                    rows = [self.longest(np.concatenate(rows), patterns)]
         return edge, np.concatenate(rows)
 
+    def longest(self, rows: np.ndarray, patterns: Patterns) -> np.ndarray:
+        """Of matches, those that may still count: of each document and item the longest, the first of equal ones."""
+        order = np.lexsort((rows[:, 4], rows[:, 1], -rows[:, 2], rows[:, 3], rows[:, 0]))
+        rows = rows[order]
+        new = (np.diff(rows[:, 0], prepend=-1) != 0) | (np.diff(rows[:, 3], prepend=-1) != 0)
+        return rows[new]
+
+
+def _followed(texts: list[np.ndarray], a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """How many words agree from place a of the first text and b of the second on, n at least being known."""
+    out, span = np.full(len(a), n, np.int64), np.arange(STRIDE)
+    for k in range(0, len(a), FOLLOWED):
+        live = np.arange(k, min(len(a), k + FOLLOWED))
+        while len(live):
+            differs = texts[0][(a[live] + out[live])[:, None] + span] != texts[1][(b[live] + out[live])[:, None] + span]
+            more = np.where(differs.any(axis=1), differs.argmax(axis=1), STRIDE)
+            out[live] += more
+            live = live[more == STRIDE]
+    return out
+
 
 def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers from each lo to before its hi, one after the other."""

@@ -485,3 +485,48 @@ def test_pipeline(spark, tmp_path):
     assert max(per.values()) - min(per.values()) <= 1
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     assert {r.doc_id for r in toxicity.reject(docs, model).collect()} == set(clean)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_matches_of_repetitive_texts(monkeypatch, seed):
+    """Every maximal match against brute force, with pairs made at once, in pieces, and by the words before them."""
+    rng = random.Random(seed)
+    draw = lambda n, k: [rng.choice("abc"[:k]).encode() for _ in range(n)]
+    docs = [draw(rng.randrange(40), 1 + k % 3) for k in range(6)] + [[], [b"a"] * 50]
+    items = [(str(k), b" ".join(draw(rng.randrange(1, 30), 1 + k % 3)).decode()) for k in range(6)] + [("x", "a " * 30)]
+    patterns = decontaminate.Patterns(items, 4)
+    want = set()
+    for d, doc in enumerate(docs):
+        for k, (_, text) in enumerate(items):
+            item = text.encode().split()
+            for i in range(len(doc)):
+                for j in range(len(item)):
+                    if i and j and doc[i - 1] == item[j - 1]:
+                        continue
+                    n = next((m for m in range(min(len(doc) - i, len(item) - j)) if doc[i + m] != item[j + m]), min(len(doc) - i, len(item) - j))
+                    if n >= min(4, len(item)):
+                        want.add((d, i, n, k, j))
+    edges = None
+    for most in (1 << 20, 7, 1):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        monkeypatch.setattr(decontaminate.Shard, "longest", lambda self, rows, patterns: rows)
+        edge, rows = decontaminate.Shard(docs, 4).matches(patterns)
+        assert len(rows) == len(want) and set(map(tuple, rows.tolist())) == want
+        assert edges is None or (edge == edges).all()
+        edges = edge
+
+
+def test_equal_words_take_bounded_memory():
+    import tracemalloc
+
+    patterns = decontaminate.Patterns([("i", "ha " * 20_000), ("j", "ha ho " * 5000)])
+    tracemalloc.start()
+    edge, rows = decontaminate.Shard([[b"ha"] * 20_000, [b"ho", b"ha"] * 5000], decontaminate.WINDOW).matches(patterns)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    best = {}
+    for d, at, n, item, place in rows.tolist():
+        best[d, item] = max(best.get((d, item), (0, 0, 0)), (n, -at, -place))
+    assert best[0, 0] == (20_000, 0, 0) and best[1, 1] == (9999, 0, -1) and (0, 1) not in best
+    assert (np.cumsum(edge)[:20_000] > 0).all()
