@@ -679,14 +679,33 @@ def _(s):
     return x.select("id", "r.text", *[f"r.{c}" for c in ("contractions", "ing", "tags", "lines_changed", "apostrophes", "capitalized", "quotes", "tags_trimmed", "tags_dropped")])
 
 
-@query("t14_split_lines")
+#: Lyrics with the first lines of a text behind them.
+_LONG = "concat(lyrics, chr(10), ' ', replace(substr(caption, 1, 900), chr(13), ' '), ' x')"
+_WORDS = r"list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')"
+
+
+@query("t14_split_lines", rf"""
+, l AS (SELECT id, string_split({_LONG}, chr(10)) AS l FROM samples), u AS (SELECT id, generate_subscripts(l, 1) AS k, {STRIP.format(x="unnest(l)")} AS line FROM l),
+w AS (SELECT id, k, line, {_SYLLABLES.format(x="line")} AS n, list_transform({_WORDS.format(x="line")}, lambda w: [{{'t': w, 'n': {_SYLLABLES.format(x="w").replace("lambda w:", "lambda v:").replace("(1, len(regexp_extract_all(w,", "(1, len(regexp_extract_all(v,")}}}]) AS w FROM u),
+p AS (SELECT id, k, line, n, list_reduce(w, lambda a, x: CASE WHEN a[-1].n > 10 OR a[-1].n + x[1].n <= 10 THEN list_concat(a[1:len(a) - 1], [{{'t': a[-1].t || ' ' || x[1].t, 'n': (a[-1].n + x[1].n)::INTEGER}}]) ELSE list_concat(a, x) END) AS pieces
+      FROM w WHERE n > 10 AND NOT starts_with(line, '['))
+SELECT id, string_agg(coalesce(array_to_string(list_transform(pieces, lambda x: x.t), chr(10)), line), chr(10) ORDER BY k) AS lyrics FROM w LEFT JOIN p USING (id, k, line, n) GROUP BY id""")
 def _(s):
     from curatrix.functions import lyrics
 
-    return s.select("id", lyrics.mapped(lyrics.split_lines)("lyrics").alias("lyrics"))
+    return s.withColumn("lyrics", F.expr(_LONG)).select("id", lyrics.mapped(lyrics.split_lines)("lyrics").alias("lyrics"))
 
 
-@query("t23_trim_caption")
+@query("t23_trim_caption", rf"""
+, b AS (SELECT id, {BODY} AS body FROM samples),
+t AS (SELECT id, body, list_filter(list_transform(string_split(split_part(body, '.', 1), ','), lambda t: {STRIP.format(x="t")}), lambda t: t <> '') AS tags, CASE WHEN contains(body, '.') THEN substr(body, strpos(body, '.') + 1) ELSE '' END AS tail FROM b),
+h AS (SELECT *, array_to_string(tags[1:12], ', ') AS lead, list_filter(list_transform(string_split(regexp_replace({STRIP.format(x="tail")}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {_WORDS.format(x="s")}), lambda w: len(w) > 0) AS sentences FROM t),
+r AS (SELECT *, 120 - len({_WORDS.format(x="lead")}) AS room, list_transform(range(0, len(sentences) + 1), lambda i: coalesce(list_sum(list_transform(sentences[1:i], lambda w: len(w))), 0)::BIGINT) AS ends FROM h),
+c AS (SELECT *, greatest(0, len(list_filter(ends, lambda e: e <= room)) - 1) AS whole FROM r),
+p AS (SELECT *, list_concat(CASE WHEN lead <> '' THEN [lead || '.'] ELSE [] END,
+  list_transform(sentences[1:whole], lambda w: array_to_string(w, ' ') || CASE WHEN right(w[-1], 1) IN ('.', '!', '?') THEN '' ELSE '.' END),
+  CASE WHEN whole < len(sentences) AND room > ends[whole + 1] THEN [regexp_replace(array_to_string(sentences[whole + 1][1:room - ends[whole + 1]], ' '), '[,;:]+$', '') || '.'] ELSE [] END) AS parts FROM c)
+SELECT id, CASE WHEN len(tags) <= 12 AND len({_WORDS.format(x="body")}) <= 120 THEN body ELSE array_to_string(parts, ' ') END AS caption FROM p""")
 def _(s):
     from curatrix.functions import lyrics
 
@@ -816,16 +835,39 @@ def _a8(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["a8_project_2d"] = _a8
 
 
-@query("a1_stereo")
+#: Code points of the first characters of a caption, as samples; the second channel strays from the first by the track's number.
+_CODES = "list_transform(regexp_split_to_array(substr(caption, 1, 200), ''), lambda c: ascii(c))"
+
+
+@query("a1_stereo", f"""
+, l AS (SELECT pos, list_transform({_CODES}, lambda c: c - 100) AS l FROM samples WHERE caption <> ''),
+c AS (SELECT pos, l, CASE WHEN pos % 11 > 0 THEN list_transform(l, lambda x, i: x + ((x * i) % 3) * (pos % 4) * 0.05::DOUBLE) END AS r FROM l),
+e AS (SELECT pos, r, list_sum(list_transform(list_zip(l, r), lambda x: ((x[1] + x[2]) / 2.0::DOUBLE) ** 2)) AS m, list_sum(list_transform(list_zip(l, r), lambda x: ((x[1] - x[2]) / 2.0::DOUBLE) ** 2)) AS s FROM c)
+SELECT pos, CASE WHEN r IS NULL OR m <= 0 AND s <= 0 THEN 'mono' WHEN m <= 0 THEN 'stereo' WHEN s <= 0 THEN 'mono' WHEN 10 * log10(s / m) < -30 THEN 'mono' ELSE 'stereo' END AS label FROM e""")
 def _(s):
-    left, right = F.expr("transform(sequence(1, 8), i -> cast((i * (pos % 7 + 1)) % 5 as double) - 2)"), F.expr("transform(sequence(1, 8), i -> cast((i * (pos % 7 + 1)) % 5 as double) - 2 + (pos % 3) * 0.001 * i)")
-    return s.select("pos", left.alias("l"), F.when(F.col("pos") % 11 > 0, right).alias("r")).select("pos", numeric.stereo(F.col("l"), F.col("r"))["label"].alias("label"))
+    own = s.filter("caption <> ''").withColumn("l", F.transform(_codes(), lambda c: (c - 100).cast("double")))
+    strays = F.transform("l", lambda x, i: x + ((x.cast("long") * (i + 1)) % 3) * (F.col("pos") % 4) * F.lit(0.05))
+    return own.select("pos", numeric.stereo(F.col("l"), F.when(F.col("pos") % 11 > 0, strays))["label"].alias("label"))
+
+
+def _codes():
+    return F.transform(F.split(F.left("caption", F.lit(200)), ""), lambda c: F.ascii(c))
+
+
+#: Rows (order, name, pitch class, weight) of the keys' profiles.
+_PROFILES = ", ".join(f"({2 * k + m}, '{numeric.KEYS[k]} {mode}', {i}, {profile[(i - k) % 12]})" for k in range(12) for m, (mode, profile) in enumerate((("major", numeric.MAJOR), ("minor", numeric.MINOR))) for i in range(12))
 
 
-@query("a3_key")
+@query("a3_key", f"""
+, p(o, name, i, weight) AS (VALUES {_PROFILES}),
+x AS (SELECT pos, i, len(list_filter({_CODES}, lambda c: c % 12 = i))::DOUBLE AS x FROM samples, range(12) r(i) WHERE caption <> ''),
+f AS (SELECT pos, o, name, corr(x, weight) AS r, stddev_pop(x) AS sd FROM x JOIN p USING (i) GROUP BY pos, o, name)
+SELECT pos, CASE WHEN max(sd) > 0 THEN arg_max(name, r * 1000000 - o * 0.0000001) ELSE '' END AS key FROM f GROUP BY pos""")
 def _(s):
-    chroma = F.transform(F.expr("sequence(0, 11)"), lambda i: F.get(F.array(*[F.lit(x) for x in numeric.MAJOR]), (i - F.col("pos").cast("int") % 12 + 12) % 12))
-    return s.select("pos", numeric.key_of(chroma).alias("key"))
+    own = s.filter("caption <> ''").withColumn("codes", _codes())
+    of_class = lambda k: F.size(F.filter("codes", lambda c: c % 12 == k)).cast("double")
+    chroma = F.array(*[of_class(k) for k in range(12)])
+    return own.select("pos", numeric.key_of(chroma).alias("key"))
 
 
 @query("a4_time_signature", "SELECT pos, CASE WHEN pos % 2 = 0 THEN '3/4' ELSE '4/4' END AS signature FROM samples")
