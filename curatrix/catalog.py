@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("curatrix.plans.queries", "curatrix.plans.audio", "curatrix.plans.exports", "curatrix.plans.states")
+MODULES: tuple[str, ...] = ("curatrix.plans.queries", "curatrix.plans.audio", "curatrix.plans.exports", "curatrix.plans.states", "curatrix.plans.more")
 
 
 def queries() -> dict:
