@@ -179,7 +179,7 @@ def test_query_matches_sql(spark, name):
     if (text := catalog.oracle_sql().get(name)) is None:
         return
     db = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "events"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     found = db.execute(text)
     columns = [c[0] for c in found.description]
