@@ -4,7 +4,7 @@
 
 Defined results: a null text counts as empty; an empty one stores 192 spaces; equal texts give equal values
 whatever rows surround them (every text is transformed on its own, in fixed blocks of frames); repeated rows
-are answered one by one; an empty table gives an empty result; other columns are not read.
+and null doc_ids are answered one by one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

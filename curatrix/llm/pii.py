@@ -12,7 +12,7 @@ chunks.  Patterns use possessive repeats, and may start inside a run of their fi
 that time grows with the text's length.
 
 Defined results: null and empty texts have no spans; places are code points, end exclusive; base spans are always
-reported, added ones only if they overlap none; repeated rows are answered one by one; an empty table gives an
+reported, added ones only if they overlap none; very long texts are read whole, places are summed up by CHUNK; repeated rows and null doc_ids are answered one by one; an empty table gives an
 empty result and trains nothing; extra columns are not read.
 """
 

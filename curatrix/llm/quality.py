@@ -5,7 +5,8 @@ A text's features are its distinct words and word pairs, hashed into 2**BITS buc
 on the driver; the weights, 2**BITS floats, are the only thing sent to the tasks, which score texts as sparse
 dot products.
 
-Defined results: null and empty texts have no features and score by the bias alone; repeated rows score alike;
+Defined results: null and empty texts have no features and score by the bias alone; very long texts are read whole; repeated rows score alike;
+a null doc_id is scored like any, counts as '' for what is held out and never learned from;
 without usable labels every score is 0.5; with one class only, the score follows that class; extra columns are
 not read.
 """
