@@ -3,6 +3,11 @@
 Every stage works on all that the one before it kept.  All but the last return the columns of ``documents``;
 the last adds size, text_crc32, shard and slot.  Near-duplicates are documents whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more; one of each group stays, that with the least doc_id.
+
+Defined results: null and empty texts are clean, have no near-duplicates and no benchmark words, take no words of the mixture and have
+size 1 in their shard; very long texts are read whole; null sources are a source of their own; rows with equal doc_id, and repeated rows, are rows of their own
+until the near-duplicate stage keeps one of them; ties are broken by doc_id (null last), the text's hash and the row; empty tables give empty results;
+extra columns are kept, whatever their names, but for the four that the last stage adds.
 """
 
 from __future__ import annotations
