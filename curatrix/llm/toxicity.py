@@ -8,12 +8,11 @@ features are its kernels with the landmarks times the inverse root of the landma
 
 Labels belong to texts, not to sentences, so training alternates (multiple-instance learning): the most toxic
 unit of each toxic text is its witness, all units of other texts are negatives, and a linear SVM (hinge loss,
-averaged subgradients) is fitted to both.  A text scores by its most toxic sentence, which scores by its most
-toxic unit, through a logistic curve fitted to the sample.
+averaged subgradients) is fitted to both.  A text scores by its most toxic unit, through a logistic curve fitted to the sample.
 
 Training takes a bounded sample of labelled texts on the driver; what is sent to the tasks is a table of fixed size.
 
-Defined results: null and empty texts have no unit and score lowest; repeated rows score alike; without toxic or
+Defined results: null and empty texts have no unit and score lowest; repeated rows score alike; a null doc_id is scored like any, counts as '' for what is held out and never learned from; without toxic or
 without other labels every score is 0; texts are read whole; extra columns are kept by ``reject`` and not read by ``score``.
 """
 
@@ -203,7 +202,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.shift))))
 
 
-def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
+def pick_landmarks(toxic: list[list[str]], clean: list[list[str]], most: int = LANDMARKS) -> list[str]:
     """Units that toxic texts hold and others hardly do, each the best for the toxic texts that have least of those before."""
     seen = Counter(u for t in toxic for u in t)
     against = Counter(u for t in clean for u in t)
@@ -232,7 +231,9 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LAN
 
 def train(sample: list[tuple[int, str]], counts: dict[int, int]) -> Model:
     """A model of (label, text) rows; classes weigh in the logistic curve as in ``counts``."""
-    texts = [(y, units_of(t)) for y, t in sample]
+    # equal units are one object, in lists: a third of what sets of their own would take of the driver's memory
+    names: dict[str, str] = {}
+    texts = [(y, sorted(names.setdefault(u, u) for u in units_of(t))) for y, t in sample]
     toxic, clean = [u for y, u in texts if y], [u for y, u in texts if not y]
     landmarks = pick_landmarks(toxic, clean) if toxic and clean else []
     if not landmarks:
@@ -244,7 +245,7 @@ def train(sample: list[tuple[int, str]], counts: dict[int, int]) -> Model:
     root = vectors[:, good] / np.sqrt(values[good])  # features: kernels @ root
 
     # kernels of the units that have any; the others are all alike
-    vocabulary = sorted(set().union(*toxic, *clean))
+    vocabulary = sorted(names)
     number, kernels = {}, []
     for owner, some in kernel.all(vocabulary):
         for k, own_k in zip(owner.tolist(), some, strict=True):
