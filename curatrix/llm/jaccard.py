@@ -53,8 +53,8 @@ MOST_FREQUENT = 4_000_000
 LEAST_K, MOST_K, LIMIT = 2, 4, 32
 #: Times that the nodes outside a bucket's largest component meet a node of it before pairs are expanded, and the pairs a node from which they do.
 TURNS, CROWDED = 3, 8
-#: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle.
-FILTER_ROWS = 2_000_000
+#: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle. Of pairs, so many at most.
+FILTER_ROWS, FILTER_PAIRS = 2_000_000, 500_000
 #: Parities of a set at least, and longs that these are folded to and compared by inside a bucket.
 PARITIES, WORDS_COMPARED = 1024, 8
 
@@ -267,10 +267,11 @@ def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         last = f"{name}-up{turn}-0"
         up = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("root")), last)
+        sent = F.broadcast if up.count() <= FILTER_ROWS else lambda df: df  # its rows stay as many
         jump, moved = 0, True
         while moved:
             for _ in range(2):
-                to = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
+                to = sent(up.select(F.col("v").alias("root"), F.col("root").alias("next")))
                 up = up.join(to, "root", "left").select("v", F.coalesce("next", "root").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
             jump += 1
             up = scratch.save(up, f"{name}-up{turn}-{jump}")
@@ -281,9 +282,9 @@ def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name:
         if roots is None:
             roots = up
         else:
-            to = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
+            to = sent(up.select(F.col("v").alias("root"), F.col("root").alias("next")))
             older = roots.join(to, "root", "left").select("v", F.coalesce("next", "root").alias("root"))
-            roots = scratch.save(older.unionAll(up.join(roots.select("v"), "v", "left_anti").select("v", "root")), f"{name}-roots{turn}")
+            roots = scratch.save(older.unionAll(up.join(small(roots.select("v")), "v", "left_anti").select("v", "root")), f"{name}-roots{turn}")
             old.append(f"{name}-roots{turn}")
         edges = scratch.save(between(edges, up), f"{name}-edges{turn}")
         scratch.drop(*([f"{name}-edges{turn - 1}"] if turn else []), *old[:-1])
@@ -296,12 +297,18 @@ def contract(links: DataFrame, roots: DataFrame | None, scratch: Scratch, name:
 def between(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Links (a, b) as links between different roots, each once."""
     if roots is not None:
+        sent = F.broadcast if roots.count() <= FILTER_ROWS else lambda df: df
         for c in "ab":
-            links = links.join(roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+            links = links.join(sent(roots.select(F.col("v").alias(c), F.col("root").alias(f"r{c}"))), c, "left")
         links = links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def small(df: DataFrame, most: int = FILTER_ROWS) -> DataFrame:
+    """df, to be sent to the tasks if it has so many rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 class Join:
     """One similarity join: its scratch tables, the components and the pairs found so far."""
 
@@ -322,16 +329,11 @@ class Join:
         self.nodes = save(nodes, "nodes")
         narrow = rows.select("doc_id", "_th", "n", "node", "uid").join(self.nodes.select("node", "v"), "node", "left").drop("node")
         self.rows = save(narrow, "rows")
-        copies = self.small(self.rows.filter("v <> uid").select("uid"))
+        copies = small(self.rows.filter("v <> uid").select("uid"))
         self.heads = save(full.select("uid", "n", "kept", "bits").join(copies, "uid", "left_anti").withColumnRenamed("uid", "v"), "heads")
         self.repeated = not self.rows.groupBy("doc_id", "_th").count().filter("count > 1").isEmpty()
         self.scratch.drop("index")
 
-    @staticmethod
-    def small(df: DataFrame) -> DataFrame:
-        """df, to be sent to the tasks if it has FILTER_ROWS rows at most."""
-        return F.broadcast(df) if df.count() <= FILTER_ROWS else df
-
     def _add_sets(self, nodes: DataFrame) -> DataFrame:
         """The known sets, those of nodes (v) among them."""
         want = nodes if self.sets is None else nodes.join(self.sets.select("v"), "v", "left_anti")
@@ -360,8 +362,8 @@ class Join:
             sets = self._add_sets(now)
             each = sets.select(F.explode("own").alias("sig"))
             if turn:  # only shingles of the new sets can have turned frequent
-                new = sets.join(self.small(now), "v", "left_semi").select(F.explode("own").alias("sig")).distinct()
-                each = each.join(self.small(save(new, f"new{turn}")), "sig")
+                new = sets.join(small(now), "v", "left_semi").select(F.explode("own").alias("sig")).distinct()
+                each = each.join(small(save(new, f"new{turn}")), "sig")
             counted = each.groupBy("sig").count().filter(F.col("count") > most)
             more = np.union1d(self.frequent.known, fetch(save(counted, f"counted{turn}")))
             if len(more) == len(self.frequent.known) or len(more) > 2 * MOST_FREQUENT:
@@ -377,7 +379,7 @@ class Join:
         both = F.sum(F.when(self.leads(), (1 << 32) + 1).otherwise(1)).alias("c")
         both = keys.groupBy("sig").agg(both).filter(f"c > {1 << 32} and c & {(1 << 32) - 1}L > 1").select("sig")
         both = self.scratch.save(both, f"{name}-sigs")
-        out = self.scratch.save(keys.join(self.small(both), "sig"), name)
+        out = self.scratch.save(keys.join(small(both), "sig"), name)
         self.scratch.drop(f"{name}-all", f"{name}-sigs")
         return out
 
@@ -396,34 +398,35 @@ class Join:
     def rooted(self, keys: DataFrame) -> DataFrame:
         if self.roots is None:
             return keys.withColumn("root", F.col("v"))
-        return keys.join(self.small(self.roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        return keys.join(small(self.roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
     def meet(self, pairs: DataFrame) -> None:
         """Verify the pairs (a, b) that have not met, and contract the links."""
         save, turn = self.scratch.save, self.turn
         self.turn += 1
         pairs = pairs.distinct()
-        pairs = save(pairs if self.met is None else pairs.join(self.met, ["a", "b"], "left_anti"), f"pairs{turn}")
+        pairs = save(pairs if self.met is None else pairs.join(small(self.met, FILTER_PAIRS), ["a", "b"], "left_anti"), f"pairs{turn}")
+        if pairs.isEmpty():
+            return
         self.met = pairs if self.met is None else self.met.unionAll(pairs)
-        ends = lambda pairs: pairs.select(F.col("a").alias("v")).unionAll(pairs.select("b")).distinct()
-        marks = self.heads.select("v", "n", "bits").join(self.small(save(ends(pairs), f"ends{turn}")), "v", "left_semi")
-        bits = pairs.join(marks.select(F.col("v").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
-        bits = bits.join(marks.select(F.col("v").alias("a"), F.col("bits").alias("x"), "n"), "a")
+        # either side's parities to the pair, by one shuffle
+        sides = lambda pairs: pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
+        bits = self.heads.select("v", "n", "bits").join(small(sides(pairs), 2 * FILTER_PAIRS), "v").groupBy("a", "b").agg(F.collect_list(F.struct("n", "bits")).alias("of"))
+        bits = bits.select("a", "b", *[F.col("of")[k][c].alias(name) for k, names in ((0, ("n", "x")), (1, ("m", "y"))) for c, name in zip(("n", "bits"), names, strict=True)])
         words = "least(size(x), size(y))"
         differ = f"aggregate(zip_with({_folded('x', words)}, {_folded('y', words)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
         near = save(bits.filter(self.near("n", "m", differ)).select("a", "b"), f"near{turn}")
         if near.isEmpty():
             return
-        want = save(ends(near), f"near-ends{turn}")
-        sides = self.small(near.select("a", "b", F.explode(F.array("a", "b")).alias("v")))
+        want = save(sides(near).select("v").distinct(), f"near-ends{turn}")
         # the sets stay where they are but for one copy of each to the pairs that it is in
-        both = self._add_sets(want).join(sides, "v").groupBy("a", "b").agg(F.collect_list("own").alias("own")).select("a", "b", F.col("own")[0].alias("x"), F.col("own")[1].alias("y"))
+        both = self._add_sets(want).join(small(sides(near), 2 * FILTER_PAIRS), "v").groupBy("a", "b").agg(F.collect_list("own").alias("own")).select("a", "b", F.col("own")[0].alias("x"), F.col("own")[1].alias("y"))
         common = F.size(F.array_intersect("x", "y")).cast("long")
         links = both.filter(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
         links = save(links, f"links{turn}")
         if not links.isEmpty():
             self.roots = contract(links, self.roots, self.scratch, f"roots{turn}")
-        self.scratch.drop(f"near{turn}", f"near-ends{turn}", f"links{turn}", f"ends{turn}")
+        self.scratch.drop(f"near{turn}", f"near-ends{turn}", f"links{turn}")
 
     def search(self, keys: DataFrame, last: bool) -> DataFrame | None:
         """Find all links in the buckets of the index rows; returns the nodes (v) of buckets that are left to larger combinations."""
@@ -431,28 +434,31 @@ class Join:
         # the node with the fewest shingles before the key with each of the others
         lead = keys.groupBy("sig").agg(F.min(F.struct("pos", "v", "n")).alias("c"), F.count(F.lit(1)).alias("size"))
         led = save(keys.join(lead, "sig").filter("v <> c.v"), f"{name}-led")
-        pairs = led.filter(self.fits("n", "pos", "c.n", "c.pos"))
-        self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
+        pairs = led.filter(self.fits("n", "pos", "c.n", "c.pos")).select("sig", "v", F.col("c.v").alias("w"), "size")
+        # first each in its largest bucket, then across the components that are left: groups of near copies share many buckets
+        one = pairs.groupBy("v").agg(F.max_by("w", F.struct("size", "sig")).alias("w"))
+        self.meet(one.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+        apart = self.rooted(self.rooted(pairs.select("v", "w")).select(F.col("w").alias("v"), F.col("v").alias("w"), F.col("root").alias("other"))).filter("root <> other")
+        self.meet(apart.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
 
         rest = save(led.filter("size > 2").select("sig", "v", "n", "pos"), f"{name}-rest")
         self.scratch.drop(f"{name}-led")
         for turn in range(TURNS + 1):
             now = save(self.rooted(rest), f"{name}-{turn}")
-            each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"))
-            whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
+            drawn = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "pos")).alias("drawn")
+            each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"), drawn)
+            whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root", "drawn")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
             more = lambda most: F.expr("size * size - inner") > 2 * most * F.col("size")
-            left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), more(LIMIT).alias("large"), more(CROWDED).alias("crowded"))
+            left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), F.col("top.drawn").alias("c"), more(LIMIT).alias("large"), more(CROWDED).alias("crowded"))
             left = save(left, f"{name}-open{turn}")
-            crowded = left.filter("crowded").select("sig", "top")
+            crowded = left.filter("crowded").select("sig", "top", "c")
             if turn == TURNS or crowded.isEmpty():
                 break
-            crowd = now.join(self.small(crowded), "sig")
-            lead = crowd.filter("root = top").groupBy("sig").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "pos")).alias("c"))
-            pairs = crowd.filter("root <> top").join(lead, "sig").filter(self.fits("n", "pos", "c.n", "c.pos"))
+            pairs = now.join(small(crowded), "sig").filter("root <> top").filter(self.fits("n", "pos", "c.n", "c.pos"))
             self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
             self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}")
         folded = self.heads.select("v", F.expr(_folded("bits", str(WORDS_COMPARED))).alias("x")).select("v", *[F.col("x")[k].alias(f"x{k}") for k in range(WORDS_COMPARED)])
-        wide = save(now.join(self.small(left), "sig").join(folded, "v"), f"{name}-wide")
+        wide = save(now.join(small(left.drop("c")), "sig").join(folded, "v"), f"{name}-wide")
         some = wide if last else wide.filter("not large")
         minor = some.filter("root <> top").select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS_COMPARED)])
         # two nodes outside the largest component meet once
