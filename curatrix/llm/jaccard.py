@@ -13,8 +13,8 @@
    exact.  The number of classes grows with the power of two at or below the set's size, so keys grow with the set's
    size only; a set that may have a smaller partner below that power is indexed for the next lower one, too.
 4. Two sets may only link in a bucket if their sizes and the places of the shared key in either set leave room for enough
-   common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others; links
-   found are contracted.  Where many pairs across components remain, the nodes outside a bucket's largest component meet one node of
+   common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others, a node in its
+   largest bucket first, in the others where it is in another component then; links found are contracted.  Where many pairs across components remain, the nodes outside a bucket's largest component meet one node of
    it, drawn anew TURNS times.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
    with all others.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
    combinations of k + 1.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
