@@ -37,7 +37,7 @@ SHARD_WORDS = 1 << 18
 #: Benchmark text in one pass.
 CHUNK_BYTES = 16 << 20
 #: Pairs of places and suffixes made at once; words by which a match is followed, and matches followed at once.
-PAIRS, STRIDE, FOLLOWED = 1 << 20, 64, 1 << 14
+PAIRS, STRIDE, FOLLOWED = 1 << 17, 64, 1 << 12
 
 #: Bytes to word characters: A-Z lowered, ASCII that is no letter or digit to a space.  All of UTF-8's other bytes belong to words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
