@@ -180,13 +180,17 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", narrow(F.col("base")).alias("base"), narrow(alone).alias("added"))
 
 
+def _count(k: int) -> Column:
+    """The number of base spans of a kind."""
+    return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k].name}")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     found = find(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(kind.name) for kind in KINDS])
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
-    count = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{KINDS[k].name}") for k in range(4)]
-    return found.select("doc_id", *count, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *[_count(k) for k in range(4)], F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
 QUERIES = {"op3_pii": op3_pii}

@@ -87,6 +87,18 @@ def test_pii_matches_brute_force(spark):
     assert pii.find(table(spark, [])).count() == 0
 
 
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    texts = [*ODD, "a@b.c d@e.f +49 30 123456", "1.2.3.4", "4111 1111 1111 1111 +49 30 1234567", *pii_texts()[:40]]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pii.op3_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = base_pii(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in spans) for kind in range(4)]
+        said = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in spans)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_pii_reliabilities():
     counts = [((0, 1, 1, 1, 2, 1), 500), ((0, -1, -1, 0, 2, 1), 300), ((0, 1, -1, 1, 2, 1), 40), ((0, -1, 1, 0, 2, 1), 30)]
     post = pii.estimate(counts)
