@@ -2,7 +2,7 @@
 
 Tracks are rows with ``pcm`` (little-endian samples, channels interleaved), ``rate``, ``channels`` and ``width`` (bytes a sample), as the source ``wav_windows``
 gives them or as any binary column with the three numbers beside it.  Tracks are independent, so a pass needs no shuffle; a worker holds one Arrow
-batch of tracks, so sessions that read long ones lower ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+batch of tracks, which ``packing`` bounds, and the results of PIECE bytes of samples.
 
 A track that can't be analysed (null or empty samples, an unknown width) gets empty results and the reason in ``error``; it fails no other.
 """
@@ -22,6 +22,8 @@ from curatrix.packing import ship
 
 #: What a track's samples are given by; seconds of the middle that are analysed; seconds of a section at least.
 TRACK, WINDOW_S, LEAST_S = ("pcm", "rate", "channels", "width"), 90.0, 12.0
+#: Bytes of samples whose results are passed on at once.
+PIECE = 4 << 20
 #: Labels that ``zero_shot`` takes at most: their vectors are held by every task.
 MOST_LABELS = 10_000
 # The instruments asked for.
@@ -48,7 +50,7 @@ def per_track(tracks: DataFrame, fn: Callable, kind: str, more: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, errors = [], []
+            found, errors, first, size = [], [], 0, 0
             for row in zip(*(batch.column(c) for c in (*TRACK, *more)), strict=True):
                 pcm, rate, channels, width, *rest = (x.as_py() for x in row)
                 try:
@@ -60,7 +62,15 @@ def per_track(tracks: DataFrame, fn: Callable, kind: str, more: tuple[str, ...]
                 except (ValueError, MemoryError) as e:
                     found.append(None)
                     errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, found_type), pa.array(errors, pa.string())], [*kept, "found", "error"])
+                size += len(pcm or b"")
+                if size >= PIECE:
+                    yield passed(batch.slice(first, len(found)), found, errors)
+                    found, errors, first, size = [], [], first + len(found), 0
+            if found:
+                yield passed(batch.slice(first), found, errors)
+
+    def passed(rows: pa.RecordBatch, found: list, errors: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(found, found_type), pa.array(errors, pa.string())], [*kept, "found", "error"])
 
     return tracks.mapInArrow(run, schema)
 

@@ -238,6 +238,14 @@ def test_medians_share_their_work():
         assert np.array_equal(signal.medians(np.ones(shape, np.float32), 1), np.ones(shape))
 
 
+def test_tracks_pass_on_results_in_pieces(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.range(7).select("id", F.repeat(F.lit("ab"), F.when(F.col("id") % 3 == 0, 3_000_000).otherwise(5)).cast("binary").alias("pcm"), F.lit(1000).alias("rate"), F.lit(1).alias("channels"), F.lit(1).alias("width"))
+    made = audio.per_track(rows.coalesce(1), lambda sides, rate: sides.shape[1], "long")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert [(r.id, r.found, r.error) for r in made.collect()] == [(i, 10 if i % 3 else 6_000_000, None) for i in range(7)]
+
+
 # --- lead and backing
 
 
