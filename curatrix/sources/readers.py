@@ -22,15 +22,52 @@ SAMPLE_JSON = (
 )
 
 
+#: The first and the last line of a document whose samples stand one on a line, as ``writers.write_json`` writes it.
+HEAD_LINE, TAIL_LINE = r'^\{"metadata": (\{.*\}), "samples": \[$', "]}"
+
+
 def dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """metadata (one row, raw) and samples (pos, keys, typed fields) of a manifest in one JSON document.
 
-    keys holds the names that a row's JSON really has, so absent and null can be told apart.
+    keys holds the names that a row's JSON really has, so absent and null can be told apart.  A document with a sample on each line is read in
+    splits, so no task holds it; one of any other layout is one value, which a task has to hold.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.metadata").alias("metadata"), F.from_json(F.get_json_object("value", "$.samples"), "array<string>").alias("samples"))
-    rows = doc.select(F.posexplode("samples").alias("pos", "raw"))
+    found = _dataset_by_lines(spark, path)
+    if found is None:
+        doc = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$.metadata").alias("metadata"), F.from_json(F.get_json_object("value", "$.samples"), "array<string>").alias("samples"))
+        found = doc.select("metadata"), doc.select(F.posexplode("samples").alias("pos", "raw"))
+    metadata, rows = found
     rows = rows.select(F.col("pos").cast("long").alias("pos"), F.json_object_keys("raw").alias("keys"), F.from_json("raw", SAMPLE_JSON).alias("s"))
-    return doc.select("metadata"), rows.select("pos", "keys", "s.*")
+    return metadata, rows.select("pos", "keys", "s.*")
+
+
+def _dataset_by_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """metadata, and pos and raw of the samples, if every line but the first and the last is one sample; else None.
+
+    A line's place is its number within its split, and the lines of the splits before; both readings cut the file into the same splits.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    body = F.concat(F.lit("["), F.regexp_replace("value", "^,", ""), F.lit("]"))
+    lines = lines.withColumns({"head": F.col("value").rlike(HEAD_LINE), "tail": F.col("value") == TAIL_LINE, "own": F.from_json(body, "array<string>")})
+    sample = (F.size("own") == 1) & F.get("own", F.lit(0)).startswith("{") & F.json_object_keys(F.get("own", F.lit(0))).isNotNull()
+    number = lambda x: F.count_if(F.coalesce(x, F.lit(False)))
+    splits = lines.groupBy("file", "split").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("n").alias("first"), F.max("n").alias("last"), number(F.col("head")).alias("heads"), number(F.col("tail")).alias("tails"), number(sample).alias("samples"),
+        number(sample & ~F.col("value").startswith(",")).alias("bare"), F.min_by(F.col("head"), "n").alias("begins"), F.max_by(F.col("tail"), "n").alias("ends"), F.max(F.when(F.col("head"), F.col("value"))).alias("text"),
+    ).collect()  # as many rows as the file has splits
+    splits.sort(key=lambda r: r.split)
+    if len({r.file for r in splits}) != 1 or not splits[0].begins or not splits[-1].ends:
+        return None
+    total = {c: sum(r[c] for r in splits) for c in ("lines", "heads", "tails", "samples", "bare")}
+    if total["heads"] != 1 or total["tails"] != 1 or total["samples"] != total["lines"] - 2 or total["bare"] != min(1, total["samples"]) or any(r.last - r.first + 1 != r.lines for r in splits):
+        return None
+    before, starts = -1, []  # the head takes a place
+    for r in splits:
+        starts.append((r.split, before - r.first))
+        before += r.lines
+    own = lines.filter(~F.col("head") & ~F.col("tail")).join(F.broadcast(spark.createDataFrame(starts, "split long, shift long")), "split")
+    metadata = spark.createDataFrame([(splits[0].text,)], "value string").select(F.get_json_object(F.concat("value", F.lit("]}")), "$.metadata").alias("metadata"))
+    return metadata, own.select((F.col("n") + F.col("shift")).alias("pos"), F.get("own", F.lit(0)).alias("raw"))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
