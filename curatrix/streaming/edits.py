@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,35 +32,43 @@ class Debounce(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("edit", _STATE)
 
     def _now(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else (None, -1, -1, 0, None, -1)
-
-    def _row(self, key, text, seq, edits) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "text": [text], "seq": [seq], "edits": [edits]})
+        return tuple(self.state.get() or (None, -1, -1, 0, None, -1))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
         text, seq, due, edits, written, done = self._now()
-        old = due
-        for e in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            at = int(e.ts.timestamp() * 1000)
-            if e.seq <= max(seq, done):
+        old, quiet, made = due, int(self.quiet * 1000), []
+        own = pd.concat(list(rows))
+        if own["ts"].isna().any():
+            raise ValueError("an edit without time")
+        own = own.iloc[np.lexsort((own["seq"].to_numpy(), own["ts"].to_numpy()))]
+        times = own["ts"].to_numpy("datetime64[us]").astype("int64") // 1000
+        for at, n, t in zip(times.tolist(), own["seq"].tolist(), own["text"].tolist(), strict=True):
+            if n <= max(seq, done):
                 continue
             if seq > done and at >= due:  # the one before had rested when this one was made
                 if text != written:
-                    yield self._row(key, text, seq, edits)
+                    made.append((text, seq, edits))
                 written, done, edits = text, seq, 0
-            text, seq, edits, due = e.text, int(e.seq), edits + 1, max(due, at + int(self.quiet * 1000))
+            text, seq, edits, due = t, int(n), edits + 1, max(due, at + quiet)
         if due != old:
             if old >= 0:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(due)
         self.state.update((text, seq, due, edits, written, done))
+        yield from self._frame(key, made)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         text, seq, _, edits, written, done = self._now()
-        if seq > done and text != written:
-            yield self._row(key, text, seq, edits)
-            written = text
-        self.state.update((text, seq, -1, 0, written, max(seq, done)))
+        made = [(text, seq, edits)] if seq > done and text != written else []
+        self.state.update((text, seq, -1, 0, text if made else written, max(seq, done)))
+        yield from self._frame(key, made)
+
+    def _frame(self, key, made: list[tuple]) -> Iterator[pd.DataFrame]:
+        """All writes of a call as one frame, for a frame costs more than a row."""
+        if made:
+            frame = pd.DataFrame(made, columns=["text", "seq", "edits"])
+            frame.insert(0, "id", key[0])
+            yield frame
 
     def close(self) -> None:
         pass

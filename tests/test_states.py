@@ -229,3 +229,21 @@ def test_catalog(spark, tmp_path):
     assert [(r.name, r.url) for r in readers.leaderboards(spark, str(path)).orderBy("pos").collect()] == [("L", "u"), ("M", "")]
     files = spark.createDataFrame([("/m/a/w.bin",), ("/m/c/x",)], "path string")
     assert {(r.id, r.downloaded) for r in readers.downloaded(rows, files).collect()} == {("a", True), ("b", False)}
+
+
+def test_writes_of_a_call_come_in_one_frame():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    kept, timers = [None], []
+    own = edits.Debounce(60)
+    own.handle = SimpleNamespace(registerTimer=timers.append, deleteTimer=timers.remove)
+    own.state = SimpleNamespace(get=lambda: kept[0], update=lambda x: kept.__setitem__(0, x), exists=lambda: kept[0] is not None)
+    at = pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:02:00", "2024-01-01 00:01:59.999", "2024-01-01 00:05:00", "2024-01-01 00:06:00"], format="ISO8601")
+    made = list(own.handleInputRows(("a",), iter([pd.DataFrame({"seq": [1, 3, 2, 4, 5], "ts": at, "text": ["p", "r", "q", "s", "t"]})]), None))
+    assert len(made) == 1
+    assert made[0].values.tolist() == [["a", "p", 1, 1], ["a", "r", 3, 2], ["a", "s", 4, 1]]
+    last = list(own.handleExpiredTimer(("a",), None, None))
+    assert [x.values.tolist() for x in last] == [[["a", "t", 5, 1]]] and list(own.handleExpiredTimer(("a",), None, None)) == []
+    assert kept[0] == ("t", 5, -1, 0, "t", 5) and len(timers) == 1
