@@ -4,8 +4,8 @@
    threshold p may miss t = floor(n (100 - p) / 100) of a partner's; the pass keeps the first EXTRA * (t + 1) shingles of
    each set in the order of their hashes.
 2. Shingles that more than RARE nodes keep there are frequent.  The global order of shingles puts the frequent ones last.  A node
-   whose kept shingles hold t + 1 rare ones has its prefix; the whole sets of the others are read, all their shingles
-   counted, and this repeats until no new shingle turns frequent in a way that leaves another node short.
+   whose kept shingles hold t + 1 rare ones has its prefix; the whole sets of the others are read, their shingles
+   counted once (those seen once in a turn are forgotten, which costs time at most), and this repeats until no new shingle turns frequent in a way that leaves another node short.
 3. Nodes with t + 1 rare shingles index these.  The prefix of any other is extended over its frequent shingles, which are dealt
    into classes by hash, until no t removals can break every class: a rare shingle counts 1, the c shingles of a class
    c - k + 1.  Indexed are its rare shingles and all combinations of k shingles of one class.  Of two sets that link, the one whose
@@ -319,6 +319,7 @@ class Join:
         self.roots: DataFrame | None = None
         self.met: DataFrame | None = None
         self.sets: DataFrame | None = None
+        self.added: DataFrame | None = None  # those that the last call of _add_sets found
         self.turn = 0
         save = self.scratch.save
         rows = save(index(docs, words, percent).withColumn("uid", F.monotonically_increasing_id()), "index")
@@ -340,6 +341,7 @@ class Join:
         more = whole_sets(self.docs, self.nodes.join(want, "v", "left_semi"), self.words)
         more = self.scratch.save(more.dropDuplicates(["v"]) if self.repeated else more, f"sets{self.turn}")
         self.turn += 1
+        self.added = more
         self.sets = more if self.sets is None else self.sets.unionAll(more)
         return self.sets
 
@@ -352,20 +354,19 @@ class Join:
             most *= 2
         fetch = lambda found: np.sort(found.filter(F.col("count") > most).select("sig").toArrow()["sig"].to_numpy().view(np.uint64))
         self.frequent = Frequent(fetch(counted))
-        turn, short = 0, None
+        turn, short, counts = 0, None, None
         while True:
             now = short_nodes(self.heads, self.frequent, self.percent)
             now = save(now if short is None else now.join(short, "v", "left_anti"), f"short{turn}")
             if now.isEmpty():
                 break
             short = now if short is None else short.unionAll(now)
-            sets = self._add_sets(now)
-            each = sets.select(F.explode("own").alias("sig"))
-            if turn:  # only shingles of the new sets can have turned frequent
-                new = sets.join(small(now), "v", "left_semi").select(F.explode("own").alias("sig")).distinct()
-                each = each.join(small(save(new, f"new{turn}")), "sig")
-            counted = each.groupBy("sig").count().filter(F.col("count") > most)
-            more = np.union1d(self.frequent.known, fetch(save(counted, f"counted{turn}")))
+            # each set is counted once, when it is new: the sums so far stand for the others
+            self._add_sets(now)
+            each = self.added.select(F.explode("own").alias("sig"), F.lit(1).cast("long").alias("count"))
+            each = each if counts is None else each.unionAll(counts)
+            counts = save(each.groupBy("sig").agg(F.sum("count").alias("count")).filter("count > 1"), f"counted{turn}")
+            more = np.union1d(self.frequent.known, fetch(counts))
             if len(more) == len(self.frequent.known) or len(more) > 2 * MOST_FREQUENT:
                 break
             self.frequent, turn = Frequent(more), turn + 1

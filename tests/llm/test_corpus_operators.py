@@ -225,6 +225,23 @@ def test_jaccard_components(spark, monkeypatch, k, percent, tune):
         assert sorted(r.doc_id for r in kept.collect()) == sorted({w for w, n in zip(want, sizes, strict=True) if n} | {i for i, n in enumerate(sizes) if not n})
 
 
+def test_jaccard_counts_each_set_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RARE", 1)
+    read, save = {}, _run.Scratch.save
+
+    def spy(self, df, name):
+        read[name] = {re.search(r"/(sets\d+)/", f)[1] for f in df.inputFiles() if "/sets" in f}
+        return save(self, df, name)
+
+    monkeypatch.setattr(_run.Scratch, "save", spy)
+    turns = iter(range(9))  # half of the nodes are short in the first turn, the others in the next
+    monkeypatch.setattr(jaccard, "short_nodes", lambda heads, *_: heads.select("v").filter(f"pmod(xxhash64(v), 2) <= {next(turns)}"))
+    jaccard.Join(table(spark, near_copies(random.Random(8))).select("doc_id", "text"), 3, 90).keys()
+    # each turn reads the sets that are new in it, not those of the turns before
+    assert read["counted0"] == {"sets0"}
+    assert read["counted1"] == {"sets1"}
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard.components(table(spark, ["a b c d", "a b c d", "x y z", "x y z", None], [7, None, None, None, None]), 3, 90).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == {(7, 2, 7): 1, (None, 2, 7): 1, (None, 1, None): 2, (None, 0, None): 1}
