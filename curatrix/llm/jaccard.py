@@ -16,7 +16,7 @@
    common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others, a node in its
    largest bucket first, in the others where it is in another component then; links found are contracted.  Where many pairs across components remain, the nodes outside a bucket's largest component meet one node of
    it, drawn anew TURNS times.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
-   with all others.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
+   with all others, each pair in the first bucket that it shares as far as the first keys of either tell.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
    combinations of k + 1.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
    verified on the whole sets.
 
@@ -55,6 +55,8 @@ LEAST_K, MOST_K, LIMIT = 2, 4, 32
 TURNS, CROWDED = 3, 8
 #: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle. Of pairs, so many at most.
 FILTER_ROWS, FILTER_PAIRS = 2_000_000, 500_000
+#: First index keys of a node by which a pair is known to have met before.
+FIRST = 16
 #: Parities of a set at least, and longs that these are folded to and compared by inside a bucket.
 PARITIES, WORDS_COMPARED = 1024, 8
 
@@ -396,6 +398,16 @@ class Join:
         """Whether sets that differ in so many parities may link: those that do differ in (n + m) (100 - p) / (100 + p) shingles at most."""
         return F.expr(f"({differ}) * {100 + self.percent} <= ({n} + {m}) * {100 - self.percent}")
 
+    def preceded(self, rows: DataFrame) -> DataFrame:
+        """Index rows with before, those of the node's FIRST keys that stand before this one in the global order (places, then keys: the same order in all sets).
+
+        Two sets that link do so by the first key that both have, so a pair with such a key in common need not meet in this bucket: near copies
+        share hundreds of buckets.
+        """
+        key = F.struct("pos", "sig")
+        each = rows.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(key)), 1, FIRST).alias("firsts"))
+        return rows.join(each, "v").withColumn("before", F.filter("firsts", lambda x: x < key)["sig"]).drop("firsts")
+
     def rooted(self, keys: DataFrame) -> DataFrame:
         if self.roots is None:
             return keys.withColumn("root", F.col("v"))
@@ -460,12 +472,12 @@ class Join:
             self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}")
         folded = self.heads.select("v", F.expr(_folded("bits", str(WORDS_COMPARED))).alias("x")).select("v", *[F.col("x")[k].alias(f"x{k}") for k in range(WORDS_COMPARED)])
         wide = save(now.join(small(left.drop("c")), "sig").join(folded, "v"), f"{name}-wide")
-        some = wide if last else wide.filter("not large")
-        minor = some.filter("root <> top").select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS_COMPARED)])
+        some = self.preceded(wide if last else wide.filter("not large"))
+        minor = some.filter("root <> top").select("sig", F.col("v").alias("w"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"), F.col("before").alias("earlier"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(WORDS_COMPARED)])
         # two nodes outside the largest component meet once
         ahead = (F.col("root") != F.col("other")) & ((F.col("root") == F.col("top")) | (F.col("v") < F.col("w")))
         near = self.near("n", "m", " + ".join(f"bit_count(x{k} ^ y{k})" for k in range(WORDS_COMPARED)))
-        pairs = some.join(minor, "sig").filter(ahead & self.fits("n", "pos", "m", "at") & near)
+        pairs = some.join(minor, "sig").filter(ahead & self.fits("n", "pos", "m", "at") & near & ~F.arrays_overlap("before", "earlier"))
         self.meet(pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
         again = None if last or left.filter("large").isEmpty() else save(wide.filter("large").select("v").distinct(), f"{name}-nodes")
         self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}", f"{name}-rest", f"{name}-wide")

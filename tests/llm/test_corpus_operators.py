@@ -242,6 +242,25 @@ def test_jaccard_counts_each_set_once(spark, monkeypatch):
     assert read["counted1"] == {"sets1"}
 
 
+def test_jaccard_pairs_meet_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    monkeypatch.setattr(jaccard, "LIMIT", 10**6)
+    rng = random.Random(3)
+    common, given, meet = words(rng, 100, 3000).split(), [], jaccard.Join.meet
+    # near one another, but no two linked: each has a word of its own, and 92 of 104 shingles in common with any other
+    texts = [" ".join([*common[:k], f"e{k}", *common[k + 1 :]]) for k in range(3, 97, 3)]
+
+    def spy(self, pairs):
+        given.append((pairs.count(), pairs.distinct().count()))
+        meet(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "meet", spy)
+    rows = jaccard.components(table(spark, texts), 3, 90).collect()
+    assert [r.component_id for r in sorted(rows)] == component_ids(texts, 3, 90)[1]
+    count, pairs = given[-1]
+    assert 0 < count < 3 * pairs
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard.components(table(spark, ["a b c d", "a b c d", "x y z", "x y z", None], [7, None, None, None, None]), 3, 90).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == {(7, 2, 7): 1, (None, 2, 7): 1, (None, 1, None): 2, (None, 0, None): 1}
