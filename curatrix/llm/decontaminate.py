@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from curatrix.llm._run import Scratch, map_batches, sql_text, table
 #: Words of a window.
 WINDOW = 10
 #: Words of a shard: about 100 bytes of memory each.
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 17
 #: Benchmark text in one pass.
 CHUNK_BYTES = 16 << 20
 #: Pairs of places and suffixes made at once; words by which a match is followed, and matches followed at once.
@@ -133,13 +134,14 @@ class Shard:
     """The words of some documents, one unmatched number between two, and their suffix array."""
 
     def __init__(self, docs: list[list[bytes]], depth: int):
-        numbers: dict[bytes, int] = defaultdict(lambda: len(numbers) + 1)
+        numbers: dict[bytes, int] = defaultdict(count(1).__next__)  # a function that names the table would keep it beyond the shard
         self.sizes = np.array([len(d) for d in docs], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]]).astype(np.int64)
         self.ids = np.zeros(int(self.sizes.sum()) + len(docs), np.int64)
         for at, d in zip(self.starts.tolist(), docs, strict=True):
             self.ids[at : at + len(d)] = [numbers[w] for w in d]
-        self.numbers = dict(numbers)
+        numbers.default_factory = None
+        self.numbers = numbers
         self.sa = suffix_array(self.ids, depth)
 
     def local(self, patterns: Patterns) -> np.ndarray:

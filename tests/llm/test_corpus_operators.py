@@ -1,5 +1,6 @@
 """Decontamination, sharding, Jaccard join, line dedup, mixing and the pipeline against brute force."""
 
+import gc
 import hashlib
 import math
 import random
@@ -130,6 +131,20 @@ def test_suffix_array(ids, depth):
     assert keys == sorted(keys)
 
 
+def test_shards_leave_with_their_task():
+    patterns = decontaminate.Patterns([("i", "a b c d e f g h i j k")], decontaminate.WINDOW)
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(3):
+            shard = decontaminate.Shard([b"x a b c d e f g h i j k y".split(), b"q r".split()], decontaminate.WINDOW)
+            assert len(shard.matches(patterns)[1])
+        del shard
+        assert gc.collect() == 0  # nothing waits for a full collection, which a worker seldom makes
+    finally:
+        gc.enable()
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(table(spark, ["a b"]), none).first().n_hit == 0
