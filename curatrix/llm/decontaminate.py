@@ -33,7 +33,7 @@ from curatrix.llm._run import Scratch, map_batches, sql_text, table
 
 #: Words of a window.
 WINDOW = 10
-#: Words of a shard: about 100 bytes of memory each.
+#: Words of a shard: about 300 bytes of a worker's memory each.
 SHARD_WORDS = 1 << 17
 #: Benchmark text in one pass.
 CHUNK_BYTES = 16 << 20
