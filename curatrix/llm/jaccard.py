@@ -15,9 +15,9 @@
 4. Two sets may only link in a bucket if their sizes and the places of the shared key in either set leave room for enough
    common shingles.  In each bucket the node with the fewest shingles before the key is paired with all others, a node in its
    largest bucket first, in the others where it is in another component then; links found are contracted.  Where many pairs across components remain, the nodes outside a bucket's largest component meet one node of
-   it, drawn anew TURNS times.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
-   with all others, each pair in the first bucket that it shares as far as the first keys of either tell.  Buckets with more than LIMIT such pairs a node are not expanded: their nodes are indexed again with
-   combinations of k + 1.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
+   it, drawn anew TURNS times or until no link is found.  Of what remains, pairs across components follow: the nodes outside the bucket's largest component
+   with all others, each pair in the first bucket that it shares as far as the first keys of either tell.  Buckets with more than LIMIT * COMPARED such pairs a node are not expanded: their nodes are indexed again with
+   combinations of k + 1, which costs twice the rows and does not part copies of one text.  Candidates are first bounded by parities of hash classes, of which sets that link differ in few, then
    verified on the whole sets.
 
 No bucket, pair or link is dropped: at MOST_K the remaining buckets are expanded as they are.  Sets are named by 128-bit
@@ -49,8 +49,10 @@ WORDS, PERCENT = 5, 80
 EXTRA, RARE = 1.5, 8
 #: Frequent shingles held in memory at most: beyond, only more frequent ones count as such.
 MOST_FREQUENT = 4_000_000
-#: Shingles of a combination, to begin with and at most; pairs across components that a bucket may have for each node.
+#: Shingles of a combination, to begin with and at most; rows across components that a bucket may cost for each node.
 LEAST_K, MOST_K, LIMIT = 2, 4, 32
+#: Pairs compared by their parities, which make no row, for the cost of an index row.
+COMPARED = 64
 #: Times that the nodes outside a bucket's largest component meet a node of it before pairs are expanded, and the pairs a node from which they do.
 TURNS, CROWDED = 3, 8
 #: Rows up to this number are sent to the tasks as a filter; more are joined by a shuffle. Of pairs, so many at most.
@@ -413,14 +415,14 @@ class Join:
             return keys.withColumn("root", F.col("v"))
         return keys.join(small(self.roots), "v", "left").withColumn("root", F.coalesce("root", "v"))
 
-    def meet(self, pairs: DataFrame) -> None:
-        """Verify the pairs (a, b) that have not met, and contract the links."""
+    def meet(self, pairs: DataFrame) -> bool:
+        """Verify the pairs (a, b) that have not met, and contract the links; whether there are any."""
         save, turn = self.scratch.save, self.turn
         self.turn += 1
         pairs = pairs.distinct()
         pairs = save(pairs if self.met is None else pairs.join(small(self.met, FILTER_PAIRS), ["a", "b"], "left_anti"), f"pairs{turn}")
         if pairs.isEmpty():
-            return
+            return False
         self.met = pairs if self.met is None else self.met.unionAll(pairs)
         # either side's parities to the pair, by one shuffle
         sides = lambda pairs: pairs.select("a", "b", F.explode(F.array("a", "b")).alias("v"))
@@ -430,16 +432,26 @@ class Join:
         differ = f"aggregate(zip_with({_folded('x', words)}, {_folded('y', words)}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
         near = save(bits.filter(self.near("n", "m", differ)).select("a", "b"), f"near{turn}")
         if near.isEmpty():
-            return
+            return False
         want = save(sides(near).select("v").distinct(), f"near-ends{turn}")
         # the sets stay where they are but for one copy of each to the pairs that it is in
         both = self._add_sets(want).join(small(sides(near), 2 * FILTER_PAIRS), "v").groupBy("a", "b").agg(F.collect_list("own").alias("own")).select("a", "b", F.col("own")[0].alias("x"), F.col("own")[1].alias("y"))
         common = F.size(F.array_intersect("x", "y")).cast("long")
         links = both.filter(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
         links = save(links, f"links{turn}")
-        if not links.isEmpty():
+        linked = not links.isEmpty()
+        if linked:
             self.roots = contract(links, self.roots, self.scratch, f"roots{turn}")
         self.scratch.drop(f"near{turn}", f"near-ends{turn}", f"links{turn}")
+        return linked
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (v, w, others) those across components."""
+        if self.roots is None:
+            return pairs
+        of = lambda c, root: small(self.roots.select(F.col("v").alias(c), F.col("root").alias(root)))
+        both = pairs.join(of("v", "root"), "v", "left").join(of("w", "other"), "w", "left")
+        return both.filter(F.coalesce("root", "v") != F.coalesce("other", "w")).drop("root", "other")
 
     def search(self, keys: DataFrame, last: bool) -> DataFrame | None:
         """Find all links in the buckets of the index rows; returns the nodes (v) of buckets that are left to larger combinations."""
@@ -449,27 +461,29 @@ class Join:
         led = save(keys.join(lead, "sig").filter("v <> c.v"), f"{name}-led")
         pairs = led.filter(self.fits("n", "pos", "c.n", "c.pos")).select("sig", "v", F.col("c.v").alias("w"), "size")
         # first each in its largest bucket, then across the components that are left: groups of near copies share many buckets
-        one = pairs.groupBy("v").agg(F.max_by("w", F.struct("size", "sig")).alias("w"))
+        one = self.apart(pairs).groupBy("v").agg(F.max_by("w", F.struct("size", "sig")).alias("w"))
         self.meet(one.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
-        apart = self.rooted(self.rooted(pairs.select("v", "w")).select(F.col("w").alias("v"), F.col("v").alias("w"), F.col("root").alias("other"))).filter("root <> other")
-        self.meet(apart.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+        self.meet(self.apart(pairs).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
 
         rest = save(led.filter("size > 2").select("sig", "v", "n", "pos"), f"{name}-rest")
         self.scratch.drop(f"{name}-led")
-        for turn in range(TURNS + 1):
+        turn = 0
+        while True:
             now = save(self.rooted(rest), f"{name}-{turn}")
             drawn = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), "v", "n", "pos")).alias("drawn")
             each = now.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max(self.leads().cast("int")).alias("leads"), drawn)
             whole = each.groupBy("sig").agg(F.max("leads").alias("leads"), F.sum("c").alias("size"), F.max(F.struct("c", "root", "drawn")).alias("top"), F.sum(F.expr("c * c")).alias("inner"))
             more = lambda most: F.expr("size * size - inner") > 2 * most * F.col("size")
-            left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), F.col("top.drawn").alias("c"), more(LIMIT).alias("large"), more(CROWDED).alias("crowded"))
+            left = whole.filter("top.c < size and leads > 0").select("sig", F.col("top.root").alias("top"), F.col("top.drawn").alias("c"), more(LIMIT * COMPARED).alias("large"), more(CROWDED).alias("crowded"))
             left = save(left, f"{name}-open{turn}")
             crowded = left.filter("crowded").select("sig", "top", "c")
             if turn == TURNS or crowded.isEmpty():
                 break
             pairs = now.join(small(crowded), "sig").filter("root <> top").filter(self.fits("n", "pos", "c.n", "c.pos"))
-            self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b")))
+            if not self.meet(pairs.select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))):
+                break  # the components are as they were
             self.scratch.drop(f"{name}-{turn}", f"{name}-open{turn}")
+            turn += 1
         folded = self.heads.select("v", F.expr(_folded("bits", str(WORDS_COMPARED))).alias("x")).select("v", *[F.col("x")[k].alias(f"x{k}") for k in range(WORDS_COMPARED)])
         wide = save(now.join(small(left.drop("c")), "sig").join(folded, "v"), f"{name}-wide")
         some = self.preceded(wide if last else wide.filter("not large"))

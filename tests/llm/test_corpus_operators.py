@@ -276,6 +276,23 @@ def test_jaccard_pairs_meet_in_one_bucket(spark, monkeypatch):
     assert 0 < count < 3 * pairs
 
 
+def test_jaccard_unlike_copies_are_not_indexed_again(spark, monkeypatch):
+    rng = random.Random(4)
+    common, drawn, index = words(rng, 100, 3000).split(), [], jaccard.combined_keys
+    # many far copies of one text: large buckets without links, which larger combinations don't part
+    texts = [" ".join(f"e{k}x{j}" if j in gone else w for j, w in enumerate(common)) for k in range(200) for gone in [set(rng.sample(range(100), 2))]]
+    texts += [texts[0] + " end", texts[7] + " end"]
+
+    def spy(sets, frequent, percent, k):
+        drawn.append(k)
+        return index(sets, frequent, percent, k)
+
+    monkeypatch.setattr(jaccard, "combined_keys", spy)
+    rows = jaccard.components(table(spark, texts), 3, 90).collect()
+    assert [r.component_id for r in sorted(rows)] == component_ids(texts, 3, 90)[1]
+    assert drawn == [2]
+
+
 def test_jaccard_odd_rows(spark):
     rows = jaccard.components(table(spark, ["a b c d", "a b c d", "x y z", "x y z", None], [7, None, None, None, None]), 3, 90).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == {(7, 2, 7): 1, (None, 2, 7): 1, (None, 1, None): 2, (None, 0, None): 1}
