@@ -41,8 +41,11 @@ INSTRUMENTS = (
 FEATURES = "struct<mid: double, side: double, bpm: int, beats: array<double>, chroma: array<double>, harmonic: double, percussive: double, bass: double, middle: double, high: double>"
 
 
-def per_track(tracks: DataFrame, fn: Callable, kind: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """The tracks without pcm, with ``found`` (of type ``kind``) and ``error``. ``fn`` gets the samples (channels, frames), the rate and the columns ``more``."""
+def per_track(tracks: DataFrame, fn: Callable, kind: str, more: tuple[str, ...] = (), together: int = 0) -> DataFrame:
+    """The tracks without pcm, with ``found`` (of type ``kind``) and ``error``. ``fn`` gets the samples (channels, frames), the rate and the columns ``more``.
+
+    ``together``: ``fn`` gets a list of such, as many tracks as have that many frames of samples, and gives a list; if one of them fails, each by itself.
+    """
     ship(tracks.sparkSession)
     kept = [c for c in tracks.columns if c != "pcm"]
     schema = tracks.select(*kept).limit(0).withColumns({"found": F.lit(None).cast(kind), "error": F.lit(None).cast("string")}).schema
@@ -50,25 +53,42 @@ def per_track(tracks: DataFrame, fn: Callable, kind: str, more: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, errors, first, size = [], [], 0, 0
+            found, errors, first, size, held, frames = [], [], 0, 0, [], 0
             for row in zip(*(batch.column(c) for c in (*TRACK, *more)), strict=True):
                 pcm, rate, channels, width, *rest = (x.as_py() for x in row)
+                found.append(None)
+                errors.append(None)
                 try:
                     sides = signal.decode(pcm or b"", width or 0, channels or 0)
                     if not sides.shape[1] or not rate or rate < 1:
                         raise ValueError("no samples")
-                    found.append(fn(sides, rate, *rest))
-                    errors.append(None)
+                    held.append((len(found) - 1, (sides, rate, *rest)))
+                    frames += sides.shape[1]
                 except (ValueError, MemoryError) as e:
-                    found.append(None)
-                    errors.append(str(e) or type(e).__name__)
+                    errors[-1] = str(e) or type(e).__name__
                 size += len(pcm or b"")
+                if frames >= together or size >= PIECE:
+                    settle(held, found, errors)
+                    held, frames = [], 0
                 if size >= PIECE:
                     yield passed(batch.slice(first, len(found)), found, errors)
                     found, errors, first, size = [], [], first + len(found), 0
+            settle(held, found, errors)
             if found:
                 yield passed(batch.slice(first), found, errors)
 
+    def settle(held: list[tuple], found: list, errors: list) -> None:
+        try:
+            values = fn([x for _, x in held]) if together else [fn(*x) for _, x in held]
+            for (k, _), value in zip(held, values, strict=True):
+                found[k] = value
+        except (ValueError, MemoryError) as e:
+            if len(held) == 1:
+                errors[held[0][0]] = str(e) or type(e).__name__
+            else:
+                for one in held:
+                    settle([one], found, errors)
+
     def passed(rows: pa.RecordBatch, found: list, errors: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(found, found_type), pa.array(errors, pa.string())], [*kept, "found", "error"])
 
@@ -95,7 +115,16 @@ def analyse(tracks: DataFrame, seconds: float = WINDOW_S, given: Column | None =
     ``given``: an array of instruments known otherwise; those that neither hold nor are part of an estimated one are appended.
     """
     own = [c for c in tracks.columns if c not in TRACK]
-    made = per_track(tracks, lambda sides, rate: signal.features(middle(sides, rate, seconds), rate), FEATURES)
+
+    def each(items: list[tuple]) -> list[dict]:
+        out = [{}] * len(items)
+        for rate in {rate for _, rate in items}:
+            at = [k for k, (_, r) in enumerate(items) if r == rate]
+            for k, found in zip(at, signal.features([middle(items[k][0], rate, seconds) for k in at], rate), strict=True):
+                out[k] = found
+        return out
+
+    made = per_track(tracks, each, FEATURES, together=signal.CHUNK * signal.HOP)
     f = lambda name: F.col(f"found.{name}")
     sides = numeric.stereo_of(f("mid"), f("side"))
     found = merging.band_instruments(f("harmonic"), f("percussive"), f("bass"), f("middle"), f("high"))

@@ -9,10 +9,16 @@ from curatrix.functions import signal
 from curatrix.operators import audio, layout
 from curatrix.sources import store, wav
 
+#: Tasks for each core.
+TASKS = 4
 
 def tracks(spark: SparkSession, sf_dir: str, rate: int = 1000, times: int = 1) -> DataFrame:
-    """One track of 8-bit samples for each document, the bytes of its text ``times`` over, every second one in two channels; null texts have no samples."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """One track of 8-bit samples for each document, the bytes of its text ``times`` over, every second one in two channels; null texts have no samples.
+
+    The texts are dealt out before they are tracks: the work on a track is long, and a file whose rows are one group would be the work of one task.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.repartition(TASKS * spark.sparkContext.defaultParallelism, F.xxhash64("doc_id", "text"))
     return docs.select("doc_id", F.repeat(F.col("text").cast("string"), F.lit(times)).cast("binary").alias("pcm"), F.lit(rate).alias("rate"), (1 + F.col("doc_id") % 2).cast("int").alias("channels"), F.lit(1).alias("width"))
 
 

@@ -238,6 +238,43 @@ def test_medians_share_their_work():
         assert np.array_equal(signal.medians(np.ones(shape, np.float32), 1), np.ones(shape))
 
 
+def test_medians_of_parts():
+    x, lengths = np.random.default_rng(7).integers(0, 9, (98, 20)).astype(np.float32), [1, 2, 0, 17, 32, 46]
+    ends = np.cumsum(lengths)
+    want = np.concatenate([signal.medians(x[e - n : e], 0) for e, n in zip(ends, lengths, strict=True) if n])
+    assert np.array_equal(signal.medians(x, 0, lengths=lengths), want)
+
+
+def test_short_tracks_share_their_steps(monkeypatch):
+    rng, rate, calls = np.random.default_rng(8), 4000, []
+    tracks = [rng.integers(-99, 99, (1 + k % 2, n)).astype(np.float32) / 128 for k, n in enumerate([1, 511, 512, 5000, 16_000, 200_000, 7, 3000])] + [np.zeros((2, 9000), np.float32)]
+    alone = [signal.features([sides], rate)[0] for sides in tracks]
+    medians = signal.medians
+    monkeypatch.setattr(signal, "medians", lambda x, axis, *a, **b: calls.append(len(x)) or medians(x, axis, *a, **b))
+    assert signal.features(tracks, rate) == alone
+    # two for all tracks, and one more call of the second, along the other axis
+    assert len(calls) == 3
+
+
+def test_a_track_that_fails_fails_alone(spark):
+    def each(items):
+        if any(sides.shape[1] == 3 for sides, _ in items):
+            raise ValueError("three")
+        return [sides.shape[1] for sides, _ in items]
+
+    rows = spark.createDataFrame([(k, bytes(n), 100, 1, 1) for k, n in enumerate([2, 3, 0, 5, 3, 7])], SCHEMA).coalesce(1)
+    got = [(r.found, r.error) for r in audio.per_track(rows, each, "long", together=1000).orderBy("id").collect()]
+    assert got == [(2, None), (None, "three"), (None, "no samples"), (5, None), (None, "three"), (7, None)]
+
+
+def test_texts_of_one_row_group_are_the_work_of_many_tasks(spark, tmp_path):
+    from curatrix.plans import audio as plans
+
+    spark.range(64).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), F.col("id").cast("int")).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.tracks(spark, str(tmp_path)).rdd.glom().map(len).collect()
+    assert sum(found) == 64 and len(found) >= 4 and max(found) < 24
+
+
 def test_tracks_pass_on_results_in_pieces(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     rows = spark.range(7).select("id", F.repeat(F.lit("ab"), F.when(F.col("id") % 3 == 0, 3_000_000).otherwise(5)).cast("binary").alias("pcm"), F.lit(1000).alias("rate"), F.lit(1).alias("channels"), F.lit(1).alias("width"))
